@@ -100,9 +100,9 @@ def print_form(text: str | None) -> str | None:
         # a script is really used if some token can be spelled in no other script
         keep = frozenset(
             s for t in tokens for s in {_script(c) for c in t} - {"Latn", None}
-            if all(_script(c) in (s, None) for c in t) and len(t) > 1 and any(c not in LATIN_OF for c in t)
+            if all(_script(c) in (s, None) for c in t) and sum(_script(c) == s for c in t) > 1 and any(_script(c) == s and c not in LATIN_OF for c in t)
         )
-        text = _TOKEN.sub(lambda m: _respell(m[0], keep), text)
+        text = unicodedata.normalize("NFC", _TOKEN.sub(lambda m: _respell(m[0], keep), text))
     return text
 
 
