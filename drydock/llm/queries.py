@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..common import spread, table
-from . import canon, copies, printform, split
+from . import canon, copies, level, mix, pack, printform, split
 
 
 def _lines(spark, d, *columns):
@@ -38,5 +38,37 @@ def p6_found(spark, d):
     return canon.found(_lines(spark, d, "entities", "triples"), table(spark, d, "canonical_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p4_found, p4_pieces, p5_found, p5_collapsed, p6_found)}
+def _documents(spark, d, *columns):
+    return spread(table(spark, d, "documents", "doc_id", *columns), "doc_id")
+
+
+def p8_assigned(spark, d):
+    return pack.assigned(_documents(spark, d, "text"), table(spark, d, "pack_limits"))
+
+
+def p8_unused(spark, d):
+    return pack.unused(_documents(spark, d, "text"), table(spark, d, "pack_limits"))
+
+
+def p9_chosen(spark, d):
+    return mix.chosen(_documents(spark, d, "text", "source"), table(spark, d, "mix_targets"))
+
+
+def p9_reached(spark, d):
+    return mix.reached(_documents(spark, d, "text", "source"), table(spark, d, "mix_targets"))
+
+
+def p10_found(spark, d):
+    return level.found(_documents(spark, d, "text"), table(spark, d, "level_labels"))
+
+
+def p10_levels(spark, d):
+    return level.scored(_documents(spark, d, "text"), table(spark, d, "level_labels"))
+
+
+def p10_profile(spark, d):
+    return level.profile(_documents(spark, d, "text"), table(spark, d, "level_labels"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p4_found, p4_pieces, p5_found, p5_collapsed, p6_found, p8_assigned, p8_unused, p9_chosen, p9_reached, p10_found, p10_levels, p10_profile)}
 ORACLE = {}
