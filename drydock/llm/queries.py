@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..common import spread, table
-from . import canon, copies, level, mix, pack, printform, split
+from . import canon, copies, level, mix, pack, printform, scan, split
 
 
 def _lines(spark, d, *columns):
@@ -18,6 +18,14 @@ def p1_consistent(spark, d):
     return printform.consistent(_lines(spark, d, "text", "triples"))
 
 
+def p3_found(spark, d):
+    return scan.found(_lines(spark, d, "source_chunk", "text", "entities"))
+
+
+def p3_repaired(spark, d):
+    return scan.repaired(_lines(spark, d, "source_chunk", "text", "entities"))
+
+
 def p4_found(spark, d):
     return split.found(_lines(spark, d, "source_chunk", "text"), table(spark, d, "chunks", "id", "source"), table(spark, d, "split_limits"))
 
@@ -70,5 +78,5 @@ def p10_profile(spark, d):
     return level.profile(_documents(spark, d, "text"), table(spark, d, "level_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p4_found, p4_pieces, p5_found, p5_collapsed, p6_found, p8_assigned, p8_unused, p9_chosen, p9_reached, p10_found, p10_levels, p10_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p3_found, p3_repaired, p4_found, p4_pieces, p5_found, p5_collapsed, p6_found, p8_assigned, p8_unused, p9_chosen, p9_reached, p10_found, p10_levels, p10_profile)}
 ORACLE = {}
