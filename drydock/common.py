@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +16,20 @@ HOT_SHARE = 1000
 SALTS = 64
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session: functions run there by name."""
+    sc = spark.sparkContext
+    if getattr(sc, "_drydock_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    out = Path(tempfile.mkdtemp(prefix="drydock-ship-"))
+    shutil.copytree(here, out / "src" / here.name, ignore=shutil.ignore_patterns("__pycache__"))
+    sc.addPyFile(shutil.make_archive(str(out / here.name), "zip", out / "src"))
+    sc._drydock_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    ship(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
