@@ -51,7 +51,10 @@ LATIN_OF = CYRILLIC | GREEK
 TO = {"Cyrl": {v: k for k, v in CYRILLIC.items()}, "Grek": {v: k for k, v in GREEK.items()}}
 _FOREIGN = re.compile("[Ͱ-ϿЀ-ԯ]")
 _TOKEN = re.compile(r"[^\W\d_]+(?:[̀-ͯ]+[^\W\d_]*)*")
-_FOLDABLE = re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(FOLD)) + "̀-ͯᄀ-ᇿ゙゚]")
+#: Frequent folds, done first by plain replacement; most texts need no other.
+_FREQUENT = [(c, FOLD[ord(c)]) for c in "，（）：；％℃"] + [("\t", " ")]
+#: Anything else that may have to be folded or composed: all but ASCII, unified ideographs and some plain marks.
+_OTHER = re.compile("[^\x00-\x7f\u4e00-\u9fff。、±°—·《》]")
 
 
 def _script(ch: str) -> str | None:
@@ -93,7 +96,9 @@ def print_form(text: str | None) -> str | None:
     """The consistent form of text; None stays None, the empty string stays empty."""
     if text is None or text.isascii() and "\t" not in text:
         return text
-    if _FOLDABLE.search(text):
+    for a, b in _FREQUENT:
+        text = text.replace(a, b)
+    if _OTHER.search(text):
         text = unicodedata.normalize("NFC", text.translate(FOLD))
     if _FOREIGN.search(text):
         tokens = _TOKEN.findall(text)

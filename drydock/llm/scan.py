@@ -59,13 +59,14 @@ def bare(s: str) -> str:
 
 
 def is_page_number(line: str) -> bool:
-    return bool(line.strip()) and _PAGE.fullmatch(line.strip()) is not None
+    line = line.strip()
+    return 0 < len(line) <= 30 and _PAGE.fullmatch(line) is not None
 
 
 def head_of(line: str) -> str | None:
     """The title in a decorated line of its own, else None. Headings and sentences are no titles."""
     line = line.strip()
-    if not 3 <= len(line) <= 120 or _END.search(line):
+    if not 3 <= len(line) <= 120 or not any(c in line for c in ("=", "《", "——", "·", "|", "  ")) or _END.search(line):
         return None
     for p in _HEADS:
         if m := p.fullmatch(line):
@@ -90,7 +91,7 @@ def near(a: str, b: str, share: float = 0.26) -> bool:
 
 
 def title_inside(compact: str, title: str) -> bool:
-    """Whether the title, or one with few characters misread, stands somewhere in a text without blanks and marks."""
+    """Whether the title, or one with few characters misread, stands somewhere in a text without blanks."""
     if title in compact:
         return True
     n = len(title)
@@ -113,12 +114,12 @@ def layout(form: str, titles: list[str]) -> tuple[list[str], str]:
     noise: set[str] = set()
     body = []
     known = [t for t in titles if t]
+    longest = 3 * max(map(len, known), default=0)
     for line in form.replace("\r", "").split("\n"):
         if is_page_number(line):
             noise.add("page_no")
             continue
-        b = bare(line) if len(line) <= 120 else ""
-        if head_of(line) or b and not _END.search(line.strip()) and any(near(b, t) for t in known):
+        if head_of(line) or known and len(line) <= longest and (b := bare(line)) and any(near(b, t) for t in known):
             noise.add("header")
             continue
         body.append(line)
@@ -127,7 +128,7 @@ def layout(form: str, titles: list[str]) -> tuple[list[str], str]:
         noise.add("hyphen")
         text = _CUT.sub("", text)
     if known:
-        compact = bare(text)
+        compact = "".join(text.split()).lower()
         for t in known:
             if title_inside(compact, t):
                 noise.add("header")
@@ -146,9 +147,28 @@ def symbol(token: str) -> str:
     return re.sub(r"\d+", "0", token)
 
 
-def symbols(text: str, marks: bool = True) -> list[tuple[str, int, int]]:
-    """(symbol, start, end) of each symbol of a text; marks: count punctuation as well."""
-    return [(symbol(m[0]), m.start(), m.end()) for m in _SYMBOL.finditer(text) if marks or m[0][0].isalnum()]
+_symbols: dict[str, str] = {}
+
+
+def _symbol(token: str) -> str:
+    """symbol, remembered."""
+    s = _symbols.get(token)
+    if s is None:
+        if len(_symbols) > 300_000:
+            _symbols.clear()
+        s = _symbols[token] = symbol(token)
+    return s
+
+
+def tokens(text: str, marks: bool = True) -> list[str]:
+    """The tokens of a text; marks: count punctuation as well."""
+    found = _SYMBOL.findall(text)
+    return found if marks else [t for t in found if t[0].isalnum()]
+
+
+def spans(text: str, marks: bool = True) -> list[tuple[int, int]]:
+    """Where the tokens of a text stand."""
+    return [m.span() for m in _SYMBOL.finditer(text) if marks or m[0][0].isalnum()]
 
 
 _ids: dict[str, int] = {}
@@ -189,25 +209,37 @@ class Counts:
     """Counts of a task: trigrams, contexts with their middle (wide: two on either side, close: one), and words."""
 
     def __init__(self) -> None:
-        self.flat: list[int] = [0, 0]
-        self.weights: list[int] = [0, 0]
+        self.flat, self.weights, self.held = [np.zeros(2, np.uint64)], [np.zeros(2, np.int64)], 0
         self.parts: dict[str, list] = {"g": [], "wide": [], "close": []}
         self.words: dict[str, int] = {}
+        self.token: dict[str, tuple[int, str | None]] = {}
+
+    def _look(self, token: str) -> tuple[int, str | None]:
+        """The id of a token's symbol; the symbol itself if it is a word."""
+        if len(self.token) > 300_000:
+            self.token.clear()
+        s = symbol(token)
+        got = self.token[token] = (symbol_id(s), s if len(s) > 2 and s.isascii() and not s.isdigit() else None)
+        return got
 
     def add(self, text: str, weight: int, marks: bool) -> None:
+        known, words = self.token, self.words
         ids = []
-        for s, _, _ in symbols(text, marks):
-            ids.append(symbol_id(s))
-            if len(s) > 2 and s[0] not in "㐀" and s.isascii() and not s.isdigit():
-                self.words[s] = self.words.get(s, 0) + weight
-        self.flat += [*ids, 0, 0]
-        self.weights += [weight] * (len(ids) + 2)
-        if len(self.flat) > 1_000_000:
+        for t in tokens(text, marks):
+            i, w = known.get(t) or self._look(t)
+            ids.append(i)
+            if w is not None:
+                words[w] = words.get(w, 0) + weight
+        ids += [0, 0]
+        self.flat.append(np.array(ids, dtype=np.uint64))
+        self.weights.append(np.full(len(ids), weight, dtype=np.int64))
+        self.held += len(ids)
+        if self.held > 400_000:
             self.fold()
 
     def fold(self) -> None:
-        a, w = np.array(self.flat, dtype=np.uint64), np.array(self.weights, dtype=np.int64)
-        self.flat, self.weights = [0, 0], [0, 0]
+        a, w = np.concatenate(self.flat), np.concatenate(self.weights)
+        self.flat, self.weights, self.held = [np.zeros(2, np.uint64)], [np.zeros(2, np.int64)], 0
         if len(a) < 5:
             return
         self._put("g", _mix(a[:-2], a[1:-1], a[2:]), np.zeros(len(a) - 2, np.int64), w[1:-1])
@@ -307,10 +339,10 @@ def candidates(s: str, chars: dict[str, list[tuple[str, float]]], words: dict[st
     return out
 
 
-def windows(syms: list[tuple[str, int, int]], chars: dict, words: dict) -> list[tuple[str, list[int], list[int]]]:
-    """(window, starts, ends): the runs of symbols with candidates (gaps up to one symbol are bridged), written as
-    "lo hi" and the symbols from two before to two after, and where the run's symbols stand."""
-    at = [i for i, (s, _, _) in enumerate(syms) if len(candidates(s, chars, words)) > 1]
+def windows(found: list[str], suspicious: set[str]) -> list[tuple[str, int]]:
+    """(window, first): the runs of suspicious tokens (gaps of one are bridged), written as their number and the symbols
+    from two before to two after; first is the place of the run among the tokens."""
+    at = [i for i, t in enumerate(found) if t in suspicious]
     out = []
     k = 0
     while k < len(at):
@@ -318,8 +350,8 @@ def windows(syms: list[tuple[str, int, int]], chars: dict, words: dict) -> list[
         while j + 1 < len(at) and at[j + 1] - at[j] <= 2 and at[j + 1] - at[k] < 12:
             j += 1
         i0, i1 = at[k], at[j] + 1
-        pad = [""] * max(0, 2 - i0) + [s for s, _, _ in syms[max(0, i0 - 2) : i1 + 2]] + [""] * max(0, i1 + 2 - len(syms))
-        out.append((SEP.join([str(i1 - i0), *pad]), [a for _, a, _ in syms[i0:i1]], [b for _, _, b in syms[i0:i1]]))
+        pad = [""] * max(0, 2 - i0) + [_symbol(t) for t in found[max(0, i0 - 2) : i1 + 2]] + [""] * max(0, i1 + 2 - len(found))
+        out.append((SEP.join([str(i1 - i0), *pad]), i0))
         k = j + 1
     return out
 
@@ -358,17 +390,26 @@ def _slices(words: DataFrame) -> list[dict[str, list[str]]]:
 
 
 def _decode(spark: SparkSession, docs: DataFrame, counts: DataFrame, chars: dict, words: dict) -> DataFrame:
-    """(key, starts, ends, symbols): the corrected symbols of each text and where they stand in its body."""
+    """(key, first, symbols): the corrected symbols of each text, from the token of that number."""
     shared = spark.sparkContext.broadcast((chars, words))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chars, words = shared.value
+        plain: set[str] = set()
+        suspicious: set[str] = set()
         for b in batches:
-            keys, wins, starts, ends = [], [], [], []
+            keys, wins, firsts = [], [], []
             for key, text, marks in zip(*(c.to_pylist() for c in b.columns)):
-                for w, s, e in windows(symbols(text, marks), chars, words):
-                    keys.append(key), wins.append(w), starts.append(s), ends.append(e)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(wins, pa.string()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))], names=["key", "window", "starts", "ends"])
+                found = tokens(text, marks)
+                for t in set(found) - plain - suspicious:
+                    (suspicious if len(candidates(symbol(t), chars, words)) > 1 else plain).add(t)
+                if suspicious.isdisjoint(found):
+                    continue
+                for w, i in windows(found, suspicious):
+                    keys.append(key), wins.append(w), firsts.append(i)
+                if len(plain) > 300_000:
+                    plain.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(wins, pa.string()), pa.array(firsts, pa.int32())], names=["key", "window", "first"])
 
     def needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chars, words = shared.value
@@ -391,12 +432,12 @@ def _decode(spark: SparkSession, docs: DataFrame, counts: DataFrame, chars: dict
                     wins.append(w), fixed.append(best[2 : 2 + int(w.split(SEP, 1)[0])])
             yield pa.RecordBatch.from_arrays([pa.array(wins, pa.string()), pa.array(fixed, pa.list_(pa.string()))], names=["window", "symbols"])
 
-    held = durable(docs.select("key", "body", "marks").mapInArrow(cut, "key string, window string, starts array<int>, ends array<int>"))
+    held = durable(docs.select("key", "body", "marks").mapInArrow(cut, "key string, window string, first int"))
     needed = held.select("window").distinct().mapInArrow(needs, "window string, k bigint")
     grams = counts.where("kind = 'g'").select("k", "n")
     fetched = needed.join(grams, "k", "left").groupBy("window").agg(F.collect_list(F.struct("k", F.coalesce("n", F.lit(0)).alias("n"))).alias("x"))
     fixes = durable(fetched.select("window", "x.k", "x.n").mapInArrow(solve, "window string, symbols array<string>"))
-    return salted_join(held, fixes, "window", "inner", "key").select("key", "starts", "ends", "symbols")
+    return salted_join(held, fixes, "window", "inner", "key").select("key", "first", "symbols")
 
 
 # --- the operator -------------------------------------------------------------------------------------------------
@@ -460,7 +501,7 @@ def _learned(texts: DataFrame, names: DataFrame) -> tuple[DataFrame, dict, list[
 
 
 def corrections(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(lines, texts, names of the lines, fixes): fixes are (key, starts, ends, symbols) of texts and names."""
+    """(lines, texts, names of the lines, fixes): fixes are (key, first, symbols) of texts and names."""
     spark = lines.sparkSession
     keys, texts, each = prepared(lines)
     names = durable(_names(each))
@@ -489,14 +530,17 @@ def found(lines: DataFrame) -> DataFrame:
     return in_text.unionByName(hyphens).unionByName(misread)
 
 
-def repair(body: str, fixes: list[tuple[int, int, str]]) -> str:
+def repair(body: str, fixes: list[tuple[int, list[str]]]) -> str:
     """The body with its corrections, as paragraphs: a line goes on in the next unless it ends a sentence or is a
     heading; ideographs join without a blank."""
-    for start, end, s in sorted(fixes, reverse=True):
-        old = body[start:end]
-        if symbol(old) != s:
-            new = "".join(DIGIT_LIKE.get(c, c) for c in old) if s.startswith("0") else s.upper() if old.isupper() and len(old) > 1 else s[:1].upper() + s[1:] if old[:1].isupper() else s
-            body = body[:start] + new + body[end:]
+    at = spans(body) if fixes else []
+    for first, syms in sorted(fixes, reverse=True):
+        for k, s in reversed(list(enumerate(syms))):
+            start, end = at[first + k]
+            old = body[start:end]
+            if symbol(old) != s:
+                new = "".join(DIGIT_LIKE.get(c, c) for c in old) if s.startswith("0") else s.upper() if old.isupper() and len(old) > 1 else s[:1].upper() + s[1:] if old[:1].isupper() else s
+                body = body[:start] + new + body[end:]
     out: list[str] = []
     for line in (x.strip() for x in body.split("\n")):
         if not line:
@@ -512,7 +556,7 @@ def repaired(lines: DataFrame) -> DataFrame:
     """(line_id, text): continuous paragraphs without heads, page numbers, cut words and misread characters. A null text
     stays null."""
     keys, texts, _, fixes = corrections(lines)
-    all_fixes = fixes.select("key", F.explode(F.arrays_zip("starts", "ends", "symbols")).alias("f")).groupBy("key").agg(F.collect_list("f").alias("fixes"))
-    mend = F.udf(lambda body, fs: repair(body, [(f["starts"], f["ends"], f["symbols"]) for f in fs or ()]), "string", useArrow=True)
+    all_fixes = fixes.select("key", F.struct("first", "symbols").alias("f")).groupBy("key").agg(F.collect_list("f").alias("fixes"))
+    mend = F.udf(lambda body, fs: repair(body, [(f["first"], f["symbols"]) for f in fs or ()]), "string", useArrow=True)
     done = texts.join(all_fixes, "key", "left").select("key", mend("body", "fixes").alias("text"))
     return salted_join(keys.withColumnRenamed("text_key", "key"), done, "key", "left", "line_id").select("line_id", "text")
