@@ -40,9 +40,9 @@ def histograms(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
             cols: dict[str, list] = {c: [] for c in ("doc_id", "ids", "counts", *COMPLEXITY)}
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 tokens = encode(t) if t else ()
-                if not tokens:
+                if not len(tokens):
                     continue
-                ids, n = np.unique(np.asarray(tokens, dtype=np.int32), return_counts=True)
+                ids, n = np.unique(tokens.astype(np.int32), return_counts=True)
                 lengths = [len(s) for s in _SENTENCE.split(t) if s.strip()] or [0]
                 latin = len(t.encode("utf-8", "replace")) < 1.5 * len(t)
                 per = np.log1p(np.asarray(lengths) / (2.5 if latin else 1.0))
@@ -62,13 +62,18 @@ def ratings(labels: DataFrame) -> DataFrame:
     return one.groupBy("doc_id").agg(F.avg("r").alias("rating"))
 
 
+def _lists(col: pa.ListArray) -> Iterator[np.ndarray]:
+    """The lists of a column as views of its values."""
+    at, values = col.offsets.to_numpy(), col.values.to_numpy()
+    return (values[a:b] for a, b in zip(at[:-1], at[1:]))
+
+
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches of (ids, counts, rating or null): (id, n, by level) of the partition."""
     n = np.zeros(MOST_IDS)
     by = np.zeros((LEVELS, MOST_IDS))
     for b in batches:
-        for ids, counts, rating in zip(b.column(0), b.column(1), b.column(2).to_pylist()):
-            i, c = ids.values.to_numpy(), counts.values.to_numpy()
+        for i, c, rating in zip(_lists(b.column(0)), _lists(b.column(1)), b.column(2).to_pylist()):
             n[i] += c
             if rating is not None:
                 w = c / c.sum()
@@ -114,8 +119,7 @@ def features(hist: DataFrame, words: list[tuple[int, float, float]]) -> DataFram
         shares = np.asarray(SHARES)
         for b in batches:
             rows = []
-            for ids, counts in zip(b.column("ids"), b.column("counts")):
-                i, c = ids.values.to_numpy(), counts.values.to_numpy().astype(float)
+            for i, c in zip(_lists(b.column("ids")), _lists(b.column("counts"))):
                 share = c / c.sum()
                 r = np.argsort(rank[i], kind="stable")
                 f = np.log(rank[i][r][np.minimum(np.searchsorted(np.cumsum(share[r]), shares - 1e-9), len(i) - 1)])

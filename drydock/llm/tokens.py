@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -24,10 +25,10 @@ def vocabulary(spark: SparkSession, path: str = VOCABULARY) -> Broadcast:
         return spark.sparkContext.broadcast(f.read())
 
 
-_made: dict[int, Callable[[str], list[int]]] = {}
+_made: dict[int, Callable[[str], np.ndarray]] = {}
 
 
-def encoder(raw: bytes) -> Callable[[str], list[int]]:
+def encoder(raw: bytes) -> Callable[[str], np.ndarray]:
     """text -> token ids; a long text is encoded block by block, so that memory stays bounded."""
     if (key := hash(raw)) not in _made:
         import tiktoken
@@ -35,8 +36,8 @@ def encoder(raw: bytes) -> Callable[[str], list[int]]:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
         if len(ranks) > MOST_IDS:
             raise ValueError(f"a vocabulary of more than {MOST_IDS} tokens")
-        one = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        _made[key] = lambda t: one(t) if len(t) <= BLOCK else [i for at in range(0, len(t), BLOCK) for i in one(t[at : at + BLOCK])]
+        one = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+        _made[key] = lambda t: one(t) if len(t) <= BLOCK else np.concatenate([one(t[at : at + BLOCK]) for at in range(0, len(t), BLOCK)])
     return _made[key]
 
 
