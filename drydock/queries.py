@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import quality
+from .plans import extraction_log, graph_build, pages, quality
 
-QUERIES = {**quality.QUERIES}
-ORACLE = {**quality.ORACLE}
+_PLANS = (quality, pages, extraction_log, graph_build)
+QUERIES = {k: v for p in _PLANS for k, v in p.QUERIES.items()}
+ORACLE = {k: v for p in _PLANS for k, v in p.ORACLE.items()}
