@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..functions.vectors import ranked
 
 DOCUMENT = "中级船体装配工工艺学"
 #: Notes set as evidence of structural edges (fixed values).
@@ -136,24 +137,33 @@ def merged_edges(nodes: DataFrame, edges: DataFrame, order: list[str]) -> DataFr
 
 
 def neighborhood(seeds: DataFrame, edges: DataFrame, hops: int, limit: int | None = 80) -> DataFrame:
-    """(query_id, edge_id, rank): the edges met on paths of up to hops (1 or 2) edges from the seeds, either way, no edge
-    twice in a path; each edge where the first path meets it. limit counts paths, in the order (length, seed, edges).
+    """(query_id, edge_id, hops): the edges met on paths of up to hops (1 or 2) edges from the seeds, either way, no edge
+    twice in a path; hops is the least length of a path that has the edge. limit counts paths, in the order (length, seed, edges).
 
     seeds: (query_id, id). edges: (edge_id, head_id, tail_id)."""
     hops = max(1, min(2, hops))
     both = edges.select("edge_id", F.col("head_id").alias("a"), F.col("tail_id").alias("b")).unionByName(
         edges.where("head_id <> tail_id").select("edge_id", F.col("tail_id").alias("a"), F.col("head_id").alias("b"))
     )
-    one = seeds.join(both, seeds["id"] == both["a"]).select("query_id", "id", F.col("edge_id").alias("e1"), F.col("b").alias("at"))
+    if limit is None:
+        return _all_near(seeds, both, hops)
+    # a path list is cut at `limit` in the order of edges, so of a node only its first edges can matter
+    both = ranked(both, "a", [F.col("edge_id")], limit + 1).select("edge_id", "a", "b")
+    one = seeds.join(both, seeds["id"] == both["a"]).select("query_id", "id", F.col("edge_id").alias("e1"), F.col("b").alias("far"))
     paths = one.select("query_id", F.lit(1).alias("len"), "id", "e1", F.lit(None).cast(edges.schema["edge_id"].dataType).alias("e2"))
     if hops == 2:
-        far = one.join(both, one["at"] == both["a"]).where("edge_id <> e1")
-        paths = paths.unionByName(far.select("query_id", F.lit(2).alias("len"), "id", "e1", F.col("edge_id").alias("e2")))
-    if limit:
-        from ..functions.vectors import ranked
-
-        paths = ranked(paths, "query_id", [F.col(c) for c in ("len", "id", "e1", "e2")], limit)
-    else:
-        paths = paths.withColumn("rank", F.lit(0))
-    met = paths.select("query_id", F.struct("len", "id", "e1", "e2").alias("at"), F.posexplode(F.filter(F.array("e1", "e2"), lambda x: x.isNotNull())).alias("step", "edge_id"))
-    return met.groupBy("query_id", "edge_id").agg(F.min(F.struct("at", "step")).alias("first")).select("query_id", "edge_id", F.col("first.at.len").alias("hops"))
+        steps = one.join(both, one["far"] == both["a"]).where("edge_id <> e1")
+        paths = paths.unionByName(steps.select("query_id", F.lit(2).alias("len"), "id", "e1", F.col("edge_id").alias("e2")))
+    paths = ranked(paths, "query_id", [F.col(c) for c in ("len", "id", "e1", "e2")], limit)
+    met = paths.select("query_id", "len", F.explode(F.filter(F.array("e1", "e2"), lambda x: x.isNotNull())).alias("edge_id"))
+    return met.groupBy("query_id", "edge_id").agg(F.min("len").alias("hops"))
+
+
+def _all_near(seeds: DataFrame, both: DataFrame, hops: int) -> DataFrame:
+    """All edges within the hops. Nodes reached are made distinct before the next step, so hubs are entered once a query."""
+    first = seeds.select("query_id", F.col("id").alias("a")).distinct().join(both, "a").select("query_id", "edge_id", "b")
+    met = first.select("query_id", "edge_id", F.lit(1).alias("hops"))
+    if hops == 2:
+        reached = first.select("query_id", F.col("b").alias("a")).distinct()
+        met = met.unionByName(reached.join(both, "a").select("query_id", "edge_id", F.lit(2).alias("hops")))
+    return met.groupBy("query_id", "edge_id").agg(F.min("hops").alias("hops"))
