@@ -42,7 +42,7 @@ def histograms(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
                 tokens = encode(t) if t else ()
                 if not len(tokens):
                     continue
-                ids, n = np.unique(tokens.astype(np.int32), return_counts=True)
+                ids, n = np.unique(tokens, return_counts=True)
                 lengths = [len(s) for s in _SENTENCE.split(t) if s.strip()] or [0]
                 latin = len(t.encode("utf-8", "replace")) < 1.5 * len(t)
                 per = np.log1p(np.asarray(lengths) / (2.5 if latin else 1.0))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,19 +26,39 @@ def vocabulary(spark: SparkSession, path: str = VOCABULARY) -> Broadcast:
         return spark.sparkContext.broadcast(f.read())
 
 
+#: Where a text may be cut without changing its tokens: the pattern never joins what stands on either side.
+_CUT = re.compile(r"(?<=[，。；：、！？])(?=[^\W_])|(?<=[.,;:!?])(?= [^\W_])|(?<=[。！？；.!?;])(?=\n)")
+#: So many segments are remembered with their tokens by a worker; then it begins anew.
+REMEMBERED = 100_000
+
 _made: dict[int, Callable[[str], np.ndarray]] = {}
 
 
 def encoder(raw: bytes) -> Callable[[str], np.ndarray]:
-    """text -> token ids; a long text is encoded block by block, so that memory stays bounded."""
+    """text -> token ids. Segments met before are looked up; a long one is encoded block by block, so that memory stays
+    bounded."""
     if (key := hash(raw)) not in _made:
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
         if len(ranks) > MOST_IDS:
             raise ValueError(f"a vocabulary of more than {MOST_IDS} tokens")
-        one = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
-        _made[key] = lambda t: one(t) if len(t) <= BLOCK else np.concatenate([one(t[at : at + BLOCK]) for at in range(0, len(t), BLOCK)])
+        one = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        known: dict[str, np.ndarray] = {}
+
+        def look(s: str) -> np.ndarray:
+            ids = np.array([i for at in range(0, len(s), BLOCK) for i in one(s[at : at + BLOCK])] if len(s) > BLOCK else one(s), dtype=np.int32)
+            if len(s) <= 400:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                known[s] = ids
+            return ids
+
+        def encode(text: str) -> np.ndarray:
+            parts = [got if (got := known.get(s)) is not None else look(s) for s in _CUT.split(text)]
+            return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+        _made[key] = encode
     return _made[key]
 
 
