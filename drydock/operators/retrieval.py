@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..common import durable
 from ..functions import text as t
 from ..functions.vectors import ranked
 
@@ -77,10 +78,11 @@ def question_tokens(questions: DataFrame) -> DataFrame:
 def linked(questions: DataFrame, entities: DataFrame, limit: int = 8) -> DataFrame:
     """(query_id, id, name, tier, rank): entities contained in the question; only where there are none, those holding a
     part of it; only where there are none either, fuzzy ones."""
-    one = contained(questions, entities, limit).select("query_id", "id", "name", F.lit(1).alias("tier"), "rank")
+    entities = durable(entities)
+    one = durable(contained(questions, entities, limit).select("query_id", "id", "name", F.lit(1).alias("tier"), "rank"))
     rest = questions.join(one.select("query_id").distinct(), "query_id", "left_anti")
     met = containing(question_tokens(rest), entities).groupBy("query_id", "id").agg(F.min("name").alias("name"), F.min(F.struct("pos", "rank")).alias("o"))
-    two = ranked(met, "query_id", [F.asc("o"), F.asc("id")], limit).select("query_id", "id", "name", F.lit(2).alias("tier"), "rank")
+    two = durable(ranked(met, "query_id", [F.asc("o"), F.asc("id")], limit).select("query_id", "id", "name", F.lit(2).alias("tier"), "rank"))
     last = rest.join(two.select("query_id").distinct(), "query_id", "left_anti")
     three = fuzzy(last, entities, limit).select("query_id", "id", "name", F.lit(3).alias("tier"), "rank")
     return one.unionByName(two).unionByName(three)
@@ -97,7 +99,6 @@ def keyword_hits(questions: DataFrame, chunks: DataFrame, k: int | None = 50) ->
 
     Terms and chunks meet on pairs of characters: only pairs that some question asks for are taken from the chunks."""
     terms = terms_of(questions)
-    asked = terms.select("query_id", "term", F.explode(_grams(F.col("term"))).alias("g"))
     different = terms.select("term").distinct()
     grams = small(different.select("term", F.explode(_grams(F.col("term"))).alias("g")))
     body = chunks.select("chunk_id", "page_start", F.concat_ws(" ", F.coalesce("chapter_hint", F.lit("")), F.coalesce("text", F.lit(""))).alias("body"))
@@ -109,7 +110,6 @@ def keyword_hits(questions: DataFrame, chunks: DataFrame, k: int | None = 50) ->
     by_term = met.select("chunk_id", "term", value.alias("v")).where("v > 0")
     scores = by_term.join(small(terms), "term").select("query_id", "chunk_id", "v")
     out = scores.unionByName(_page_bonus(questions.join(terms.select("query_id").distinct(), "query_id", "left_semi"), chunks)).groupBy("query_id", "chunk_id").agg(F.round(F.sum("v"), 4).alias("score"))
-    del asked
     return ranked(out, "query_id", [F.desc("score"), F.asc("chunk_id")], k)
 
 
@@ -188,8 +188,8 @@ def hybrid(questions: DataFrame, chunks: DataFrame, vector_hits: DataFrame, top_
     """(query_id, chunk_id, score, source, rank): page hints, vectors and keywords fused; with hints the first three at
     most, else the best with their neighbour pages."""
     k = max(50, 8 * top_k)
-    hints, words = page_hits(questions, chunks), keyword_hits(questions, chunks, k)
-    every = fused({"page_hint": hints, "vector": vector_hits, "keyword": words})
+    hints, words = durable(page_hits(questions, chunks)), keyword_hits(questions, chunks, k)
+    every = durable(fused({"page_hint": hints, "vector": vector_hits, "keyword": words}))
     hinted = hints.select("query_id").distinct()
     by_hint = take_unique([hints, every.join(hinted, "query_id", "left_semi")], min(top_k, 3)).withColumn("source", F.lit("page_hint"))
     free = every.join(hinted, "query_id", "left_anti")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..common import spread, table
+from ..common import durable, spread, table
 from ..functions import text as t
 from ..functions import vectors
 from ..operators import graph, qa, retrieval
@@ -98,10 +98,10 @@ def route_documents(spark, d):
     return docs.select("doc_id", qa.route(F.col("text")).alias("route"), qa.book_intent(F.col("text")).alias("book_intent"), qa.domain_intent(F.col("text")).alias("domain_intent"))
 
 
-def _facts(spark, d):
+def _facts(spark, d, links):
     """(query_id, rank, head, relation, tail, source_pages) of the linked entities' neighbourhood."""
-    seeds = entity_link(spark, d).select("query_id", "id")
-    edges = _edges(spark, d).join(_pages(spark, d), ["head_id", "relation", "tail_id"])
+    seeds = links.select("query_id", "id")
+    edges = durable(_edges(spark, d).join(_pages(spark, d), ["head_id", "relation", "tail_id"]))
     met = graph.neighborhood(seeds, edges, 2, 80).join(edges, "edge_id")
     return vectors.ranked(met, "query_id", [F.asc("hops"), F.asc("edge_id")])
 
@@ -128,9 +128,9 @@ def context_build(spark, d):
 def ask(spark, d):
     """The whole pipeline for all questions: route, link, walk, retrieve, answer from evidence."""
     q = _questions(spark, d).withColumn("route", qa.route(F.col("question"))).withColumn("intent", F.coalesce(qa.book_intent(F.col("question")), qa.domain_intent(F.col("question"))))
-    links = entity_link(spark, d)
-    facts = _facts(spark, d)
-    wide = qa.expanded_question(q, links, facts)
+    links = durable(entity_link(spark, d))
+    facts = durable(_facts(spark, d, links))
+    wide = durable(qa.expanded_question(q, links, facts))
     c = _chunks(spark, d)
     near = vectors.nearest(vectors.embedded(c, "chunk_id", "text"), "chunk_id", vectors.embedded(wide, "query_id", "question"), "query_id", max(50, 8 * TOP_K))
     hits = retrieval.hybrid(wide, c, near, TOP_K).join(c.select("chunk_id", "page_start", "text"), "chunk_id")
