@@ -79,4 +79,12 @@ def p10_profile(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p3_found, p3_repaired, p4_found, p4_pieces, p5_found, p5_collapsed, p6_found, p8_assigned, p8_unused, p9_chosen, p9_reached, p10_found, p10_levels, p10_profile)}
-ORACLE = {}
+_BARE = "list_sort(list_transform(list_filter({0}, lambda x: x IS NOT NULL), lambda x: regexp_replace(lower(x), '[^\\p{{L}}\\p{{M}}\\p{{Nd}}]', '', 'g')))"
+_RECORDS = f"""r AS (SELECT line_id, coalesce({_BARE.format('list_transform(entities, lambda e: e.name)')}, []) AS n, coalesce({_BARE.format('list_transform(triples, lambda e: e.tail)')}, []) AS t FROM sample_raw_extractions),
+g AS (SELECT line_id, n, t, min(line_id) OVER (PARTITION BY n, t) AS kept_line, count(*) OVER (PARTITION BY n, t) AS copies FROM r WHERE len(n) + len(t) > 0)"""
+ORACLE = {
+    "p4_found": """SELECT line_id FROM sample_raw_extractions s LEFT JOIN chunks c ON c.id = s.source_chunk LEFT JOIN split_limits l ON l.source = c.source
+WHERE length(s.text) > coalesce(l.max_chars, (SELECT max_chars FROM split_limits WHERE source = '*'))""",
+    "p5_found": f"WITH {_RECORDS} SELECT kept_line, line_id AS copy_line FROM g WHERE line_id <> kept_line",
+    "p5_collapsed": f"WITH {_RECORDS} SELECT line_id, copies FROM g WHERE line_id = kept_line",
+}
