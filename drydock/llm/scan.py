@@ -33,7 +33,7 @@ READ_AS = {"c": "e", "f": "t", "1": "l", "5": "s", "q": "g", "0": "o", "6": "b",
 DIGIT_LIKE = {"l": "1", "I": "1", "O": "0", "o": "0", "S": "5", "s": "5", "Z": "2", "B": "8"}
 # ------------------------------------------------------------------------------------------------------------------
 #: A context speaks for a misreading if it was met so often, with at most this share of the rarer character.
-CONTEXT_COUNT, CONTEXT_SHARE = 20, 0.05
+CONTEXT_COUNT, CONTEXT_SHARE = 10, 0.1
 #: Contexts that must agree on a pair.
 AGREEING = 3
 #: Dictionaries learned (titles, confusable words) of at most so many entries are broadcast at once, larger ones in slices.
@@ -334,7 +334,7 @@ def candidates(s: str, chars: dict[str, list[tuple[str, float]]], words: dict[st
         out += chars.get(s, ())
     elif s in words:
         out += [(w, -6.0) for w in words[s]]
-    elif s != "0" and re.fullmatch(r"[0lIOoSsZB]*0[0lIOoSsZB]*(?:mm|m|t)?", s) and re.search("[lIOoSsZB]", s):
+    elif s != "0" and re.fullmatch(r"[0lIOo]*0[0lIOo]*(?:mm|m|t)?", s) and re.search("[lIOo]", s):
         out.append(("0" + ("" if s[-1] not in "mt" else "mm" if s.endswith("mm") else s[-1]), -5.0))
     return out
 
@@ -362,8 +362,15 @@ def lattice(window: str, chars: dict, words: dict) -> tuple[list[str], list[list
     return syms, [candidates(s, chars, words) if 2 <= i < hi else [(s, 0.0)] for i, s in enumerate(syms)]
 
 
-def viterbi(options: list[list[tuple[str, float]]], count: dict[int, int]) -> list[str]:
-    """The likeliest symbols: states are pairs of neighbours, a step adds log(count of the trigram + 0.1)."""
+def viterbi(options: list[list[tuple[str, float]]], count: dict[int, int], own: int = 0) -> list[str]:
+    """The likeliest symbols: states are pairs of neighbours, a step adds log(count of the trigram + 0.1).
+
+    own: how often the window itself occurs. Its trigrams as read were counted so often for that reason alone, and a
+    misreading shall not speak for itself, so these are taken off."""
+    read = [o[0][0] for o in options]
+    count = dict(count)
+    for g in {trigram_id(*read[i : i + 3]) for i in range(len(read) - 2)}:
+        count[g] = max(0, count.get(g, 0) - own)
     best = {(a, b): (pa_ + pb, [a, b]) for a, pa_ in options[0] for b, pb in options[1]}
     for opts in options[2:]:
         new: dict[tuple[str, str], tuple[float, list[str]]] = {}
@@ -398,18 +405,18 @@ def _decode(spark: SparkSession, docs: DataFrame, counts: DataFrame, chars: dict
         plain: set[str] = set()
         suspicious: set[str] = set()
         for b in batches:
-            keys, wins, firsts = [], [], []
-            for key, text, marks in zip(*(c.to_pylist() for c in b.columns)):
+            keys, wins, firsts, ns = [], [], [], []
+            for key, text, marks, n in zip(*(c.to_pylist() for c in b.columns)):
                 found = tokens(text, marks)
                 for t in set(found) - plain - suspicious:
                     (suspicious if len(candidates(symbol(t), chars, words)) > 1 else plain).add(t)
                 if suspicious.isdisjoint(found):
                     continue
                 for w, i in windows(found, suspicious):
-                    keys.append(key), wins.append(w), firsts.append(i)
+                    keys.append(key), wins.append(w), firsts.append(i), ns.append(n)
                 if len(plain) > 300_000:
                     plain.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(wins, pa.string()), pa.array(firsts, pa.int32())], names=["key", "window", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(wins, pa.string()), pa.array(firsts, pa.int32()), pa.array(ns, pa.int64())], names=["key", "window", "first", "n"])
 
     def needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chars, words = shared.value
@@ -425,18 +432,19 @@ def _decode(spark: SparkSession, docs: DataFrame, counts: DataFrame, chars: dict
         chars, words = shared.value
         for b in batches:
             wins, fixed = [], []
-            for w, ks, ns in zip(*(c.to_pylist() for c in b.columns)):
+            for w, ks, ns, times in zip(*(c.to_pylist() for c in b.columns)):
                 syms, o = lattice(w, chars, words)
-                best = viterbi(o, dict(zip(ks, ns)))
+                best = viterbi(o, dict(zip(ks, ns)), times)
                 if best != syms:
                     wins.append(w), fixed.append(best[2 : 2 + int(w.split(SEP, 1)[0])])
             yield pa.RecordBatch.from_arrays([pa.array(wins, pa.string()), pa.array(fixed, pa.list_(pa.string()))], names=["window", "symbols"])
 
-    held = durable(docs.select("key", "body", "marks").mapInArrow(cut, "key string, window string, first int"))
-    needed = held.select("window").distinct().mapInArrow(needs, "window string, k bigint")
+    held = durable(docs.select("key", "body", "marks", "n").mapInArrow(cut, "key string, window string, first int, n bigint"))
+    own = durable(held.groupBy("window").agg(F.sum("n").alias("own")))
+    needed = own.select("window").mapInArrow(needs, "window string, k bigint")
     grams = counts.where("kind = 'g'").select("k", "n")
     fetched = needed.join(grams, "k", "left").groupBy("window").agg(F.collect_list(F.struct("k", F.coalesce("n", F.lit(0)).alias("n"))).alias("x"))
-    fixes = durable(fetched.select("window", "x.k", "x.n").mapInArrow(solve, "window string, symbols array<string>"))
+    fixes = durable(fetched.join(own, "window").select("window", "x.k", "x.n", "own").mapInArrow(solve, "window string, symbols array<string>"))
     return salted_join(held, fixes, "window", "inner", "key").select("key", "first", "symbols")
 
 
@@ -506,7 +514,7 @@ def corrections(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Data
     keys, texts, each = prepared(lines)
     names = durable(_names(each))
     counts, chars, words = _learned(texts, names)
-    docs = texts.select("key", "body", F.lit(True).alias("marks")).unionByName(names.select("key", "body", F.lit(False).alias("marks")))
+    docs = texts.select("key", "body", F.lit(True).alias("marks"), F.lit(1).cast("bigint").alias("n")).unionByName(names.select("key", "body", F.lit(False).alias("marks"), "n"))
     fixes = None
     for part in words:
         own = _decode(spark, docs, counts, chars, part)
