@@ -89,4 +89,4 @@ def reached(documents: DataFrame, targets: DataFrame, path: str = VOCABULARY) ->
     picked, listed = _plan(_sizes(documents, path), targets)
     sums = picked.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.col("copies") * F.col("n_tokens")).alias("tokens"))
     out = listed.join(sums, "source", "left").na.fill(0, ["docs", "tokens"])
-    return out.withColumn("reached_share", F.round(F.col("tokens") / F.sum("tokens").over(Window.partitionBy(F.lit(1))), 6)).withColumn("expected_copies", F.round("expected_copies", 6))
+    return out.withColumn("reached_share", F.coalesce(F.round(F.try_divide(F.col("tokens"), F.sum("tokens").over(Window.partitionBy(F.lit(1)))), 6), F.lit(0.0))).withColumn("expected_copies", F.round("expected_copies", 6))

@@ -43,7 +43,7 @@ _LATIN = "A-Za-zÀ-ɏ"
 _CUT = re.compile(rf"(?<=[{_LATIN}])[-¬][ \t\r]*\n[ \t]*(?=[{_LATIN}])")
 _SYMBOL = re.compile(rf"[{_LATIN}0-9]+|[㐀-鿿]|\S")
 _N = r"[0-9OoIl]{0,3}[0-9][0-9OoIl]{0,3}"
-_PAGE = re.compile(rf"[-—·~|\[(<【=*\s]*(?:第\s*|page\s*|p\.\s*|pg\.?\s*)?{_N}\s*页?(?:\s*[/|,，]?\s*(?:共|of|/)?\s*{_N}\s*页?)?[-—·~|\])>】=*\s]*", re.I)
+_PAGE = re.compile(rf"[-—·~|\[(<【=*\s]*(?:第\s*|page\s*|p\.\s*|pg\.?\s*)?{_N}\s*页?(?:\s*(?:[/|,，]|共|of)\s*共?\s*{_N}\s*页?)?[-—·~|\])>】=*\s]*", re.I)
 _HEADING = r"(?:第[^\s|]{1,4}[章节篇部][^|]*|chapter\s+\w+[^|]*|(?:part|section)\s+[0-9IVX]+[^|]*)"
 _HEADS = [
     re.compile(p, re.I)
