@@ -98,7 +98,7 @@ def neighborhood_facts(spark, d):
 
 QUERIES = {f.__name__: f for f in (graph_entities, graph_relations, graph_totals, entity_type_counts, relation_type_counts, graph_degree_top20, isolated_entities, edge_import, node_merge, neighborhood_1hop, neighborhood_2hop, neighborhood_facts)}
 
-_CONF = "coalesce(greatest(0.0, least(1.0, CASE WHEN {0} > 1 THEN {0} / 100 ELSE {0} END)), 0.75)"
+_CONF = "CASE WHEN {0} IS NULL THEN 0.75 ELSE greatest(0.0, least(1.0, CASE WHEN {0} > 1 THEN {0} / 100 ELSE {0} END)) END"
 _KIND = "coalesce(nullif({}, ''), 'ProcessObject')"
 _PAGE = "CASE WHEN coalesce({0}, 0) <> 0 THEN {0} ELSE page END"
 _CHUNK = "CASE WHEN coalesce({0}, '') <> '' THEN {0} ELSE chunk END"

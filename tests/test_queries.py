@@ -1,0 +1,33 @@
+"""Every query of the core against its SQL, on the smallest tables."""
+
+import os
+
+import pytest
+
+from drydock.queries import ORACLE, QUERIES
+from oracle import DATA, connect, same
+
+pytestmark = pytest.mark.skipif(not os.path.exists(DATA), reason="no test tables here")
+
+
+@pytest.fixture(scope="module")
+def con():
+    return connect()
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_same_as_sql(spark, con, name):
+    same(QUERIES[name](spark, DATA), con, ORACLE[name])
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
+def test_runs(spark, name):
+    df = QUERIES[name](spark, DATA)
+    assert df.columns and df.count() >= 0
+
+
+def test_entry_without_the_llm_subpackage(spark):
+    import __spark_entry__ as e
+
+    assert set(QUERIES) <= set(e.queries()) and set(ORACLE) <= set(e.oracle_sql())
+    assert e.entry(spark).columns
