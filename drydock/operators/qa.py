@@ -33,7 +33,11 @@ RULES = [
 
 
 def has_any(s: Column, terms: list[str]) -> Column:
-    return s.rlike("|".join(terms)) if terms else F.lit(True)
+    """Whether any term stands in s; plain search is many times faster than a pattern of alternatives."""
+    out = F.lit(not terms)
+    for term in terms:
+        out = out | F.contains(s, F.lit(term))
+    return out
 
 
 def route(question: Column) -> Column:

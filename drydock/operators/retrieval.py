@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,22 +101,62 @@ def keyword_hits(questions: DataFrame, chunks: DataFrame, k: int | None = 50) ->
     time; one of 4 characters or more that does not, its length times the share of its pairs met, from a half on; 5 more
     if the chunk's page number stands in the question.
 
-    Terms and chunks meet on pairs of characters: only pairs that some question asks for are taken from the chunks."""
+    The different terms go to the chunks in slices of SMALL as an index from pairs of characters to terms; a chunk looks
+    up its own pairs, and only terms that share enough of them are counted. Texts are never shuffled."""
     terms = terms_of(questions)
-    different = terms.select("term").distinct()
-    grams = small(different.select("term", F.explode(_grams(F.col("term"))).alias("g")))
-    body = chunks.select("chunk_id", "page_start", F.concat_ws(" ", F.coalesce("chapter_hint", F.lit("")), F.coalesce("text", F.lit(""))).alias("body"))
-    met = body.select("chunk_id", "body", F.explode(_grams(F.col("body"))).alias("g")).join(grams, "g").groupBy("chunk_id", "term").agg(F.first("body").alias("body"), F.count(F.lit(1)).alias("m"))
-    n = F.length("term")
-    times = t.occurrences(F.col("body"), F.col("term"))
-    share = F.col("m") / F.size(_grams(F.col("term")))
-    value = F.when(times > 0, (F.lit(8.0) + F.log1p(n.cast("double"))) * times).when((n >= 4) & (share >= 0.5), share * n).otherwise(0.0)
-    by_term = met.select("chunk_id", "term", value.alias("v")).where("v > 0")
+    by_term = None
+    for part in _term_slices(terms):
+        one = _term_scores(chunks, part)
+        by_term = one if by_term is None else by_term.unionByName(one)
     scores = by_term.join(small(terms), "term").select("query_id", "chunk_id", "v")
     out = scores.unionByName(_page_bonus(questions.join(terms.select("query_id").distinct(), "query_id", "left_semi"), chunks)).groupBy("query_id", "chunk_id").agg(F.round(F.sum("v"), 4).alias("score"))
     return ranked(out, "query_id", [F.desc("score"), F.asc("chunk_id")], k)
 
 
+def _term_slices(terms: DataFrame) -> list[list[str]]:
+    different = terms.select("term").distinct()
+    parts = max(1, -(-different.count() // SMALL))
+    return [[r[0] for r in different.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == k).collect()] for k in range(parts)]
+
+
+def term_values(body: str, index: dict[str, list[str]], sizes: dict[str, int]) -> dict[str, float]:
+    """The score of each term for a text, without those of 0. index: pair of characters -> terms; sizes: different pairs."""
+    met: dict[str, int] = {}
+    for g in {body[i : i + 2] for i in range(len(body) - 1)} & index.keys():
+        for term in index[g]:
+            met[term] = met.get(term, 0) + 1
+    out = {}
+    for term, m in met.items():
+        times = body.count(term) if m == sizes[term] else 0
+        if times:
+            out[term] = (8.0 + math.log1p(len(term))) * times
+        elif len(term) >= 4 and 2 * m >= sizes[term]:
+            out[term] = m / sizes[term] * len(term)
+    return out
+
+
+def _term_scores(chunks: DataFrame, terms: list[str]) -> DataFrame:
+    """(chunk_id, term, v) with v > 0."""
+    index: dict[str, list[str]] = {}
+    sizes: dict[str, int] = {}
+    for term in sorted(terms):
+        grams = {term[i : i + 2] for i in range(len(term) - 1)}
+        sizes[term] = len(grams)
+        for g in grams:
+            index.setdefault(g, []).append(term)
+    shared = chunks.sparkSession.sparkContext.broadcast((index, sizes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, sizes = shared.value
+        for b in batches:
+            rows = [(c, term, v) for c, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for term, v in term_values(body, index, sizes).items()]
+            cols = list(zip(*rows)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.column(0).type), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64())], names=["chunk_id", "term", "v"])
+
+    body = chunks.select("chunk_id", F.concat_ws(" ", F.coalesce("chapter_hint", F.lit("")), F.coalesce("text", F.lit(""))).alias("body"))
+    return body.mapInArrow(run, f"chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, term string, v double")
+
+
 def _page_bonus(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """5 for each chunk whose page number, as text, stands anywhere in the question."""
     runs = F.regexp_extract_all("question", F.lit("[0-9]+"), 0)

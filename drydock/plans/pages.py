@@ -19,12 +19,13 @@ def normalized_text(spark, d):
 
 
 def line_clean(spark, d):
-    lines = chunking.clean_lines(F.col("text"))
-    return _chunks(spark, d, "text").select("id", F.size(lines).alias("n_lines"), F.array_join(lines, "\n").alias("text"))
+    lines = _chunks(spark, d, "text").select("id", chunking.clean_lines(F.col("text")).alias("lines"))
+    return lines.select("id", F.size("lines").alias("n_lines"), F.array_join("lines", "\n").alias("text"))
 
 
 def paragraph_join(spark, d):
-    return _chunks(spark, d, "text").select("id", chunking.paragraphs(chunking.clean_lines(F.col("text"))).alias("text"))
+    # the lines are a column of their own, else they would be made anew for every line looked at
+    return _chunks(spark, d, "text").select("id", chunking.clean_lines(F.col("text")).alias("lines")).select("id", chunking.paragraphs(F.col("lines")).alias("text"))
 
 
 def fill_forward_heading(spark, d):
