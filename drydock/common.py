@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -60,9 +61,26 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"drydock-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    if not (kept := _written.setdefault(spark.sparkContext.applicationId, [])):
+        atexit.register(release, spark)
+    kept.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_written: dict[str, list[str]] = {}
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this session; its results must have been written or read by then. Done by
+    itself when the driver program ends."""
+    sc = spark.sparkContext
+    if sc._jsc is None:
+        return
+    for path in _written.pop(sc.applicationId, []):
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def hot_keys(df: DataFrame, key: str, at_least: int = 10_000) -> DataFrame:
     """The keys above 1/HOT_SHARE of the rows (and at_least rows): never more than HOT_SHARE, so safe to broadcast."""
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
@@ -74,13 +92,14 @@ def hot_keys(df: DataFrame, key: str, at_least: int = 10_000) -> DataFrame:
     )
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", spread_by: str | None = None) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, key: str, how: str, spread_by: str) -> DataFrame:
     """Equi-join left to right (right has one row per key) with the hot keys of left spread over SALTS partitions.
 
-    right's rows of hot keys are repeated once per salt; all others once. how: inner, left or left_semi.
+    right's rows of hot keys are repeated once per salt; all others once. how: inner, left or left_semi. spread_by: a
+    column that tells the rows of a key apart.
     """
     hot = F.broadcast(hot_keys(left.select(key), key).withColumn("_hot", F.lit(True)))
-    by = F.xxhash64(spread_by) if spread_by else F.xxhash64(F.monotonically_increasing_id())
+    by = F.xxhash64(spread_by)
     a = left.join(hot, key, "left").withColumn(
         "_salt", F.when(F.col("_hot"), F.pmod(by, F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
     ).drop("_hot")
