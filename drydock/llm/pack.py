@@ -71,7 +71,15 @@ def pieces_of(doc_id: int, n: int, capacity: int) -> list[dict]:
 
 def _first(containers: list[tuple[str, int]]):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs = [(i, n) for b in batches for i, n in zip(b.column("doc_id").to_pylist(), b.column("n_tokens").to_pylist()) if n]
+        docs: list[tuple[int, int]] = []
+        for b in batches:
+            docs += [(i, n) for i, n in zip(b.column("doc_id").to_pylist(), b.column("n_tokens").to_pylist()) if n]
+            if len(docs) >= GROUP_BINS:
+                yield from close(docs)
+                docs = []
+        yield from close(docs)
+
+    def close(docs: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
         for name, capacity in containers:
             items = [p for i, n in docs for p in pieces_of(i, n, capacity)]
             out = pa.RecordBatch.from_pydict(_packed(name, capacity, [p["n_tokens"] for p in items], [[p] for p in items]), schema=_SCHEMA)

@@ -108,14 +108,17 @@ def limits_of(lines: DataFrame, chunks: DataFrame, limits: DataFrame, *keep: str
     )
 
 
+def _least(limits: DataFrame) -> int:
+    """The smallest limit: a text within it is within every limit and needs no look at its source."""
+    return limits.agg(F.min("max_chars")).first()[0] or 0
+
+
 def spans(lines: DataFrame, chunks: DataFrame, limits: DataFrame) -> DataFrame:
-    """(line_id, text, spans): the ordered pieces of each text as code point ranges, counted from 0, ends excluded.
-    A null text has none; an empty text has one empty piece."""
-    sized = limits_of(lines, chunks, limits, "text")
-    small = F.expr("array(named_struct('start', 0, 'end', length(text)))")
-    within = sized.where("length(text) <= max_chars").select("line_id", small.alias("spans"))
+    """(line_id, spans): the ordered pieces of each text that is larger than its limit, as code point ranges counted from
+    0, ends excluded. Only texts beyond the smallest limit are brought together with their source."""
+    sized = limits_of(lines.where(F.length("text") > _least(limits)), chunks, limits, "text")
     over = sized.where("length(text) > max_chars").select("line_id", "text", "max_chars", "overlap_chars")
-    return within, over.mapInArrow(_cut, "line_id bigint, spans array<struct<start:int,end:int>>")
+    return over.mapInArrow(_cut, "line_id bigint, spans array<struct<start:int,end:int>>")
 
 
 def pieces(lines: DataFrame, chunks: DataFrame, limits: DataFrame) -> DataFrame:
@@ -132,13 +135,13 @@ def pieces(lines: DataFrame, chunks: DataFrame, limits: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["line_id", "piece_no", "start", "end", "piece"])
 
-    sized = limits_of(lines, chunks, limits, "text").where("text is not null and max_chars is not null")
-    return sized.select("line_id", "text", "max_chars", "overlap_chars").mapInArrow(
-        cut, "line_id bigint, piece_no int, start int, end int, piece string"
-    )
+    least = _least(limits)
+    sized = limits_of(lines.where(F.length("text") > least), chunks, limits, "text").where("max_chars is not null")
+    large = sized.select("line_id", "text", "max_chars", "overlap_chars").mapInArrow(cut, "line_id bigint, piece_no int, start int, end int, piece string")
+    whole = lines.where(F.length("text") <= least).select("line_id", F.lit(0).alias("piece_no"), F.lit(0).alias("start"), F.length("text").alias("end"), F.col("text").alias("piece"))
+    return whole.unionByName(large)
 
 
 def found(lines: DataFrame, chunks: DataFrame, limits: DataFrame) -> DataFrame:
     """(line_id): the lines that were cut, that is have more than one piece."""
-    _, cut = spans(lines, chunks, limits)
-    return cut.where(F.size("spans") > 1).select("line_id")
+    return spans(lines, chunks, limits).where(F.size("spans") > 1).select("line_id")
