@@ -9,6 +9,7 @@ from ..functions import text as t
 from ..functions import vectors
 from ..operators import graph, qa, retrieval
 from .graph_build import _edges
+from .pages import _WS
 
 TOP_K = 4
 
@@ -62,7 +63,7 @@ def chunk_vector_topk(spark, d):
     """The nearest chunks of each question by hashed embedding."""
     c = vectors.embedded(_chunks(spark, d), "chunk_id", "text")
     q = vectors.embedded(_questions(spark, d), "query_id", "question")
-    return vectors.nearest(c, "chunk_id", q, "query_id", max(50, 8 * TOP_K))
+    return vectors.nearest(c, "chunk_id", q, "query_id", max(50, 8 * TOP_K)).withColumn("score", F.round("score", 6))
 
 
 def rrf_fusion(spark, d):
@@ -85,7 +86,7 @@ def take_unique(spark, d):
 
 def hybrid_retrieval(spark, d):
     q, c = _questions(spark, d), _chunks(spark, d)
-    return retrieval.hybrid(q, c, chunk_vector_topk(spark, d), TOP_K)
+    return retrieval.hybrid(q, c, chunk_vector_topk(spark, d), TOP_K).withColumn("score", F.round("score", 6))
 
 
 def route_questions(spark, d):
@@ -167,6 +168,22 @@ def _sql_any(terms: list[str]) -> str:
     return f"regexp_matches(s, '{'|'.join(terms)}')"
 
 
+def _sql_vectors(name: str, key: str, text: str, source: str) -> str:
+    """CTEs for the sparse hashed embeddings of a text column: name(key, place, x), of length 1."""
+    return f"""{name}_c AS (SELECT {key}, list_filter(string_split({text}, ''), lambda x: NOT regexp_matches(x, '^{_WS}$')) AS l FROM {source} WHERE {text} IS NOT NULL),
+{name}_t AS (SELECT {key}, tok, count(*) AS n FROM (SELECT {key}, unnest(list_concat(l, list_transform(range(1, len(l)), lambda i: l[i] || l[i + 1]))) AS tok FROM {name}_c) GROUP BY ALL),
+{name}_h AS (SELECT tok, md5(tok) AS h FROM (SELECT DISTINCT tok FROM {name}_t)),
+{name}_p AS (SELECT tok, CAST(('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2)) AS BIGINT) % 384 AS place, CASE WHEN CAST('0x' || substr(h, 9, 2) AS INTEGER) % 2 = 0 THEN 1 ELSE -1 END AS sign FROM {name}_h),
+{name}_s AS (SELECT {key}, place, CAST(sum(sign * n) AS DOUBLE) AS x FROM {name}_t JOIN {name}_p USING (tok) GROUP BY ALL),
+{name} AS (SELECT {key}, place, x / sqrt(sum(x * x) OVER (PARTITION BY {key})) AS x FROM {name}_s QUALIFY x <> 0)"""
+
+
+_VEC = _sql_vectors("qv", "query_id", "question", "q") + ", " + _sql_vectors("cv", "chunk_id", "text", "(SELECT id AS chunk_id, text FROM chunks)") + """,
+vd AS (SELECT query_id, chunk_id, sum(qv.x * cv.x) AS s FROM qv JOIN cv USING (place) GROUP BY ALL),
+va AS (SELECT query_id, chunk_id, round(coalesce(s, 0.0), 9) AS score FROM (SELECT DISTINCT query_id FROM qv) CROSS JOIN (SELECT id AS chunk_id FROM chunks) LEFT JOIN vd USING (query_id, chunk_id)),
+vec AS (SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM va) WHERE rank <= 50)"""
+
+
 def _sql_route(key: str, source: str) -> str:
     intents = " ".join(f"WHEN {_sql_any(v)} THEN '{k}'" for k, v in qa.INTENTS)
     rules = " ".join("WHEN " + " AND ".join([*(f"contains(s, '{x}')" for x in every), *([_sql_any(some)] if some else [])]) + f" THEN '{name}'" for every, some, name in qa.RULES)
@@ -182,6 +199,24 @@ ORACLE = {
     "page_hint_search": f"WITH {_Q}, {_HINT} SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM hint",
     "vector_topk": """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS score FROM embeddings q JOIN embeddings e ON q.vec_id % 20 = 0 AND q.vec_id <> e.vec_id)
 SELECT query_id, vec_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 10""",
+    "chunk_vector_topk": f"WITH {_Q}, {_VEC} SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM vec",
+    "hybrid_retrieval": f"""WITH {_KEY}, {_HINT}, {_VEC},
+l AS (SELECT query_id, chunk_id, 'page_hint' AS src, 0 AS at0, rank, 2.5 / (60 + rank) AS v FROM hint UNION ALL SELECT query_id, chunk_id, 'vector', 1, rank, 1.0 / (60 + rank) FROM vec UNION ALL SELECT query_id, chunk_id, 'keyword', 2, rank, 1.35 / (60 + rank) FROM kw),
+g AS (SELECT query_id, chunk_id, round(sum(CAST(v AS DOUBLE)), 6) AS score, array_to_string(list_sort(list(DISTINCT src)), '+') AS sources, min((at0, rank)) AS o FROM l GROUP BY ALL),
+ev AS (SELECT query_id, chunk_id, score, sources, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, o, chunk_id) AS rank FROM g),
+tl AS (SELECT query_id, chunk_id, score, 0 AS at0, rank AS r FROM hint UNION ALL SELECT query_id, chunk_id, score, 1, rank FROM ev WHERE query_id IN (SELECT query_id FROM hint)),
+tu AS (SELECT query_id, chunk_id, arg_min(score, (at0, r)) AS score, min((at0, r)) AS o FROM tl GROUP BY ALL),
+th AS (SELECT query_id, chunk_id, score, 'page_hint' AS source, row_number() OVER (PARTITION BY query_id ORDER BY o) AS rank FROM tu),
+fp AS (SELECT page, min(chunk_id) AS chunk_id FROM onp GROUP BY page),
+docs AS (SELECT k.query_id, k.chunk_id, k.score, k.sources, k.rank, c.page_start, coalesce(c.page_end, c.page_start) AS page_end FROM ev k JOIN chunks c ON c.id = k.chunk_id WHERE k.rank <= 4 AND k.query_id NOT IN (SELECT query_id FROM hint)),
+a AS (SELECT query_id, chunk_id, score, sources AS source, rank, 0 AS slot FROM docs
+  UNION ALL SELECT query_id, fp.chunk_id, greatest(score * 0.92, 0.0001), 'page_neighbor', rank, 1 FROM docs JOIN fp ON fp.page = page_start - 1 WHERE page_start > 1
+  UNION ALL SELECT query_id, fp.chunk_id, greatest(score * 0.92, 0.0001), 'page_neighbor', rank, 2 FROM docs JOIN fp ON fp.page = page_end + 1),
+u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY rank, slot) AS z FROM a) WHERE z = 1),
+o AS (SELECT query_id, chunk_id, score, source, rank AS doc, slot, row_number() OVER (PARTITION BY query_id ORDER BY rank, slot) AS rank FROM u),
+p AS (SELECT *, lag(slot) OVER w AS bs, lag(doc) OVER w AS bd FROM o WINDOW w AS (PARTITION BY query_id ORDER BY rank))
+SELECT query_id, chunk_id, round(score, 6) AS score, source, CAST(rank AS INTEGER) AS rank FROM p WHERE rank <= 4 OR (rank = 5 AND slot > 0 AND bs = 0 AND bd = doc)
+UNION ALL SELECT query_id, chunk_id, round(score, 6), source, CAST(rank AS INTEGER) FROM th WHERE rank <= 3""",
     "rrf_fusion": f"""WITH {_KEY}, {_HINT},
 l AS (SELECT query_id, chunk_id, 'page_hint' AS src, 0 AS at0, rank, 2.5 / (60 + rank) AS v FROM hint UNION ALL SELECT query_id, chunk_id, 'keyword', 2, rank, 1.35 / (60 + rank) FROM kw),
 g AS (SELECT query_id, chunk_id, round(sum(CAST(v AS DOUBLE)), 6) AS score, array_to_string(list_sort(list(DISTINCT src)), '+') AS sources, min((at0, rank)) AS o FROM l GROUP BY ALL)
