@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..common import small
 from ..functions import text as t
 from ..functions.vectors import ranked
 
@@ -82,11 +83,24 @@ def candidates(rows: DataFrame, least: float = 0.55) -> tuple[DataFrame, DataFra
     return nodes, edges
 
 
-def entities(nodes: DataFrame) -> DataFrame:
-    """Nodes by (name, type): first non-empty definition, pages and chunks met, mean confidence. Types outside the
-    ontology become ProcessObject; names that are none are dropped. The document itself is a node of its own."""
+def _good_nodes(nodes: DataFrame) -> DataFrame:
     kind = F.when(F.col("type").isin(t.ENTITY_TYPES), F.col("type")).otherwise(F.lit("ProcessObject"))
-    good = nodes.withColumn("type", kind).where(~t.bad_entity(F.col("name")))
+    return nodes.withColumn("type", kind).where(~t.bad_entity(F.col("name")))
+
+
+def entity_chunks(nodes: DataFrame) -> DataFrame:
+    """(id, chunk): the chunks that name each entity, once each."""
+    met = _good_nodes(nodes).where("chunk <> ''").select(t.entity_id(F.col("name"), F.col("type")).alias("id"), "chunk")
+    return met.distinct()
+
+
+def entities(nodes: DataFrame) -> DataFrame:
+    """Nodes by (name, type): first non-empty definition, pages met, number of chunks, mean confidence. Types outside the
+    ontology become ProcessObject; names that are none are dropped. The document itself is a node of its own.
+
+    A node that a third of all rows name is counted by (node, chunk) first, so no task holds its chunks; which they are
+    says entity_chunks."""
+    good = _good_nodes(nodes)
     one = F.when(F.coalesce("definition", F.lit("")) != "", F.col("definition"))
     own = good.select("at", "name", "type", "conf", "definition", "page", "chunk")
     doc = own.sparkSession.range(1).select(
@@ -96,9 +110,9 @@ def entities(nodes: DataFrame) -> DataFrame:
     return own.unionByName(doc).groupBy("name", "type").agg(
         F.min_by(one, F.when(one.isNotNull(), F.col("at"))).alias("definition"),
         F.array_sort(F.collect_set(F.when(F.col("page") != 0, F.col("page")))).alias("source_pages"),
-        F.array_sort(F.collect_set(F.when(F.col("chunk") != "", F.col("chunk")))).alias("source_chunks"),
+        F.count_distinct(F.when(F.col("chunk") != "", F.col("chunk"))).cast("int").alias("n_chunks"),
         mean_confidence(),
-    ).select(t.entity_id(F.col("name"), F.col("type")).alias("id"), "name", "type", F.coalesce("definition", F.lit("")).alias("definition"), "source_pages", "source_chunks", "confidence")
+    ).select(t.entity_id(F.col("name"), F.col("type")).alias("id"), "name", "type", F.coalesce("definition", F.lit("")).alias("definition"), "source_pages", "n_chunks", "confidence")
 
 
 def relations(edges: DataFrame) -> DataFrame:
@@ -111,11 +125,11 @@ def relations(edges: DataFrame) -> DataFrame:
     return good.groupBy(*keys).agg(
         F.min_by(said, F.struct(-F.length(said), F.col("at"))).alias("evidence"),
         F.array_sort(F.collect_set(F.when(F.col("page") != 0, F.col("page")))).alias("source_pages"),
-        F.array_sort(F.collect_set(F.when(F.col("chunk") != "", F.col("chunk")))).alias("source_chunks"),
+        F.count_distinct(F.when(F.col("chunk") != "", F.col("chunk"))).cast("int").alias("n_chunks"),
         mean_confidence(),
     ).select(
         t.entity_id(F.col("head"), F.col("head_type")).alias("head_id"), t.entity_id(F.col("tail"), F.col("tail_type")).alias("tail_id"), *keys,
-        t.relation_zh(F.col("relation")).alias("relation_zh"), "evidence", "source_pages", "source_chunks", "confidence",
+        t.relation_zh(F.col("relation")).alias("relation_zh"), "evidence", "source_pages", "n_chunks", "confidence",
     )
 
 
@@ -149,6 +163,7 @@ def neighborhood(seeds: DataFrame, edges: DataFrame, hops: int, limit: int | Non
         return _all_near(seeds, both, hops)
     # a path list is cut at `limit` in the order of edges, so of a node only its first edges can matter
     both = ranked(both, "a", [F.col("edge_id")], limit + 1).select("edge_id", "a", "b")
+    seeds = small(seeds)
     one = seeds.join(both, seeds["id"] == both["a"]).select("query_id", "id", F.col("edge_id").alias("e1"), F.col("b").alias("far"))
     paths = one.select("query_id", F.lit(1).alias("len"), "id", "e1", F.lit(None).cast(edges.schema["edge_id"].dataType).alias("e2"))
     if hops == 2:
@@ -161,7 +176,7 @@ def neighborhood(seeds: DataFrame, edges: DataFrame, hops: int, limit: int | Non
 
 def _all_near(seeds: DataFrame, both: DataFrame, hops: int) -> DataFrame:
     """All edges within the hops. Nodes reached are made distinct before the next step, so hubs are entered once a query."""
-    first = seeds.select("query_id", F.col("id").alias("a")).distinct().join(both, "a").select("query_id", "edge_id", "b")
+    first = small(seeds.select("query_id", F.col("id").alias("a")).distinct()).join(both, "a").select("query_id", "edge_id", "b")
     met = first.select("query_id", "edge_id", F.lit(1).alias("hops"))
     if hops == 2:
         reached = first.select("query_id", F.col("b").alias("a")).distinct()

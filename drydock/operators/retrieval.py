@@ -9,20 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..common import durable
+from ..common import SMALL, durable, small
 from ..functions import text as t
 from ..functions.vectors import ranked
 
 RRF_K = 60
 #: Weight of each list in the fusion, in the order of precedence (fixed values).
 WEIGHTS = {"page_hint": 2.5, "vector": 1.0, "keyword": 1.35}
-#: Lists of at most so many rows are broadcast; larger ones are joined by shuffle.
-SMALL = 200_000
-
-
-def small(df: DataFrame) -> DataFrame:
-    """df marked for broadcast if a count shows that it is small."""
-    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
 
 
 def entities_of(relations: DataFrame) -> DataFrame:

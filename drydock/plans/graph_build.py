@@ -17,12 +17,16 @@ def _candidates(spark, d):
 
 def graph_entities(spark, d):
     e = graph.entities(_candidates(spark, d)[0])
-    return e.select("id", "name", "type", "definition", F.array_join(F.col("source_pages").cast("array<string>"), ",").alias("pages"), F.size("source_chunks").alias("n_chunks"), "confidence")
+    return e.select("id", "name", "type", "definition", F.array_join(F.col("source_pages").cast("array<string>"), ",").alias("pages"), "n_chunks", "confidence")
+
+
+def entity_chunks(spark, d):
+    return graph.entity_chunks(_candidates(spark, d)[0])
 
 
 def graph_relations(spark, d):
     r = graph.relations(_candidates(spark, d)[1])
-    return r.select("head_id", "tail_id", "head", "head_type", "relation", "relation_zh", "tail", "tail_type", "evidence", F.array_join(F.col("source_pages").cast("array<string>"), ",").alias("pages"), F.size("source_chunks").alias("n_chunks"), "confidence")
+    return r.select("head_id", "tail_id", "head", "head_type", "relation", "relation_zh", "tail", "tail_type", "evidence", F.array_join(F.col("source_pages").cast("array<string>"), ",").alias("pages"), "n_chunks", "confidence")
 
 
 def graph_totals(spark, d):
@@ -96,7 +100,7 @@ def neighborhood_facts(spark, d):
     return met.join(edges, "edge_id").select("query_id", "edge_id", "hops", "head_id", "relation", "tail_id", F.coalesce(F.nullif("confidence", F.lit(0.0)), F.lit(0.75)).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (graph_entities, graph_relations, graph_totals, entity_type_counts, relation_type_counts, graph_degree_top20, isolated_entities, edge_import, node_merge, neighborhood_1hop, neighborhood_2hop, neighborhood_facts)}
+QUERIES = {f.__name__: f for f in (graph_entities, entity_chunks, graph_relations, graph_totals, entity_type_counts, relation_type_counts, graph_degree_top20, isolated_entities, edge_import, node_merge, neighborhood_1hop, neighborhood_2hop, neighborhood_facts)}
 
 _CONF = "CASE WHEN {0} IS NULL THEN 0.75 ELSE greatest(0.0, least(1.0, CASE WHEN {0} > 1 THEN {0} / 100 ELSE {0} END)) END"
 _KIND = "coalesce(nullif({}, ''), 'ProcessObject')"
@@ -142,6 +146,7 @@ one AS (SELECT query_id, id, edge_id AS e1, b AS far FROM seeds JOIN both_ ON id
 two AS (SELECT query_id, id, e1, edge_id AS e2 FROM one JOIN both_ ON far = a WHERE edge_id <> e1)"""
 ORACLE = {
     "graph_entities": f"WITH {_BASE}, {_NODES} SELECT * FROM ents",
+    "entity_chunks": f"WITH {_BASE}, {_NODES} SELECT DISTINCT {sql_id('name', 'type')} AS id, chunk FROM named WHERE chunk <> ''",
     "graph_relations": f"WITH {_BASE}, {_EDGES} SELECT * FROM rels",
     "graph_totals": f"WITH {_BASE}, {_NODES}, {_EDGES}, {_DEG} SELECT (SELECT count(*) FROM sample_raw_extractions) AS raw_rows, (SELECT count(*) FROM ents) AS entities, (SELECT count(*) FROM rels) AS relations, (SELECT count(*) FROM ents WHERE id NOT IN (SELECT id FROM deg)) AS isolated_entities",
     "entity_type_counts": f"WITH {_BASE}, {_NODES} SELECT type, count(*) AS n FROM ents GROUP BY type",
