@@ -149,22 +149,24 @@ def invalid_values(pairs: DataFrame, shape: Shape = EXTRACTION) -> DataFrame:
     )
 
 
+def _bad_values(checked: DataFrame, shape: Shape) -> DataFrame:
+    """(line_id, reason_code) of the structurally sound rows that hold an invalid value."""
+    pairs = checked.where("reason_code is null").select("line_id", F.inline("vals"))
+    bad = durable(invalid_values(pairs, shape).select(F.struct("field", "value").alias("at"), "reason_code"))
+    at = pairs.select("line_id", F.struct("field", "value").alias("at"))
+    hit = at.join(F.broadcast(bad), "at") if bad.count() <= BROADCAST_VALUES else salted_join(at, bad, "at", "inner", "line_id")
+    return hit.groupBy("line_id").agg(F.min("reason_code").alias("reason_code"))
+
+
 def found(rows: DataFrame, shape: Shape = EXTRACTION) -> DataFrame:
     """(line_id, reason_code): rows (line_id, raw_response) that are not usable, with the first reason that applies.
     A null or empty response has no object; repeated keys count once, with their last value."""
     checked = durable(structure(rows.select("line_id", "raw_response"), shape).select("line_id", "reason_code", "vals"))
-    pairs = checked.where("reason_code is null").select("line_id", F.inline("vals"))
-    bad = durable(invalid_values(pairs, shape).withColumn("at", F.struct("field", "value")))
-    at = pairs.select("line_id", F.struct("field", "value").alias("at"))
-    if bad.count() <= BROADCAST_VALUES:
-        hit = at.join(F.broadcast(bad.select("at", "reason_code")), "at")
-    else:
-        hit = salted_join(at, bad.select("at", "reason_code"), "at", "inner", "line_id")
-    values = hit.groupBy("line_id").agg(F.min("reason_code").alias("reason_code"))
-    return checked.where("reason_code is not null").select("line_id", "reason_code").unionByName(values)
+    return checked.where("reason_code is not null").select("line_id", "reason_code").unionByName(_bad_values(checked, shape))
 
 
 def usable(rows: DataFrame, shape: Shape = EXTRACTION) -> DataFrame:
     """(line_id, object): the usable rows with their object as compact JSON."""
-    read = structure(rows.select("line_id", "raw_response"), shape).where("reason_code is null").select("line_id", "object")
-    return read.join(found(rows, shape).select("line_id"), "line_id", "left_anti")
+    checked = durable(structure(rows.select("line_id", "raw_response"), shape))
+    sound = checked.where("reason_code is null").select("line_id", "object")
+    return sound.join(_bad_values(checked, shape).select("line_id"), "line_id", "left_anti")

@@ -180,7 +180,16 @@ g2 AS (SELECT *, CASE WHEN evidence THEN 'multi_agent_graph_rag' ELSE 'multi_age
 g3 AS (SELECT *, starts_with(mode, coalesce(expected_mode_prefix, '')) AND keyword_ok AND (evidence OR NOT coalesce(require_graph, false)) AND sections AND citation AND (coalesce(allow_uncertain, false) OR NOT uncertain) AND NOT mojibake AND NOT bold AS pass FROM g2)"""
 _ALL = f"{_RM}, {_CP}, jg AS (SELECT g3.*, mt.precision, mt.recall, mt.hit, mt.mrr, mt.ndcg FROM g3 LEFT JOIN mt ON mt.query_id = g3.id)"
 _MEANS = "count(*) AS cases, " + ", ".join(f"coalesce(round(avg(CAST({c} AS DOUBLE)), 4), 0.0) AS {c}" for c in evaluation.METRICS)
+_CAND = f"""cand AS (SELECT DISTINCT page, confidence, head, tail, relation_zh FROM (SELECT source_pages[1] AS page, coalesce(confidence, 0.0) AS confidence, {_TERM.format("coalesce(head, '')")} AS head, {_TERM.format("coalesce(tail, '')")} AS tail, {_TERM.format("coalesce(relation_zh, relation, '')")} AS relation_zh, coalesce(evidence, '') AS evidence FROM relations)
+  WHERE {_good('head')} AND {_good('tail')} AND length(evidence) >= 12 AND page >= 8)"""
 ORACLE = {
+    "relation_cases": f"""WITH RECURSIVE {_CAND},
+rw AS (SELECT *, head || '|' || tail AS pair, row_number() OVER (ORDER BY page, confidence DESC, head, tail, relation_zh) AS i FROM cand),
+st AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS pairs, []::INTEGER[] AS pages, []::BIGINT[] AS took
+  UNION ALL SELECT rw.i, CASE WHEN ok THEN list_append(pairs, pair) ELSE pairs END, CASE WHEN ok THEN list_append(pages, page) ELSE pages END, CASE WHEN ok THEN list_append(took, rw.i) ELSE took END
+  FROM (SELECT rw.*, st.pairs, st.pages, st.took, NOT list_contains(st.pairs, rw.pair) AND len(list_filter(st.pages, lambda x: x = rw.page)) < 2 AND len(st.took) < 100 AS ok FROM st JOIN rw ON rw.i = st.i + 1) rw),
+fin AS (SELECT took FROM st ORDER BY i DESC LIMIT 1)
+SELECT CAST(k AS INTEGER) AS case_no, page, head, tail, relation_zh FROM (SELECT unnest(range(1, len(took) + 1)) AS k, took FROM fin) JOIN rw ON rw.i = took[k]""",
     "term_mining": f"WITH {_MINED} SELECT chunk_id, term, weight, CAST(rank AS INTEGER) AS rank FROM tr",
     "systematic_sample": f"WITH {_SAMPLE} SELECT chunk_id, page_start FROM sm",
     "chunk_cases": f"WITH {_CC} SELECT * FROM cc",

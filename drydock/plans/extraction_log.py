@@ -11,9 +11,11 @@ TEMPLATE = "Extract entities and triples as JSON."
 
 
 def compact_latest_success(spark, d):
-    log = table(spark, d, "sample_raw_extractions", "line_id", "source_chunk", "source_page", "error", "entities", "triples")
-    own = extraction.compacted(log, ["line_id", "source_page", "error", "entities", "triples"])
-    return own.select("source_chunk", "line_id", "source_page", "error", F.greatest(F.coalesce(F.size("entities"), F.lit(0)), F.lit(0)).alias("n_entities"), F.greatest(F.coalesce(F.size("triples"), F.lit(0)), F.lit(0)).alias("n_triples"))
+    log = table(spark, d, "sample_raw_extractions")
+    # one field of each list is enough to count it; the scan reads no others
+    count = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+    slim = log.select("line_id", "source_chunk", "source_page", "error", count("entities.confidence").alias("n_entities"), count("triples.confidence").alias("n_triples"))
+    return extraction.compacted(slim, ["line_id", "source_page", "error", "n_entities", "n_triples"])
 
 
 def compaction_stats(spark, d):
