@@ -54,8 +54,8 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-#: Query vectors are sent to the data in blocks of so many.
-BLOCK = 2048
+#: Query vectors are sent to the data in blocks of so many, and meet so many items at a time.
+BLOCK, ITEMS = 512, 2048
 
 
 def nearest(items: DataFrame, item: str, queries: DataFrame, query: str, k: int, without_self: bool = False) -> DataFrame:
@@ -76,27 +76,22 @@ def nearest(items: DataFrame, item: str, queries: DataFrame, query: str, k: int,
         ids, m = [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64)
         m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
         shared = spark.sparkContext.broadcast((ids, m))
+        keep = k + 1 if without_self else k
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, m = shared.value
-            best: list[tuple[np.ndarray, list]] = []
             top_s, top_i = np.empty((len(ids), 0)), np.empty((len(ids), 0), dtype=object)
             for batch in batches:
                 batch = batch.filter(batch.column(1).is_valid())
-                if not batch.num_rows:
-                    continue
-                keys = np.array(batch.column(0).to_pylist(), dtype=object)
-                v = np.array(batch.column(1).to_pylist(), dtype=np.float64)
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                s = np.round(m @ v.T, 9)
-                s = np.concatenate([top_s, s], axis=1)
-                i = np.concatenate([top_i, np.broadcast_to(keys, (len(ids), len(keys)))], axis=1)
-                keep = k + 1 if without_self else k
-                order = np.array([sorted(range(s.shape[1]), key=lambda j, r=r: (-s[r, j], i[r, j]))[:keep] for r in range(len(ids))]) if s.shape[1] <= keep else _top(s, i, keep)
-                top_s, top_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+                for at in range(0, batch.num_rows, ITEMS):
+                    some = batch.slice(at, ITEMS)
+                    v = np.array(some.column(1).to_pylist(), dtype=np.float64)
+                    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+                    top_s, top_i = best_of(top_s, top_i, np.round(m @ v.T, 9), np.array(some.column(0).to_pylist(), dtype=object), keep)
             n = top_s.shape[1]
-            q = [x for x in ids for _ in range(n)]
-            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(top_i.ravel().tolist()), pa.array(top_s.ravel())], names=[query, item, "score"]) if n else pa.RecordBatch.from_arrays([pa.array([], batch_type(kinds[query])), pa.array([], batch_type(kinds[item])), pa.array([], pa.float64())], names=[query, item, "score"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x for x in ids for _ in range(n)], batch_type(kinds[query])), pa.array(top_i.ravel().tolist(), batch_type(kinds[item])), pa.array(top_s.ravel(), pa.float64())], names=[query, item, "score"]
+            )
 
         part = items.select(item, "embedding").mapInArrow(run, f"`{query}` {kinds[query]}, `{item}` {kinds[item]}, score double")
         out = part if out is None else out.unionByName(part)
@@ -111,14 +106,22 @@ def batch_type(kind: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
 
 
-def _top(s: np.ndarray, i: np.ndarray, k: int) -> np.ndarray:
-    """The places of the k best of each row, ties by id."""
-    cut = -np.partition(-s, k - 1, axis=1)[:, k - 1]
-    out = []
-    for r in range(len(s)):
-        at = np.flatnonzero(s[r] >= cut[r])
-        out.append(sorted(at.tolist(), key=lambda j: (-s[r, j], i[r, j]))[:k])
-    return np.array(out)
+def best_of(top_s: np.ndarray, top_i: np.ndarray, s: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each row of (scores, keys) so far and of new scores, whose columns have these keys; of equal scores
+    at the edge the smaller keys."""
+    old = top_s.shape[1]
+    s = np.concatenate([top_s, s], axis=1)
+    if s.shape[1] <= k:
+        return s, np.concatenate([top_i, np.broadcast_to(keys, (len(s), len(keys)))], axis=1)
+    pick = np.argpartition(-s, k - 1, axis=1)[:, :k]
+    cut = np.take_along_axis(s, pick, 1).min(axis=1)
+    name = lambda r, j: top_i[r, j] if j < old else keys[j - old]
+    for r in np.flatnonzero((s >= cut[:, None]).sum(axis=1) > k):
+        pick[r] = sorted(np.flatnonzero(s[r] >= cut[r]).tolist(), key=lambda j: (-s[r, j], name(r, j)))[:k]
+    chosen = keys[np.maximum(pick - old, 0)]
+    if old:
+        chosen = np.where(pick < old, np.take_along_axis(top_i, np.minimum(pick, old - 1), 1), chosen)
+    return np.take_along_axis(s, pick, 1), chosen
 
 
 def ranked(df: DataFrame, key: str, order: list[Column], k: int | None = None) -> DataFrame:

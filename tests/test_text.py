@@ -96,3 +96,19 @@ def test_keyword_score(spark):
     c = spark.createDataFrame([("c1", 9, None, "ababab"), ("c2", 9, None, "xxabxxbc"), ("c3", 9, None, None)], "chunk_id string, page_start int, chapter_hint string, text string")
     got = {r["chunk_id"]: r["score"] for r in retrieval.keyword_hits(q, c).collect()}
     assert got["c1"] == round(3 * (8 + math.log(3)), 4) and got["c2"] == round(8 + math.log(3) + 2 / 3 * 4, 4) and "c3" not in got
+
+
+def test_nearest_as_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 7)
+    monkeypatch.setattr(vectors, "ITEMS", 5)
+    r = np.random.default_rng(1)
+    v = r.integers(-2, 3, (90, 3)).astype(float)  # many ties, some zero vectors
+    items = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(99, None)], "i bigint, embedding array<double>").repartition(4)
+    queries = items.where("i % 4 = 0").withColumnRenamed("i", "q")
+    unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    s = np.round(unit @ unit.T, 9)
+    for self_too in (False, True):
+        got = sorted((x["q"], x["rank"], x["i"]) for x in vectors.nearest(items, "i", queries, "q", 6, without_self=not self_too).collect())
+        want = [(q, n + 1, i) for q in range(0, 90, 4) for n, i in enumerate(sorted((i for i in range(90) if self_too or i != q), key=lambda i: (-s[q, i], i))[:6])]
+        assert got == want
+    assert vectors.nearest(items, "i", queries.limit(0), "q", 6).count() == 0 and vectors.nearest(items.limit(0), "i", queries, "q", 6).count() == 0
