@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -90,8 +89,8 @@ def read_answer(raw: Column) -> Column:
     with single quotes and bare names allowed; else its outermost braces; else with commas mended."""
     s = F.regexp_replace(raw, r"\[unused[0-9]+\]", "")
     s = F.regexp_replace(F.regexp_replace(F.btrim(s, F.lit(" \n\r\t﻿")), "^```(?:json)?\\s*", ""), "\\s*```\\s*$", "")
-    strict = {"mode": "FAILFAST" and "PERMISSIVE"}
-    loose = {**strict, "allowSingleQuotes": "true", "allowUnquotedFieldNames": "true", "allowComments": "true", "allowUnquotedControlChars": "true"}
+    strict: dict[str, str] = {}
+    loose = {"allowSingleQuotes": "true", "allowUnquotedFieldNames": "true", "allowComments": "true", "allowUnquotedControlChars": "true"}
     body = _outer(s)
     mended = F.regexp_replace(body, r",\s*([}\]])", "$1")
     mended = F.regexp_replace(mended, r"\}(\s*)\{", "},$1{")

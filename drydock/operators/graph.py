@@ -14,14 +14,6 @@ DOCUMENT = "中级船体装配工工艺学"
 NOTES = {"chapter": "教材章节", "entity": "实体出现在该章节文本块中", "head": "三元组头实体出现在该章节", "tail": "三元组尾实体出现在该章节"}
 
 
-def _mentions(rows: DataFrame, least: float) -> DataFrame:
-    """One row for each chapter, entity and triple visit: the line's fields beside, in the order of a sequential read."""
-    base = rows.select(
-        "line_id", F.col("source_chunk").alias("chunk"), F.col("source_page").alias("page"), t.norm_name(F.col("chapter_hint")).alias("chapter"), "entities", "triples"
-    )
-    return base
-
-
 def mean_confidence() -> Column:
     """The mean of conf to 4 places, half up, in whole millionths: the same whatever order the rows come in."""
     total = "sum(cast(round(conf * 1000000) as bigint))"
@@ -32,7 +24,7 @@ def candidates(rows: DataFrame, least: float = 0.55) -> tuple[DataFrame, DataFra
     """(nodes, edges) met in the rows, before grouping. at orders them as a sequential read would meet them.
 
     Everything a row contributes is built as one array in the row and expanded once."""
-    base = _mentions(rows, least)
+    base = rows.select("line_id", F.col("source_chunk").alias("chunk"), F.col("source_page").alias("page"), t.norm_name(F.col("chapter_hint")).alias("chapter"), "entities", "triples")
     first = lambda x, y: F.coalesce(F.nullif(x, F.lit("")), y)
     page = lambda p: F.when(p != 0, p)
     ent = F.filter(

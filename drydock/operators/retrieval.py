@@ -85,6 +85,18 @@ def linked(questions: DataFrame, entities: DataFrame, limit: int = 8) -> DataFra
     return one.unionByName(two).unionByName(three)
 
 
+def search_seeds(mentions: DataFrame, entities: DataFrame, limit: int = 10) -> DataFrame:
+    """(query_id, id, name, tier): entities whose name holds the mention, the shortest first; only where there are none,
+    fuzzy ones.
+
+    mentions: (query_id, question), the mention as the question."""
+    entities = durable(entities)
+    one = containing(mentions.select("query_id", F.lit(0).alias("pos"), F.col("question").alias("term")), entities, limit)
+    one = durable(one.select("query_id", "id", "name", F.lit(1).alias("tier")))
+    rest = mentions.join(one.select("query_id").distinct(), "query_id", "left_anti")
+    return one.unionByName(fuzzy(rest, entities, limit).select("query_id", "id", "name", F.lit(2).alias("tier")))
+
+
 def terms_of(questions: DataFrame) -> DataFrame:
     return questions.select("query_id", F.explode(t.query_terms(F.col("question"))).alias("term"))
 

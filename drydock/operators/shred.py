@@ -110,11 +110,21 @@ def _names(lines: DataFrame) -> DataFrame:
 
 def head_references(nodes: DataFrame) -> DataFrame:
     """(line_id, triple_pos, entity_pos): the entity that each triple's head names: the first whose name equals it, else
-    the first with an equal alias. Names, aliases and heads of equal value meet by grouping on (line, value)."""
-    kind = F.when(F.col("node").startswith("triples/"), "head").when(F.col("label") == "name", "name").otherwise("alias")
-    at = F.regexp_extract("node", r"^[a-z]+/([0-9]+)\.", 1).cast("int")
-    values = nodes.where(F.col("scalar").isNotNull() & F.col("label").isin("name", "aliases", "head")).select("line_id", "scalar", kind.alias("kind"), at.alias("pos"))
-    met = values.groupBy("line_id", "scalar").agg(
+    the first with an equal alias.
+
+    Object nodes meet their scalar children and are pivoted into rows of entities and triples (position, name, aliases,
+    head); names, aliases and heads of equal value then meet by grouping on (line, value). Both groupings keep the
+    partitioning by line."""
+    at = F.regexp_extract("node", "^[a-z]+/[0-9]+", 0)
+    scalar = lambda label: F.when(F.col("label") == label, F.col("scalar"))
+    own = F.when(F.col("scalar").isNull() & (F.col("node") == F.col("_at")), F.col("ordinal"))
+    objects = nodes.withColumn("_at", at).groupBy("line_id", "_at").agg(
+        F.max(own).alias("pos"), F.max(scalar("name")).alias("name"), F.max(scalar("head")).alias("head"), F.collect_list(scalar("aliases")).alias("aliases")
+    )
+    cell = lambda kind, v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
+    cells = F.concat(F.array(cell("name", F.col("name")), cell("head", F.col("head"))), F.transform("aliases", lambda x: cell("alias", x)))
+    values = objects.where("pos is not null").select("line_id", "pos", F.inline(F.filter(cells, lambda x: x["value"].isNotNull())))
+    met = values.groupBy("line_id", "value").agg(
         F.min(F.when(F.col("kind") == "name", F.col("pos"))).alias("by_name"),
         F.min(F.when(F.col("kind") == "alias", F.col("pos"))).alias("by_alias"),
         F.collect_list(F.when(F.col("kind") == "head", F.col("pos"))).alias("heads"),
