@@ -62,7 +62,7 @@ def durable(df: DataFrame) -> DataFrame:
     path = os.path.join(shared_dir(spark), f"drydock-{uuid.uuid4().hex}")
     df.write.parquet(path)
     if not (kept := _written.setdefault(spark.sparkContext.applicationId, [])):
-        atexit.register(release, spark)
+        atexit.register(_release_at_end, spark)
     kept.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -70,6 +70,13 @@ def durable(df: DataFrame) -> DataFrame:
 _written: dict[str, list[str]] = {}
 
 
+def _release_at_end(spark: SparkSession) -> None:
+    try:
+        release(spark)
+    except Exception:  # noqa: BLE001 - the session may be gone by then, and its folder with it
+        pass
+
+
 def release(spark: SparkSession) -> None:
     """Delete the intermediate tables of this session; its results must have been written or read by then. Done by
     itself when the driver program ends."""
