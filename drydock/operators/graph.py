@@ -24,8 +24,11 @@ def candidates(rows: DataFrame, least: float = 0.55) -> tuple[DataFrame, DataFra
     """(nodes, edges) met in the rows, before grouping. at orders them as a sequential read would meet them.
 
     Everything a row contributes is built as one array in the row and expanded once."""
-    base = rows.select("line_id", F.col("source_chunk").alias("chunk"), F.col("source_page").alias("page"), t.norm_name(F.col("chapter_hint")).alias("chapter"), "entities", "triples")
     first = lambda x, y: F.coalesce(F.nullif(x, F.lit("")), y)
+    # triples may come with subject, predicate and object in place of, or beside, head, relation and tail
+    names = {f.name for f in rows.schema["triples"].dataType.elementType.fields}
+    either = lambda e, x, y: first(e[x], e[y]) if x in names and y in names else e[x] if x in names else e[y]
+    base = rows.select("line_id", F.col("source_chunk").alias("chunk"), F.col("source_page").alias("page"), t.norm_name(F.col("chapter_hint")).alias("chapter"), "entities", "triples")
     page = lambda p: F.when(p != 0, p)
     ent = F.filter(
         F.transform("entities", lambda e, i: F.struct(
@@ -36,8 +39,8 @@ def candidates(rows: DataFrame, least: float = 0.55) -> tuple[DataFrame, DataFra
     kind = lambda x: F.coalesce(F.nullif(x, F.lit("")), F.lit("ProcessObject"))
     tri = F.filter(
         F.transform("triples", lambda e, i: F.struct(
-            i.alias("pos"), t.norm_name(e["head"]).alias("head"), t.norm_name(e["tail"]).alias("tail"), kind(e["head_type"]).alias("head_type"), kind(e["tail_type"]).alias("tail_type"),
-            e["relation"].alias("relation"), e["evidence"].alias("evidence"), t.clean_confidence(e["confidence"]).alias("conf"),
+            i.alias("pos"), t.norm_name(either(e, "head", "subject")).alias("head"), t.norm_name(either(e, "tail", "object")).alias("tail"),
+            kind(either(e, "head_type", "subject_type")).alias("head_type"), kind(either(e, "tail_type", "object_type")).alias("tail_type"), either(e, "relation", "predicate").alias("relation"), e["evidence"].alias("evidence"), t.clean_confidence(e["confidence"]).alias("conf"),
             F.coalesce(page(e["source_page"]), F.col("page")).alias("page"), first(e["source_chunk"], F.col("chunk")).alias("chunk"),
         )), lambda x: x["conf"] >= least,
     )
@@ -134,6 +137,11 @@ def isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(degrees(edges).select("id"), "id", "left_anti")
 
 
+def merged_nodes(ends: DataFrame, order: list[str]) -> DataFrame:
+    """(id, name, type, mentions): nodes by id, the properties of the last mention along the order."""
+    return ends.groupBy("id").agg(F.max_by(F.struct("name", "type"), F.struct(*order, "name", "type")).alias("r"), F.count(F.lit(1)).alias("mentions")).select("id", "r.*", "mentions")
+
+
 def merged_edges(nodes: DataFrame, edges: DataFrame, order: list[str]) -> DataFrame:
     """Edges by (head_id, relation type, tail_id), the last along the order winning; edges with an unknown end are dropped."""
     ids = nodes.select("id").distinct()

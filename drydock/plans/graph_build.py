@@ -63,11 +63,11 @@ def edge_import(spark, d):
 
 
 def node_merge(spark, d):
-    """Ends of the stored edges as nodes, one row an id, with the number of edges that name them."""
-    r = table(spark, d, "relations", "head_id", "head", "head_type", "tail_id", "tail", "tail_type")
-    from ..operators.retrieval import entities_of
-
-    return entities_of(r).join(graph.degrees(r), "id").select("id", "name", "type", F.col("degree").alias("mentions"))
+    """Ends of the stored edges as nodes: one row an id, with the properties that came last and the number of mentions."""
+    r = table(spark, d, "relations", "head_id", "head", "head_type", "tail_id", "tail", "tail_type", "updated_at")
+    end = lambda x: F.struct(F.col(f"{x}_id").alias("id"), F.col(x).alias("name"), F.col(f"{x}_type").alias("type"), "updated_at")
+    ends = r.select(F.inline(F.array(end("head"), end("tail")))).where("id is not null and name is not null")
+    return graph.merged_nodes(ends, ["updated_at"])
 
 
 def _edges(spark, d):
@@ -155,7 +155,8 @@ ORACLE = {
     "isolated_entities": f"WITH {_BASE}, {_NODES}, {_EDGES}, {_DEG} SELECT id, name, type FROM ents WHERE id NOT IN (SELECT id FROM deg)",
     "edge_import": f"""WITH {_BASE}, {_NODES} SELECT head_id, upper(relation) AS relation_type, tail_id, arg_max(head, updated_at) AS head, arg_max(tail, updated_at) AS tail, arg_max(relation_zh, updated_at) AS relation_zh
 FROM relations WHERE head_id IN (SELECT id FROM ents) AND tail_id IN (SELECT id FROM ents) AND relation IN ({t.quoted(list(t.RELATION_ZH))}) GROUP BY ALL""",
-    "node_merge": f"WITH {_ENDS} SELECT * FROM ends",
+    "node_merge": """SELECT id, name, type, n AS mentions FROM (SELECT *, count(*) OVER (PARTITION BY id) AS n, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST, name DESC NULLS LAST, type DESC NULLS LAST) AS k
+  FROM (SELECT head_id AS id, head AS name, head_type AS type, updated_at FROM relations UNION ALL SELECT tail_id, tail, tail_type, updated_at FROM relations) WHERE id IS NOT NULL AND name IS NOT NULL) WHERE k = 1""",
     "neighborhood_1hop": f"{_WALK} SELECT DISTINCT query_id, e1 AS edge_id, 1 AS hops FROM one",
     "neighborhood_2hop": f"{_WALK} SELECT query_id, edge_id, CAST(min(h) AS INTEGER) AS hops FROM (SELECT query_id, e1 AS edge_id, 1 AS h FROM one UNION ALL SELECT query_id, e2, 2 FROM two) GROUP BY ALL",
     "neighborhood_facts": f"""{_WALK},

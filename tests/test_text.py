@@ -112,3 +112,23 @@ def test_nearest_as_by_brute_force(spark, monkeypatch):
         want = [(q, n + 1, i) for q in range(0, 90, 4) for n, i in enumerate(sorted((i for i in range(90) if self_too or i != q), key=lambda i: (-s[q, i], i))[:6])]
         assert got == want
     assert vectors.nearest(items, "i", queries.limit(0), "q", 6).count() == 0 and vectors.nearest(items.limit(0), "i", queries, "q", 6).count() == 0
+
+
+def test_functions_in_sql(spark):
+    from drydock.functions.registry import register
+
+    register(spark)
+    assert spark.sql("select nfkc('ＡＢ') a, round(fuzzy_score('第一章船体', '船体'), 4) b").first().asDict() == {"a": "AB", "b": 1.2}
+    got = spark.sql("select c.chunk_no, c.start, c.end from values ('xxxxxxxxxx'), ('') t(s), lateral chunk_text(s, 6, 2) c order by 1").collect()
+    assert [tuple(r) for r in got] == [(1, 0, 6), (2, 4, 10)]
+
+
+def test_triples_by_other_names(spark):
+    from drydock.operators import graph
+
+    schema = "line_id bigint, source_chunk string, source_page int, chapter_hint string, entities array<struct<name:string,type:string,definition:string,source_page:int,source_chunk:string,confidence:double>>, triples array<struct<head:string,subject:string,predicate:string,object:string,object_type:string,head_type:string,evidence:string,source_page:int,source_chunk:string,confidence:double>>"
+    df = spark.createDataFrame([(1, "c", 2, None, None, [("", "肋板", "包含", "舷墙", "Component", None, None, None, None, None)])], schema)
+    nodes, edges = graph.candidates(df)
+    r = graph.relations(edges).collect()
+    assert [(x["head"], x["head_type"], x["relation"], x["tail"], x["tail_type"], x["confidence"]) for x in r] == [("肋板", "ProcessObject", "contains", "舷墙", "Component", 0.75)]
+    assert {x["name"] for x in graph.entities(nodes).collect()} == {"肋板", "舷墙", graph.DOCUMENT}
