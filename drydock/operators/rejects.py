@@ -84,12 +84,17 @@ def _fault(text: str, e: json.JSONDecodeError) -> str:
 
 
 def read_object(text: str | None) -> tuple[str | None, object]:
-    """(reason, object): the first JSON object in text. Anything around it does no harm."""
+    """(reason, object): the first JSON object in text, or a later one if only that has the arrays. Anything around it
+    does no harm."""
     at = -1 if text is None else text.find("{")
     if at < 0:
         return "no_object", None
     try:
-        return None, _DECODER.raw_decode(text, at)[0]
+        obj, end = _DECODER.raw_decode(text, at)
+        # braces in the prose before it are not the object meant
+        if not {"entities", "triples"} & obj.keys() and (later := _TOP.search(text, end)):
+            return read_object(text[later.start() :])
+        return None, obj
     except json.JSONDecodeError as e:
         error = e
     except RecursionError:

@@ -19,7 +19,7 @@ def tail(v):
 
 
 CASES = [
-    (GOOD, None), (PRETTY, None), ("```json\n" + GOOD + "\n```", None), ("﻿" + GOOD, None), ("[unused16]\n" + GOOD + "[unused10]", None), ("here {it} is: " + GOOD, None), (GOOD + "\nend", None),
+    (GOOD, None), (PRETTY, None), ("```json\n" + GOOD + "\n```", None), ("﻿" + GOOD, None), ("[unused16]\n" + GOOD + "[unused10]", None), ("here {it} is: " + GOOD, None), (GOOD + "\nend", None), ("as in {}: " + GOOD, None), ('{"a": 1} and ' + GOOD, None), ("as in {}: " + GOOD[:-1], "cut_off"), ('{"a": 1}', "wrong_fields"),
     (json.dumps({"triples": [], "entities": []}), None), (with_(aliases=["x"], definition=""), None),
     (None, "no_object"), ("", "no_object"), ("[]", "no_object"), ("null", "no_object"),
     (GOOD[:-1], "cut_off"), (GOOD[:60], "cut_off"), (PRETTY[:80], "cut_off"), (GOOD[: GOOD.index("triples") - 3], "cut_off"), ("{", "cut_off"),
