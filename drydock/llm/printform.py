@@ -24,9 +24,11 @@ from ..common import durable, salted_join
 CYRILLIC = dict(zip("аеорсухіјѕԁһӏАВЕКМНОРСТХІЈЅУ", "aeopcyxijsdhlABEKMHOPCTXIJSY"))
 GREEK = dict(zip("οΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "oABEZHIKMNOPTYX"))
 #: Characters that print nothing.
-INVISIBLE = [0x00AD, 0x034F, 0x061C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), *range(0x2066, 0x2070), *range(0xFE00, 0xFE10), 0xFEFF, *range(0xE0100, 0xE01F0)]
+INVISIBLE = [0x00AD, 0x034F, 0x061C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), *range(0x2066, 0x2070), *range(0xFE00, 0xFE10), 0xFEFF, *range(0xE0000, 0xE0080), *range(0xE0100, 0xE01F0)]
 SPACES = [0x0009, 0x00A0, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]
 HYPHENS = [0x2010, 0x2011, 0x2012, 0x2212, 0xFE63, 0xFF0D]
+#: Marks of the same shape.
+ALIKE = {0x2015: "—", 0x2500: "—", 0x2236: ":", 0x2215: "/", 0x2044: "/", 0x2223: "|", 0x223C: "~", 0x00B5: "μ"}
 DOTS = [0x2022, 0x2027, 0x2219, 0x22C5, 0x30FB, 0xFF65]
 #: Forms of the CJK Radicals Supplement that Unicode does not decompose, and the ideographs of the same shape.
 RADICALS = dict(zip("⺁⺄⺇⺈⺉⺊⺋⺌⺍⺏⺐⺑⺒⺓⺔⺖⺘⺙⺛⺞⺟⺠⺡⺢⺣⺤⺥⺦⺨⺪⺫⺬⺭⺯⺰⺱⺲⺷⺹⺺⺻⺼⺽⺾⻁⻂⻃⻄⻅⻆⻇⻈⻉⻊⻋⻌⻍⻎⻐⻑⻒⻓⻔⻕⻗⻘⻙⻚⻛⻜⻝⻟⻠⻢⻣⻤⻥⻦⻧⻨⻩⻪⻫⻬⻭⻮⻯⻰⻱⻲", "厂乙几刀刂卜㔾小小尢尢尣巳幺彑忄扌攵旡歺母民氵氺灬爫爫丬犭疋罒示礻糸纟罓罒羊耂肀聿月臼艹虎衤覀西见角訁讠贝𧾷车辶辶辶钅長镸长门𨸏雨青韦页风飞食飠饣马骨鬼鱼鸟卤麦黄黾斉齐歯齿竜龙龟亀", strict=True))
@@ -42,7 +44,7 @@ def _fold_table() -> dict[int, str]:
             if (to := unicodedata.normalize("NFKC", ch)) != ch:
                 out[cp] = to
     out |= {ord(a): b for a, b in RADICALS.items()}
-    out |= dict.fromkeys(INVISIBLE, "") | dict.fromkeys(SPACES, " ") | dict.fromkeys(HYPHENS, "-") | dict.fromkeys(DOTS, "·")
+    out |= dict.fromkeys(INVISIBLE, "") | dict.fromkeys(SPACES, " ") | dict.fromkeys(HYPHENS, "-") | dict.fromkeys(DOTS, "·") | ALIKE
     return out
 
 
