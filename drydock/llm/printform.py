@@ -43,8 +43,10 @@ def _fold_table() -> dict[int, str]:
             ch = chr(cp)
             if (to := unicodedata.normalize("NFKC", ch)) != ch:
                 out[cp] = to
-    out |= {ord(a): b for a, b in RADICALS.items()}
-    out |= dict.fromkeys(INVISIBLE, "") | dict.fromkeys(SPACES, " ") | dict.fromkeys(HYPHENS, "-") | dict.fromkeys(DOTS, "·") | ALIKE
+    single = dict.fromkeys(INVISIBLE, "") | dict.fromkeys(SPACES, " ") | dict.fromkeys(HYPHENS, "-") | dict.fromkeys(DOTS, "·") | ALIKE
+    # what a form unfolds to may itself hold such a character
+    out = {cp: to.translate(single) for cp, to in out.items()}
+    out |= {ord(a): b for a, b in RADICALS.items()} | single
     return out
 
 
