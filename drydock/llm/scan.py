@@ -34,8 +34,8 @@ DIGIT_LIKE = {"l": "1", "I": "1", "O": "0", "o": "0", "S": "5", "s": "5", "Z": "
 # ------------------------------------------------------------------------------------------------------------------
 #: A context speaks for a misreading if it was met so often, with at most this share of the rarer character.
 CONTEXT_COUNT, CONTEXT_SHARE = 10, 0.1
-#: Contexts that must agree on a pair.
-AGREEING = 3
+#: Contexts that must agree on a pair, and the least share of a character that is read so.
+AGREEING, LEAST_RATE = 3, 0.0005
 #: Dictionaries learned (titles, confusable words) of at most so many entries are broadcast at once, larger ones in slices.
 SLICE = 200_000
 SEP = "\x1f"
@@ -299,7 +299,7 @@ def confusions(counts: DataFrame) -> DataFrame:
     hardly = (F.col("u") <= 0.01 * F.col("ua")) & (F.greatest("close_n", "wide_n") >= 0.4 * F.col("u")) & (F.col("against") == 0)
     p = F.greatest("wide_n", "close_n") / F.col("ua")
     char = lambda c: F.expr(f"decode(unhex(lpad(hex({c}), 8, '0')), 'UTF-32')")
-    return known.where(often | hardly).select(char("c").alias("read"), char("a").alias("meant"), F.least(F.lit(-2.0), F.greatest(F.lit(-8.0), F.log(p))).alias("logp"))
+    return known.where((often | hardly) & (p >= LEAST_RATE)).select(char("c").alias("read"), char("a").alias("meant"), F.least(F.lit(-2.0), F.greatest(F.lit(-8.0), F.log(p))).alias("logp"))
 
 
 def readings(word: str) -> set[str]:
