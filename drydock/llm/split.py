@@ -39,7 +39,8 @@ def successors(text: str, limit: int, overlap: int) -> np.ndarray:
     """succ[e]: where the piece after a cut at e ends. The piece starts at max(0, e - overlap); succ[n] = n.
 
     The end is the last paragraph or sentence end in the latter half of the piece, else the last clause mark there,
-    else the last space, else the limit itself, moved back so as not to part a mark from its letter.
+    else the last space, else the last of any of these beyond e, else the limit itself, moved back so as not to part a
+    mark from its letter.
     """
     a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     n = len(a)
@@ -57,6 +58,8 @@ def successors(text: str, limit: int, overlap: int) -> np.ndarray:
         mark[:n] |= (a >= lo) & (a < hi)
     hard = _last(~mark)[top]
     succ = np.where(hard > e, hard, top)
+    any_ = _last(after.any(axis=0))[top]
+    succ = np.where(any_ > e, any_, succ)
     for flags in after[::-1]:
         at = _last(flags)[top]
         succ = np.where(at > low, at, succ)

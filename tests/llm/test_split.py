@@ -38,6 +38,14 @@ def test_natural_boundaries():
     assert split.cuts("x" * 25, 10, 2) == [(0, 10), (8, 18), (16, 25)]
 
 
+def test_boundary_in_the_first_half():
+    assert split.cuts("第一句。" + "x" * 20, 10, 0) == [(0, 4), (4, 14), (14, 24)]
+    assert split.cuts("ab. cd，ef " + "x" * 30, 30, 0)[0] == (0, 10)
+    text = "第一句。第二句，" + "x" * 40
+    for overlap in (0, 3, 7):
+        assert split.cuts(text, 20, overlap)[0] == (0, 8)
+
+
 def test_long_text():
     text = "船体由分段组成。" * 50_000
     pieces = split.cuts(text, 900, 120)
