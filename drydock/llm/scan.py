@@ -383,68 +383,117 @@ def viterbi(options: list[list[tuple[str, float]]], count: dict[int, int], own:
     return max(best.values(), key=lambda x: x[0])[1]
 
 
-def _slices(words: DataFrame) -> list[dict[str, list[str]]]:
-    """The confusable words as dictionaries of at most about SLICE words each."""
+def _slices(words: DataFrame) -> Iterator[dict[str, list[str]]]:
+    """The confusable words as dictionaries of at most about SLICE words each, one after another."""
     n = words.count()
     parts = max(1, -(-n // SLICE))
-    out = []
     for k in range(parts):
         own: dict[str, list[str]] = {}
         for r in words.where(F.pmod(F.xxhash64("read"), F.lit(parts)) == k).collect():
             own.setdefault(r["read"], []).append(r["meant"])
-        out.append({w: sorted(v) for w, v in own.items()})
-    return out
+        yield {w: sorted(v) for w, v in own.items()}
+
+
+class Suspects:
+    """Which tokens have candidates, remembered."""
+
+    def __init__(self, chars: dict, words: dict) -> None:
+        self.chars, self.words = chars, words
+        self.plain: set[str] = set()
+        self.met: set[str] = set()
+
+    def of(self, found: list[str]) -> set[str]:
+        new = set(found)
+        for t in new - self.plain - self.met:
+            (self.met if len(candidates(symbol(t), self.chars, self.words)) > 1 else self.plain).add(t)
+        if len(self.plain) > 300_000:
+            self.plain.clear()
+        return new & self.met
+
+
+def _marked(spark: SparkSession, docs: DataFrame, chars: dict, words: DataFrame) -> DataFrame:
+    """docs with their suspicious tokens as seen over all slices of the words; those without any are left out."""
+    met = None
+    for part in _slices(words):
+        shared = spark.sparkContext.broadcast((chars, part))
+
+        def mark(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            suspects = Suspects(*shared.value)
+            for b in batches:
+                rows = [(key, sorted(own)) for key, text, marks in zip(*(c.to_pylist() for c in b.columns)) if (own := suspects.of(tokens(text, marks)))]
+                cols = list(zip(*rows)) or [(), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.list_(pa.string()))], names=["key", "given"])
+
+        own = durable(docs.select("key", "body", "marks").mapInArrow(mark, "key string, given array<string>"))
+        shared.unpersist()
+        met = own if met is None else met.unionByName(own)
+    return docs.join(met.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("given"))).alias("given")), "key")
 
 
-def _decode(spark: SparkSession, docs: DataFrame, counts: DataFrame, chars: dict, words: dict) -> DataFrame:
-    """(key, first, symbols): the corrected symbols of each text, from the token of that number."""
-    shared = spark.sparkContext.broadcast((chars, words))
+def _own_words(windows: DataFrame, words: DataFrame) -> DataFrame:
+    """(window, words): the confusable words in the run of each window, with what they may have been."""
+    run = F.slice(F.split("window", SEP, -1), F.lit(4), F.substring_index("window", SEP, 1).cast("int"))
+    each = windows.select("window", F.explode(F.array_distinct(run)).alias("read"))
+    meant = words.groupBy("read").agg(F.array_sort(F.collect_list("meant")).alias("meant"))
+    return salted_join(each, meant, "read", "inner", "window").groupBy("window").agg(F.collect_list(F.struct("read", "meant")).alias("words"))
+
+
+def _decode(spark: SparkSession, docs: DataFrame, counts: DataFrame, chars: dict, words: DataFrame) -> DataFrame:
+    """(key, first, symbols): the corrected symbols of each text, from the token of that number.
+
+    Up to SLICE confusable words are broadcast at once. Of more, the suspicious tokens are marked slice by slice, and
+    each window carries the words of its own run; either way a window is cut and decoded once, with all candidates."""
+    whole = words.count() <= SLICE
+    shared = spark.sparkContext.broadcast((chars, next(_slices(words)) if whole else {}))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chars, words = shared.value
-        plain: set[str] = set()
-        suspicious: set[str] = set()
+        suspects = Suspects(*shared.value)
         for b in batches:
             keys, wins, firsts, ns = [], [], [], []
-            for key, text, marks, n in zip(*(c.to_pylist() for c in b.columns)):
+            for key, text, marks, n, given in zip(*(c.to_pylist() for c in b.columns)):
                 found = tokens(text, marks)
-                for t in set(found) - plain - suspicious:
-                    (suspicious if len(candidates(symbol(t), chars, words)) > 1 else plain).add(t)
-                if suspicious.isdisjoint(found):
+                own = suspects.of(found) if given is None else set(given)
+                if not own:
                     continue
-                for w, i in windows(found, suspicious):
+                for w, i in windows(found, own):
                     keys.append(key), wins.append(w), firsts.append(i), ns.append(n)
-                if len(plain) > 300_000:
-                    plain.clear()
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(wins, pa.string()), pa.array(firsts, pa.int32()), pa.array(ns, pa.int64())], names=["key", "window", "first", "n"])
 
-    def needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def options(window: str, own: list[dict] | None) -> tuple[list[str], list[list[tuple[str, float]]]]:
         chars, words = shared.value
+        return lattice(window, chars, words if own is None else {r["read"]: r["meant"] for r in own})
+
+    def needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = set()
-            for w in b.column(0).to_pylist():
-                _, o = lattice(w, chars, words)
+            for w, own in zip(*(c.to_pylist() for c in b.columns)):
+                _, o = options(w, own)
                 rows |= {(w, trigram_id(x, y, z)) for i in range(len(o) - 2) for x, _ in o[i] for y, _ in o[i + 1] for z, _ in o[i + 2]}
             cols = list(zip(*sorted(rows))) or [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64())], names=["window", "k"])
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chars, words = shared.value
         for b in batches:
             wins, fixed = [], []
-            for w, ks, ns, times in zip(*(c.to_pylist() for c in b.columns)):
-                syms, o = lattice(w, chars, words)
+            for w, ks, ns, times, own in zip(*(c.to_pylist() for c in b.columns)):
+                syms, o = options(w, own)
                 best = viterbi(o, dict(zip(ks, ns)), times)
                 if best != syms:
                     wins.append(w), fixed.append(best[2 : 2 + int(w.split(SEP, 1)[0])])
             yield pa.RecordBatch.from_arrays([pa.array(wins, pa.string()), pa.array(fixed, pa.list_(pa.string()))], names=["window", "symbols"])
 
-    held = durable(docs.select("key", "body", "marks", "n").mapInArrow(cut, "key string, window string, first int, n bigint"))
-    own = durable(held.groupBy("window").agg(F.sum("n").alias("own")))
-    needed = own.select("window").mapInArrow(needs, "window string, k bigint")
+    given = docs.withColumn("given", F.lit(None).cast("array<string>")) if whole else _marked(spark, docs, chars, words)
+    held = durable(given.select("key", "body", "marks", "n", "given").mapInArrow(cut, "key string, window string, first int, n bigint"))
+    own = held.groupBy("window").agg(F.sum("n").alias("own"))
+    if whole:
+        own = durable(own.withColumn("words", F.lit(None).cast("array<struct<read:string,meant:array<string>>>")))
+    else:
+        own = durable(own)
+        own = durable(own.join(_own_words(own, words), "window", "left").withColumn("words", F.coalesce("words", F.array().cast("array<struct<read:string,meant:array<string>>>"))))
+    needed = own.select("window", "words").mapInArrow(needs, "window string, k bigint")
     grams = counts.where("kind = 'g'").select("k", "n")
     fetched = needed.join(grams, "k", "left").groupBy("window").agg(F.collect_list(F.struct("k", F.coalesce("n", F.lit(0)).alias("n"))).alias("x"))
-    fixes = durable(fetched.join(own, "window").select("window", "x.k", "x.n", "own").mapInArrow(solve, "window string, symbols array<string>"))
+    fixes = durable(fetched.join(own, "window").select("window", "x.k", "x.n", "own", "words").mapInArrow(solve, "window string, symbols array<string>"))
     return salted_join(held, fixes, "window", "inner", "key").select("key", "first", "symbols")
 
 
@@ -498,14 +547,14 @@ def _names(each: DataFrame) -> DataFrame:
     return each.select(body.alias("body")).groupBy("body").agg(F.count(F.lit(1)).alias("n")).withColumn("key", F.col("body"))
 
 
-def _learned(texts: DataFrame, names: DataFrame) -> tuple[DataFrame, dict, list[dict]]:
+def _learned(texts: DataFrame, names: DataFrame) -> tuple[DataFrame, dict, DataFrame]:
     src = texts.select("body", F.lit(1).cast("bigint").alias("n"), F.lit(True).alias("marks")).unionByName(names.select("body", "n", F.lit(False).alias("marks")))
     parts = src.mapInArrow(_count, "kind string, k bigint, c bigint, w string, n bigint")
     counts = durable(parts.groupBy("kind", "k", "c", "w").agg(F.sum("n").alias("n")))
     chars: dict[str, list[tuple[str, float]]] = {}
     for r in confusions(counts).collect():
         chars.setdefault(r["read"], []).append((r["meant"], r["logp"]))
-    return counts, {k: sorted(v) for k, v in chars.items()}, _slices(durable(confusable_words(counts)))
+    return counts, {k: sorted(v) for k, v in chars.items()}, durable(confusable_words(counts))
 
 
 def corrections(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -515,11 +564,7 @@ def corrections(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Data
     names = durable(_names(each))
     counts, chars, words = _learned(texts, names)
     docs = texts.select("key", "body", F.lit(True).alias("marks"), F.lit(1).cast("bigint").alias("n")).unionByName(names.select("key", "body", F.lit(False).alias("marks"), "n"))
-    fixes = None
-    for part in words:
-        own = _decode(spark, docs, counts, chars, part)
-        fixes = own if fixes is None else fixes.unionByName(own)
-    return keys, texts, each, durable(fixes)
+    return keys, texts, each, durable(_decode(spark, docs, counts, chars, words))
 
 
 def found(lines: DataFrame) -> DataFrame:

@@ -87,3 +87,16 @@ def test_edges(spark):
 def test_repair():
     assert scan.repair("第一章 总则\n船体由\n分段组成。\n其次\n焊接", []) == "第一章 总则\n船体由分段组成。\n其次焊接"
     assert scan.repair("样极编号", [(0, ["样", "板"])]) == "样板编号"
+
+
+def test_slices_change_nothing(spark, monkeypatch):
+    clean = "the modern claw member stiffens a bulkhead of frame {} here."
+    bad = {3: "the modem daw mernber stiffens a bulkhead of frame 3 here.", 9: "the modern claw mernber stiffens a bulkliead of frame 9 here.", 15: "the modem claw member stiffens a bulkhead of frarne 15 here."}
+    data = [(i, f"bk_p001_{i}", bad.get(i, clean.format(i)), [("modern claw mernber" if i == 4 else "modern claw member", "T")], "x") for i in range(120)]
+    df = spark.createDataFrame(data, SCHEMA)
+    seen = []
+    for size in (scan.SLICE, 1):
+        monkeypatch.setattr(scan, "SLICE", size)
+        seen.append((sorted(map(tuple, scan.found(df).collect())), dict(map(tuple, scan.repaired(df).collect()))))
+    assert seen[0] == seen[1] and {r[0] for r in seen[1][0] if r[1] == -1} == set(bad) and (4, 0, "misread") in seen[1][0]
+    assert seen[1][1] == {i: clean.format(i) for i in range(120)}
