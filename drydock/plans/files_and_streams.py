@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..common import spread, table
+from ..common import durable, spread, table
+from ..operators import extraction, graph
 from ..sources import files
 from ..streaming import log
 from . import extraction_log, graph_build
@@ -109,12 +113,16 @@ def stream_first_of_chunk(spark, d):
 
 
 def pipeline_run(spark, d):
-    """Compaction, graph building, merging of nodes and edges, one after another: figures of each step."""
-    rows = extraction_log.compact_latest_success(spark, d).agg(F.count(F.lit(1)).alias("n")).select(F.lit("compacted").alias("step"), "n")
-    e = graph_build.graph_entities(spark, d).agg(F.count(F.lit(1)).alias("n")).select(F.lit("entities").alias("step"), "n")
-    r = graph_build.graph_relations(spark, d).agg(F.count(F.lit(1)).alias("n")).select(F.lit("relations").alias("step"), "n")
-    m = graph_build.edge_import(spark, d).agg(F.count(F.lit(1)).alias("n")).select(F.lit("merged").alias("step"), "n")
-    return rows.unionByName(e).unionByName(r).unionByName(m)
+    """Compaction, graph building, merging of nodes and edges, each step from the rows of the one before: rows of each."""
+    log_rows = table(spark, d, "sample_raw_extractions", "line_id", "source_chunk", "source_page", "chapter_hint", "error", "entities", "triples")
+    rows = durable(extraction.compacted(log_rows, ["line_id", "source_page", "chapter_hint", "entities", "triples"]))
+    nodes, edges = graph.candidates(rows)
+    e = durable(graph.entities(nodes).select("id", "name", "type"))
+    r = durable(graph.relations(edges))
+    n = durable(graph.merged_nodes(e, []))
+    m = graph.merged_edges(n, r, ["head_type", "tail_type", "evidence", "confidence"])
+    steps = [(rows, "compacted"), (e, "entities"), (r, "relations"), (n, "merged_nodes"), (m, "merged")]
+    return reduce(DataFrame.unionByName, (x.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("step"), "n") for x, name in steps))
 
 
 QUERIES = {f.__name__: f for f in (jsonl_roundtrip, csv_roundtrip, append_log, rewrite_compacted, markdown_pages, metadata_summary, vector_upsert, vector_points, unique_check, stream_upsert_latest, stream_state_latest, stream_first_of_chunk, pipeline_run)}
