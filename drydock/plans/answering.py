@@ -113,10 +113,14 @@ def _pages(spark, d):
 
 
 def graph_search(spark, d):
-    """Facts around the entities that hold a keyword of the case, one line each."""
-    k = entity_link_keyword(spark, d).select("query_id", "id").distinct()
-    edges = _edges(spark, d).join(_pages(spark, d), ["head_id", "relation", "tail_id"])
-    return graph.neighborhood(k, edges, 1, 50).join(edges, "edge_id").select("query_id", "edge_id", "hops", "head", "relation", "tail")
+    """Facts around the entities found for the keywords of the case, one line each. Each keyword is a search of its own:
+    ten entities that hold it, else ten fuzzy ones, and the first 50 paths of up to two hops from them."""
+    k = table(spark, d, "eval_cases", "id", "expected_keywords").select(F.col("id").alias("case_id"), F.explode(F.array_distinct("expected_keywords")).alias("term")).where("term is not null")
+    seeds = retrieval.search_seeds(k.select(F.col("term").alias("query_id"), F.col("term").alias("question")).distinct(), _entities(spark, d))
+    edges = durable(_edges(spark, d).join(_pages(spark, d), ["head_id", "relation", "tail_id"]))
+    met = graph.neighborhood(durable(seeds.select("query_id", "id")), edges, 2, 50).withColumnRenamed("query_id", "term")
+    facts = k.join(met, "term").groupBy(F.col("case_id").alias("query_id"), "edge_id").agg(F.min("hops").alias("hops"))
+    return facts.join(edges, "edge_id").select("query_id", "edge_id", "hops", "head", "relation", "tail")
 
 
 def graph_search_mentions(spark, d):

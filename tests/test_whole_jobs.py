@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from drydock.plans import files_and_streams
+from drydock.plans import answering, files_and_streams
 from drydock.queries import QUERIES
 from oracle import DATA, connect, same
 
@@ -19,3 +19,16 @@ def test_pipeline_run_hands_on_its_rows(spark):
     con.execute(f"CREATE TABLE e AS {g['graph_entities']}; CREATE TABLE r AS {g['graph_relations']}")
     same(QUERIES["pipeline_run"](spark, DATA), con, """SELECT 'compacted' AS step, count(*) AS n FROM kept UNION ALL SELECT 'entities', count(*) FROM e UNION ALL SELECT 'relations', count(*) FROM r UNION ALL SELECT 'merged_nodes', count(DISTINCT id) FROM e
         UNION ALL SELECT 'merged', count(DISTINCT (head_id, upper(relation), tail_id)) FROM r WHERE head_id IN (SELECT id FROM e) AND tail_id IN (SELECT id FROM e)""")
+
+
+def test_graph_search_walks_two_hops_and_falls_back(spark, tmp_path):
+    names = ["船体分段", "甲板", "舱壁", "肋骨框架结构", "舷墙", "合拢"]
+    ids = {x: f"n{i}" for i, x in enumerate(names)}
+    chain = [("船体分段", "甲板"), ("甲板", "舱壁"), ("舱壁", "舷墙"), ("肋骨框架结构", "合拢")] + [(f"船体分段{k:02d}", f"件{k}号") for k in range(5)]
+    i = lambda x: ids.get(x, x)
+    schema = "head_id string, tail_id string, head string, head_type string, relation string, tail string, tail_type string, source_pages array<int>, confidence double"
+    spark.createDataFrame([(i(a), i(b), a, "T", "contains", b, "T", [1], 0.9) for a, b in chain], schema).write.parquet(f"{tmp_path}/relations.parquet")
+    spark.createDataFrame([("q1", ["船体分段", None]), ("q2", ["肋骨框架结溝"]), ("q3", None)], "id string, expected_keywords array<string>").write.parquet(f"{tmp_path}/eval_cases.parquet")
+    got = {(r["query_id"], r["head"], r["tail"]): r["hops"] for r in answering.graph_search(spark, str(tmp_path)).collect()}
+    want = {("q1", "船体分段", "甲板"): 1, ("q1", "甲板", "舱壁"): 2, ("q2", "肋骨框架结构", "合拢"): 1}
+    assert got == want | {("q1", a, b): 1 for a, b in chain[4:]}
