@@ -99,6 +99,17 @@ def greedy_relations(candidates: DataFrame, needed: int, per_page: int = 2) -> D
         most *= 8
 
 
+def named_relation_cases(picked: DataFrame, existing: DataFrame) -> DataFrame:
+    """The cases of picked relations, numbered. A number whose id is taken ends the list, as in the original design: it is
+    tried again for every later relation."""
+    cases = picked.select(
+        "case_no", F.format_string("auto_relation_%03d", F.col("case_no")).alias("id"), F.format_string("教材第%d页中，“%s”和“%s”之间是什么关系？", F.col("page"), F.col("head"), F.col("tail")).alias("question"),
+        F.lit("graph_rag_auto").alias("category"), F.array("head", "tail", "relation_zh").alias("expected_keywords"), F.array("page").alias("expected_pages"), F.lit("auto_pangu_relation").alias("source"),
+    )
+    taken = cases.join(existing.select("id").distinct(), "id", "left_semi").agg(F.min("case_no").alias("taken"))
+    return cases.crossJoin(F.broadcast(taken)).where("taken is null or case_no < taken").drop("case_no", "taken")  # one row beside the cases
+
+
 def without(cases: DataFrame, existing: DataFrame) -> DataFrame:
     """Cases whose id is not taken."""
     return cases.join(existing.select("id").distinct(), "id", "left_anti")

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..common import spread, table
+from ..common import durable, spread, table
 from ..functions import text as t
 from ..operators import evaluation, evalset
 from . import answering
 from .pages import _WS
 
 CASES = "auto_"
+#: Cases of the whole set (fixed value).
+TARGET = 200
 
 
 def _chunks(spark, d):
@@ -42,10 +44,21 @@ def relation_cases(spark, d):
 
 
 def all_cases(spark, d):
-    """Curated cases that are not made ones, and the made ones, by id and question."""
+    """Curated cases, and made ones up to TARGET in all: of relations first, of chunks for what is then missing. By id and
+    question. Stored cases that were made are made anew; curated cases are all kept, and where they alone reach TARGET none
+    are made, as in the original design."""
     curated = table(spark, d, "eval_cases", "id", "question", "source").where("not startswith(coalesce(source, ''), 'auto_')").select("id", "question", F.coalesce("source", F.lit("manual")).alias("source"))
-    made = chunk_cases(spark, d).select("id", "question", F.lit("auto_textbook_chunk").alias("source"))
-    return curated.unionByName(made)
+    needed = TARGET - curated.count()
+    if needed <= 0:
+        return curated
+    of_relations = durable(evalset.named_relation_cases(evalset.greedy_relations(relation_candidates(spark, d), needed), curated))
+    cases = curated.unionByName(of_relations.select("id", "question", "source"))
+    missing = needed - of_relations.count()
+    if missing <= 0:
+        return cases
+    c = _chunks(spark, d)
+    made = evalset.chunk_cases(evalset.sampled(evalset.usable_chunks(c, evalset.ranked_terms(c)), missing))
+    return cases.unionByName(evalset.without(made, cases).select("id", "question", "source"))
 
 
 def eval_case_scan(spark, d):

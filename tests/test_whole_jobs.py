@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from drydock.plans import answering, files_and_streams
+from drydock.plans import answering, evaluating, files_and_streams
 from drydock.queries import QUERIES
 from oracle import DATA, connect, same
 
@@ -32,3 +32,17 @@ def test_graph_search_walks_two_hops_and_falls_back(spark, tmp_path):
     got = {(r["query_id"], r["head"], r["tail"]): r["hops"] for r in answering.graph_search(spark, str(tmp_path)).collect()}
     want = {("q1", "船体分段", "甲板"): 1, ("q1", "甲板", "舱壁"): 2, ("q2", "肋骨框架结构", "合拢"): 1}
     assert got == want | {("q1", a, b): 1 for a, b in chain[4:]}
+
+
+@needs_tables
+def test_all_cases_of_relations_first(spark, monkeypatch):
+    con = connect()
+    curated = con.sql("SELECT count(*) FROM eval_cases WHERE NOT starts_with(coalesce(source, ''), 'auto_')").fetchall()[0][0]
+    monkeypatch.setattr(evaluating, "TARGET", curated + 3)
+    rows = QUERIES["all_cases"](spark, DATA).collect()
+    assert sorted(r["id"] for r in rows if r["source"].startswith("auto_")) == ["auto_relation_001", "auto_relation_002", "auto_relation_003"]
+    some = evaluating.evalset.greedy_relations(evaluating.relation_candidates(spark, DATA), 10_000).count()
+    monkeypatch.setattr(evaluating, "TARGET", curated + some + 2)
+    rows = QUERIES["all_cases"](spark, DATA).collect()
+    made = [r["source"] for r in rows if r["source"].startswith("auto_")]
+    assert made.count("auto_pangu_relation") == some and made.count("auto_textbook_chunk") == 2 and len(rows) == curated + some + 2
