@@ -12,6 +12,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import permutations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 UNMATCHED = "UNMATCHED"
 #: Distinct values remembered by a worker; older ones are matched anew.
 REMEMBERED = 200_000
+#: Stems of a value that are tried in every order; more are tried in the sorted order alone.
+ORDERED = 4
 #: The entry list is broadcast with the matching function; longer lists are refused.
 MAX_ENTRIES = 100_000
 
@@ -105,15 +108,20 @@ class Trie:
 
 class Matcher:
     """Entries: (code, local name). Alias paths: the code without separators, its word stems in any order, the local name
-    without links, and the local name's parts around an ellipsis."""
+    without links, and the local name's parts around an ellipsis. Stem paths are spelled into a trie of their own, and a
+    value is met there within the distance for its stems if nothing else meets it. Whole matches of stems and local names
+    are looked up by hash first. Entries with the same stems or equally near are no match."""
 
     def __init__(self, entries: list[tuple[str, str]]) -> None:
         self.codes = {c for c, _ in entries}
         self.trie, self.zh = Trie(), {}
-        self.bags: dict[tuple[str, ...], str] = {}
+        self.bags: dict[tuple[str, ...], set[str]] = {}
+        self.paths = Trie()
         for code, name in entries:
             self.trie.add(_compact(code), code)
-            self.bags.setdefault(_bag(code), code)
+            if bag := _bag(code):
+                self.bags.setdefault(bag, set()).add(code)
+                self.paths.add(" ".join(bag), code)
             for part in {_zh(name), *(_zh(p) for p in re.split("…+|\\.\\.\\.", name or "") if len(_zh(p)) > 1)}:
                 if part:
                     self.zh.setdefault(part, code)
@@ -128,6 +136,17 @@ class Matcher:
         codes = sorted(c for c, d in near.items() if d == best)
         return (best, codes[0]) if len(codes) == 1 else None
 
+    def _stems(self, bag: tuple[str, ...]) -> tuple[int, str] | None:
+        """The one entry whose stems are nearest to the bag in some order, as a typo may change the sorted order."""
+        near: dict[str, int] = {}
+        most = allowed(sum(map(len, bag)))
+        if most:
+            for order in permutations(bag) if len(bag) <= ORDERED else (bag,):
+                for code, d in self.paths.within(" ".join(order), most).items():
+                    near[code] = min(d, near.get(code, d))
+        best = sorted((d, c) for c, d in near.items())
+        return best[0] if best and (len(best) == 1 or best[0][0] < best[1][0]) else None
+
     def _latin(self, s: str) -> tuple[int, str] | None:
         word = _compact("".join(re.findall(r"[A-Za-z_\W]", s)))
         if not word:
@@ -136,15 +155,18 @@ class Matcher:
         if near and near[0] == 0:
             return near
         bag = _bag(s)
-        if bag in self.bags:
-            return 0, self.bags[bag]
+        if len(codes := self.bags.get(bag, ())) == 1:
+            return 0, *codes
         inner = tuple(sorted({_stem(w) for w in _words(s) if w not in EN_EMPTY | EN_KINDS}))
-        if inner in self.bags:
-            return 0, self.bags[inner]
+        if len(codes := self.bags.get(inner, ())) == 1:
+            return 0, *codes
         if near:
             return near
         plain = self._nearest("".join(w for w in _words(s) if w not in EN_EMPTY | EN_KINDS))
-        return plain and (plain[0] + 1, plain[1])
+        if plain:
+            return plain[0] + 1, plain[1]
+        stems = self._stems(bag) or self._stems(inner)
+        return stems and (stems[0] + 1, stems[1])
 
     def _chinese(self, s: str) -> tuple[int, str] | None:
         word = _zh(s)

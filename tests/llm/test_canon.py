@@ -64,3 +64,10 @@ def test_empty_tables(spark, rows):
 
 def test_nearest_of_equal_distance_is_none():
     assert canon.Matcher([("abcde", ""), ("abcdf", "")]).one("abcdx") == "UNMATCHED"
+
+
+def test_stem_paths_are_met_within_the_distance():
+    kinds, rel = canon.Matcher(KINDS), canon.Matcher(REL)
+    assert kinds.one("reqirement of quality") == kinds.one("equirement of quality") == "QualityRequirement"
+    assert rel.one("using tols") == "uses_tool" and rel.one("for providing basus") == "provides_basis_for"
+    assert canon.Matcher([("uses_tool", ""), ("tool_used", "")]).one("using of tools") == canon.UNMATCHED
