@@ -43,9 +43,11 @@ def contained(questions: DataFrame, entities: DataFrame, limit: int | None = 8)
 def containing(terms: DataFrame, entities: DataFrame, limit: int = 3) -> DataFrame:
     """(query_id, term, pos, id, name, rank): entities whose name holds the term, the shortest first, `limit` a term.
 
-    terms: (query_id, pos, term), terms of 2 characters or more."""
-    e = entities.where("length(name) >= 2").select("id", "name", F.explode(_grams(F.col("name"))).alias("g"))
-    q = terms.where("length(term) >= 2").select("query_id", "pos", "term", F.substring("term", 1, 2).alias("g"), F.struct("query_id", "pos").alias("_q"))
+    terms: (query_id, pos, term). Names of one character hold terms of one character. Candidates share the term's first
+    pair of characters, or its only character."""
+    grams = F.array_distinct(F.concat(_grams(F.col("name")), F.split("name", "")))
+    e = entities.where("name <> ''").select("id", "name", F.explode(grams).alias("g"))
+    q = terms.where("term <> ''").select("query_id", "pos", "term", F.substring("term", 1, 2).alias("g"), F.struct("query_id", "pos").alias("_q"))
     met = e.join(small(q), "g").where(F.contains("name", "term")).drop("g")
     return ranked(met, "_q", [F.asc(F.length("name")), F.asc("name"), F.asc("id")], limit).drop("_q")
 
