@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 
 #: A key is hot when it holds more than one part in HOT_SHARE of the rows; there can be at most HOT_SHARE such keys.
 HOT_SHARE = 1000
-SALTS = 64
+#: Rows of a hot key that one salt takes.
+SALT_ROWS = 100_000
+#: Rows without a key meet nothing and are spread over so many salts at no cost.
+NULL_SALTS = 65_536
 
 
 def ship(spark: SparkSession) -> None:
@@ -98,28 +101,31 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def hot_keys(df: DataFrame, key: str, at_least: int = 10_000) -> DataFrame:
-    """The keys above 1/HOT_SHARE of the rows (and at_least rows): never more than HOT_SHARE, so safe to broadcast."""
+    """(key, _n): the keys above 1/HOT_SHARE of the rows (and at_least rows): never more than HOT_SHARE, so safe to
+    broadcast."""
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n").alias("_total"))
     return (
         counts.where(F.col("_n") >= at_least)
         .join(F.broadcast(total), F.col("_n") * HOT_SHARE > F.col("_total"))
-        .select(key)
+        .select(key, "_n")
     )
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, how: str, spread_by: str) -> DataFrame:
-    """Equi-join left to right (right has one row per key) with the hot keys of left spread over SALTS partitions.
+    """Equi-join left to right (right has one row per key) with the hot keys of left spread over salts, one for every
+    SALT_ROWS rows and two at least, and its null keys over NULL_SALTS.
 
     right's rows of hot keys are repeated once per salt; all others once. how: inner, left or left_semi. spread_by: a
     column that tells the rows of a key apart.
     """
-    hot = F.broadcast(hot_keys(left.select(key), key).withColumn("_hot", F.lit(True)))
+    salts = F.greatest(F.lit(2), F.ceil(F.col("_n") / SALT_ROWS)).cast("int").alias("_salts")
+    hot = F.broadcast(hot_keys(left.select(key), key).select(key, salts))
     by = F.xxhash64(spread_by)
     a = left.join(hot, key, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(by, F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
-    ).drop("_hot")
+        "_salt", F.when(F.col(key).isNull(), F.pmod(by, F.lit(NULL_SALTS))).when(F.col("_salts").isNotNull(), F.pmod(by, F.col("_salts"))).otherwise(F.lit(0)).cast("int")
+    ).drop("_salts")
     b = right.join(hot, key, "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
-    ).drop("_hot")
+        "_salt", F.explode(F.when(F.col("_salts").isNotNull(), F.sequence(F.lit(0), F.col("_salts") - 1)).otherwise(F.array(F.lit(0))))
+    ).drop("_salts")
     return a.join(b, [key, "_salt"], how).drop("_salt")
