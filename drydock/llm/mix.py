@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from ..common import durable
 from .tokens import VOCABULARY, sized
 
-#: Hash groups within each size class of a source.
-GROUPS = 64
+#: Hash groups within each size class of a source: so many, and more in a source of more than GROUPS * GROUP_DOCS documents,
+#: so that no task numbers many more than GROUP_DOCS.
+GROUPS, GROUP_DOCS = 64, 100_000
 #: The list of targets is a settings table; a longer one is refused.
 MAX_SOURCES = 10_000
 
@@ -50,15 +51,17 @@ def _plan(sizes: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     want = {r[0]: (r[1] or 0.0, r[2] or 0) for r in rows}
     listed = F.broadcast(spark.createDataFrame([(s, float(t), int(m)) for s, (t, m) in sorted(want.items())] or [], "source string, target_share double, max_repeats int"))
-    sums = sizes.groupBy("source").agg(F.sum("n_tokens").alias("t"))
-    have = {r[0]: r[1] for r in sums.join(listed, "source", "left_semi").collect()}
+    sums = sizes.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("docs"))
+    met = sums.join(listed, "source", "left_semi").collect()
+    have, docs = {r[0]: r[1] for r in met}, {r[0]: r[2] for r in met}
     corpus = sizes.agg(F.sum("n_tokens")).first()[0] or 0
     rate = shares(have, want, corpus)
-    rates = F.broadcast(spark.createDataFrame([(s, r) for s, r in sorted(rate.items())], "source string, expected_copies double"))
+    parts = {s: max(GROUPS, -(-docs.get(s, 0) // GROUP_DOCS)) for s in rate}
+    rates = F.broadcast(spark.createDataFrame([(s, r, parts[s]) for s, r in sorted(rate.items())], "source string, expected_copies double, parts int"))
     placed = (
         sizes.where("n_tokens > 0").join(rates, "source")
         .withColumn("size_class", F.floor(F.log2("n_tokens") * 2).cast("int"))
-        .withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(GROUPS)))
+        .withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
     )
     group = ["source", "size_class", "part"]
     counts = placed.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
@@ -70,7 +73,7 @@ def _plan(sizes: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     upto = lambda n: F.floor(n * F.col("expected_copies") + offset)
     numbered = placed.join(before, group).withColumn("k", k)
     chosen = numbered.select("doc_id", "source", "n_tokens", (upto(F.col("k")) - upto(F.col("k") - 1)).cast("int").alias("copies")).where("copies > 0")
-    return chosen, listed.join(rates, "source")
+    return chosen, listed.join(rates.drop("parts"), "source")
 
 
 def _sizes(documents: DataFrame, path: str) -> DataFrame:

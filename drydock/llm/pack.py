@@ -2,8 +2,9 @@
 
 Each partition best-fits its own items, largest first, and closes the bins that are nearly full. The others become items
 themselves: they are regrouped (fewer groups each round, so bins of different partitions meet) and best-fitted again, as
-whole bins, until they fit one group or a round no longer saves bins. A group never holds more than GROUP_BINS bins on
-average, so no task grows with the data.
+whole bins, until they fit one group or a round saves hardly any. A group never holds more than GROUP_BINS bins on
+average, so no task grows with the data. Groups are drawn by hash, so that a next round would be like the one before: the
+tree ends when one saves less than SAVING of its bins, and what it may have left to save is below that share.
 """
 
 from __future__ import annotations
@@ -19,7 +20,9 @@ from .tokens import VOCABULARY, sized
 
 NEARLY_FULL = 0.98
 GROUP_BINS = 50_000
-ROUNDS = 6
+SAVING = 0.001
+#: Container sizes sent to the tasks at once; more are packed one slice after another.
+AT_ONCE = 1000
 _MEMBER = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start_token", pa.int64()), ("n_tokens", pa.int64())])
 _KIND = "container string, capacity bigint, fill bigint, closed boolean, members array<struct<doc_id:bigint,piece:int,start_token:bigint,n_tokens:bigint>>"
 _SCHEMA = pa.schema([("container", pa.string()), ("capacity", pa.int64()), ("fill", pa.int64()), ("closed", pa.bool_()), ("members", pa.list_(_MEMBER))])
@@ -97,29 +100,38 @@ def _again(t: pa.Table) -> pa.Table:
 def pack(sizes: DataFrame, containers: DataFrame) -> DataFrame:
     """(container, capacity, bin_id, fill, members): the bins of each container size.
 
-    sizes: (doc_id, n_tokens). containers: (container, capacity_tokens), a settings table of a few rows; each is packed
-    with the whole corpus. Documents without tokens need no room and are in no bin."""
-    spark = sizes.sparkSession
-    limits = sorted((r[0], r[1]) for r in containers.where("capacity_tokens > 0").select("container", "capacity_tokens").distinct().limit(1000).collect())
-    bins = durable(sizes.select("doc_id", "n_tokens").mapInArrow(_first(limits), _KIND))
+    sizes: (doc_id, n_tokens). containers: (container, capacity_tokens), a settings table; each is packed with the whole
+    corpus. Documents without tokens need no room and are in no bin; a null or negative capacity holds nothing."""
+    limits = containers.where("capacity_tokens > 0").select("container", "capacity_tokens").distinct()
+    sizes = sizes.select("doc_id", "n_tokens")
+    slices = max(1, -(-limits.count() // AT_ONCE))
+    out = None
+    for k in range(slices):
+        own = sorted((r[0], r[1]) for r in limits.where(F.pmod(F.xxhash64("container", "capacity_tokens"), F.lit(slices)) == k).collect())
+        one = _packed_all(sizes, own)
+        out = one if out is None else out.unionByName(one)
+    name = F.expr("concat_ws('-', members[0].doc_id, members[0].piece)")
+    return out.select("container", "capacity", name.alias("bin_id"), "fill", "members")
+
+
+def _packed_all(sizes: DataFrame, limits: list[tuple[str, int]]) -> DataFrame:
+    """The bins of these container sizes: packed by partition, then merged along the tree."""
+    bins = durable(sizes.mapInArrow(_first(limits), _KIND))
     done, open_ = [bins.where("closed")], bins.where("not closed")
-    before, last = open_.count(), False
-    for r in range(ROUNDS):
+    before, r = open_.count(), 0
+    while before:
         groups = -(-before // GROUP_BINS)
-        if groups == 0 or last:
-            break
         group = F.pmod(F.xxhash64(F.lit(r), F.col("members")[0]), F.lit(groups)).alias("g")
-        bins = durable(open_.withColumn("g", group).groupBy("container", "g").applyInArrow(_again, _KIND))
+        bins = durable(open_.withColumn("g", group).groupBy("container", "capacity", "g").applyInArrow(_again, _KIND))
         done.append(bins.where("closed"))
         open_ = bins.where("not closed")
         after = open_.count()
-        last = groups == 1 or after > 0.98 * before
-        before = after
-    out = open_
+        if groups == 1 or before - after < SAVING * before:
+            break
+        before, r = after, r + 1
     for d in done:
-        out = out.unionByName(d)
-    name = F.expr("concat_ws('-', members[0].doc_id, members[0].piece)")
-    return out.select("container", "capacity", name.alias("bin_id"), "fill", "members")
+        open_ = open_.unionByName(d)
+    return open_
 
 
 def assigned(documents: DataFrame, containers: DataFrame, path: str = VOCABULARY) -> DataFrame:

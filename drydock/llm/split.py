@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..common import salted_join
+from ..common import salted_join, small
 
 # --- fixed values: characters after which a text may be cut, strongest first ---------------------------------------
 PARAGRAPH = "\n "
@@ -100,14 +100,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def limits_of(lines: DataFrame, chunks: DataFrame, limits: DataFrame, *keep: str) -> DataFrame:
     """lines with max_chars and overlap_chars of the source of their chunk; `*` where the source is not listed or the
-    chunk is missing. limits is a settings table of a few rows and is broadcast; chunks is joined with salted hot keys."""
+    chunk is missing, null where there is no `*` either. Of a source listed twice the smaller limit counts. limits is a
+    settings table, broadcast if a count shows it small; chunks is joined with salted hot keys."""
     sources = chunks.where("id is not null").groupBy(F.col("id").alias("source_chunk")).agg(F.min("source").alias("_source"))
     slim = lines.select("line_id", "source_chunk", *keep)
     named = salted_join(slim, sources, "source_chunk", "left", "line_id")
-    own = F.broadcast(limits.select(F.col("source").alias("_source"), F.col("max_chars").alias("_m"), F.col("overlap_chars").alias("_o")))
-    star = F.broadcast(limits.where("source = '*'").select(F.col("max_chars").alias("_sm"), F.col("overlap_chars").alias("_so")))
-    return named.join(own, "_source", "left").join(star, how="left").select(
-        "line_id", *keep, F.coalesce("_m", "_sm").alias("max_chars"), F.coalesce("_o", "_so").alias("overlap_chars")
+    least = F.min(F.struct(F.col("max_chars").alias("m"), F.col("overlap_chars").alias("o"))).alias("l")
+    own = limits.where("source is not null and max_chars is not null").groupBy(F.col("source").alias("_source")).agg(least).select("_source", F.col("l.m").alias("_m"), F.col("l.o").alias("_o"))
+    star = own.where("_source = '*'").agg(F.max("_m").alias("_sm"), F.max("_o").alias("_so"))
+    return named.join(small(own), "_source", "left").join(F.broadcast(star)).select(  # one row beside each
+        "line_id", *keep, F.coalesce("_m", "_sm").alias("max_chars"), F.when(F.col("_m").isNotNull(), F.col("_o")).otherwise(F.col("_so")).alias("overlap_chars")
     )
 
 
@@ -125,21 +127,22 @@ def spans(lines: DataFrame, chunks: DataFrame, limits: DataFrame) -> DataFrame:
 
 
 def pieces(lines: DataFrame, chunks: DataFrame, limits: DataFrame) -> DataFrame:
-    """(line_id, piece_no, start, end, piece): the pieces of every text that is not null, in order from 0."""
+    """(line_id, piece_no, start, end, piece): the pieces of every text that is not null, in order from 0. A text for
+    which no limit is given is one piece."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [
                 (i, k, x, y, t[x:y])
                 for i, t, m, o in zip(*(b.column(j).to_pylist() for j in range(4)))
-                for k, (x, y) in enumerate(cuts(t, m, o or 0))
+                for k, (x, y) in enumerate([(0, len(t))] if m is None else cuts(t, m, o or 0))
             ]
             cols = list(zip(*rows)) or [()] * 5
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["line_id", "piece_no", "start", "end", "piece"])
 
     least = _least(limits)
-    sized = limits_of(lines.where(F.length("text") > least), chunks, limits, "text").where("max_chars is not null")
+    sized = limits_of(lines.where(F.length("text") > least), chunks, limits, "text")
     large = sized.select("line_id", "text", "max_chars", "overlap_chars").mapInArrow(cut, "line_id bigint, piece_no int, start int, end int, piece string")
     whole = lines.where(F.length("text") <= least).select("line_id", F.lit(0).alias("piece_no"), F.lit(0).alias("start"), F.length("text").alias("end"), F.col("text").alias("piece"))
     return whole.unionByName(large)

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,8 +18,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 MOST_IDS = 100_000
 #: The split pattern that belongs to the vocabulary (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A text is encoded in blocks of so many characters.
-BLOCK = 200_000
+#: A longer segment is encoded in blocks of about so many characters, cut where the split pattern cuts it as well.
+BLOCK = 20_000
 
 
 def vocabulary(spark: SparkSession, path: str = VOCABULARY) -> Broadcast:
@@ -32,22 +33,44 @@ _CUT = re.compile(r"(?<=[，。；：、！？])(?=[^\W_])|(?<=[.,;:!?])(?= [^\W
 REMEMBERED = 100_000
 
 _made: dict[int, Callable[[str], np.ndarray]] = {}
+_SPLIT = regex.compile(PATTERN)
+
+
+def _blocks(s: str) -> Iterator[tuple[str, bool]]:
+    """s in blocks that end where the split pattern ends a match, so that each is encoded as it would be within s; and
+    whether a block is a single match. A match longer than BLOCK is a block of its own."""
+    start = end = 0
+    for m in _SPLIT.finditer(s):
+        if m.end() - m.start() > BLOCK:
+            if end > start:
+                yield s[start:end], False
+            yield m[0], True
+            start = m.end()
+        elif m.end() - start > BLOCK:
+            yield s[start:end], False
+            start = m.start()
+        end = m.end()
+    if end > start:
+        yield s[start:end], False
 
 
 def encoder(raw: bytes) -> Callable[[str], np.ndarray]:
-    """text -> token ids. Segments met before are looked up; a long one is encoded block by block, so that memory stays
-    bounded."""
+    """text -> token ids. Segments met before are looked up; a long one is split by the pattern here, as the pattern
+    engine of the tokenizer has a stack of bounded depth, and encoded block by block with the same result."""
     if (key := hash(raw)) not in _made:
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
         if len(ranks) > MOST_IDS:
             raise ValueError(f"a vocabulary of more than {MOST_IDS} tokens")
-        one = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        whole = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        one = whole.encode_ordinary
         known: dict[str, np.ndarray] = {}
 
         def look(s: str) -> np.ndarray:
-            ids = np.array([i for at in range(0, len(s), BLOCK) for i in one(s[at : at + BLOCK])] if len(s) > BLOCK else one(s), dtype=np.int32)
+            if len(s) > BLOCK:
+                return np.concatenate([np.array(whole._encode_single_piece(b) if single else one(b), dtype=np.int32) for b, single in _blocks(s)])
+            ids = np.array(one(s), dtype=np.int32)
             if len(s) <= 400:
                 if len(known) >= REMEMBERED:
                     known.clear()

@@ -50,6 +50,12 @@ def test_packing_holds(spark, monkeypatch, group):
     assert used > 0.95
 
 
+def test_more_containers_than_are_sent_at_once(spark):
+    data = [(1, 5), (2, 0), (3, 1_400)]
+    bins = pack.pack(sizes(spark, data), limits(spark, *range(1, 1_501))).groupBy("container").agg({"fill": "sum"}).collect()
+    assert len(bins) == 1_500 and {b[1] for b in bins} == {1_405}
+
+
 def test_items_that_cannot_share(spark):
     data = [(i, 60) for i in range(300)]
     bins = pack.pack(sizes(spark, data), limits(spark, 100)).collect()

@@ -78,3 +78,13 @@ def test_empty(spark):
 def test_hot_chunk(spark):
     lines = [(i, "c1" if i % 2 else f"c{i}", "x" * random.Random(i).randint(0, 12)) for i in range(25_000)]
     assert split.found(*tables(spark, lines)).count() == sum(len(x) > (5 if c == "c1" else 8) for _, c, x in lines)
+
+
+def test_no_limit_for_the_source(spark, rows):
+    lines, chunks, limits = tables(spark, [(1, "c1", "x" * 6), (2, "c2", "x" * 9), (3, None, "x" * 900), (4, "c2", "x")])
+    t = lines, chunks, limits.where("source <> '*'")
+    assert rows(split.found(*t)) == [(1,)]
+    got = rows(split.pieces(*t), "line_id", "piece_no", "piece")
+    assert [g for g in got if g[0] > 1] == [(2, 0, "x" * 9), (3, 0, "x" * 900), (4, 0, "x")]
+    twice = limits.unionByName(limits.where("source = 's1'").selectExpr("source", "max_chars + 50 as max_chars", "overlap_chars"))
+    assert rows(split.pieces(lines, chunks, twice)) == rows(split.pieces(lines, chunks, limits))

@@ -32,6 +32,14 @@ def test_long_and_odd_texts(plain):
     assert len(e("船体 " * 150_000)) > 150_000
 
 
+def test_long_segments_are_encoded_as_a_whole(plain):
+    r = random.Random(4)
+    e = tokens.encoder(RAW)
+    for s in ("x" * 240_000, "船体" * 150_000, "ab c" * 75_000, "".join(r.choice(["a", "b ", "  ", "'s", "船", "9", "\t", "é"]) for _ in range(120_000))):
+        assert e(s).tolist() == plain.encode_ordinary(s)
+    assert len(e(" " * 1_000_000)) == 1_000_000  # too long for the pattern engine of the tokenizer
+
+
 EASY = ["We saw a dog.", "The sun was out.", "I like the big boat.", "小船很大。", "我们去看大海。"]
 HARD = ["The asymptotic eigenmode of the anisotropic operator bifurcates, whereas its spectrum remains bounded.", "谱隙的渐近等价关系决定了极限承载能力的变异系数，从而约束失效概率。", "Notwithstanding the degeneracy, the closed-form solution follows from the variational principle."]
 
