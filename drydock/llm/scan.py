@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..common import durable, salted_join
-from .printform import print_form
+from .printform import confusables, speller
 
 # --- fixed values: shapes of Latin letters and digits that scanners confuse (read as -> meant) ----------------------
 READ_AS = {"c": "e", "f": "t", "1": "l", "5": "s", "q": "g", "0": "o", "6": "b", "rn": "m", "cl": "d", "li": "h", "vv": "w", "l": "1", "o": "0", "m": "rn", "d": "cl", "h": "li", "w": "vv", "e": "c", "t": "f", "s": "5", "g": "q", "b": "6", "i": "l", "u": "v", "v": "u", "8": "B", "2": "z", "9": "g"}
@@ -501,7 +501,10 @@ def _decode(spark: SparkSession, docs: DataFrame, counts: DataFrame, chars: dict
 def _forms(lines: DataFrame) -> DataFrame:
     """(line_id, book, form, heads, names, cut): print forms, decorated lines, and the names with a cut word."""
 
+    pairs = confusables(lines.sparkSession)
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        print_form = speller(pairs).form
         for b in batches:
             forms = [print_form(t) for t in b.column(2).to_pylist()]
             heads = [[] if f is None else sorted({h for x in f.split("\n") if (h := head_of(x))}) for f in forms]

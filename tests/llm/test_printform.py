@@ -21,7 +21,7 @@ def test_forms():
 
 def test_form_is_stable():
     r = random.Random(3)
-    pool = [chr(c) for c in p.FOLD] + list(p.LATIN_OF) + list("abcXYZ量用 \n。，")
+    pool = [chr(c) for c in p.FOLD] + list((p.CYRILLIC | p.GREEK)) + list("abcXYZ量用 \n。，")
     for _ in range(500):
         s = "".join(r.choice(pool) for _ in range(r.randint(0, 30)))
         assert p.print_form(p.print_form(s)) == p.print_form(s)
@@ -64,3 +64,30 @@ def test_empty_and_consistent(spark, rows):
     assert p.found(table(spark, [])).count() == 0 and p.consistent(table(spark, [])).count() == 0
     got = {r["line_id"]: r for r in p.consistent(table(spark, DATA)).collect()}
     assert got[1]["text"] == "甲板,量1" and got[1]["evidence"][:3] == ["板,量", "板,量", None] and got[2]["evidence"] is None and got[4]["text"] is None
+
+
+def test_evidence_is_spelled_by_the_scripts_of_its_text(spark, rows):
+    data = [(1, "Судно имеет корпус. СОР и ТОР", [("СОР", "h"), ("COP", "h")])]
+    r = p.consistent(table(spark, data)).first()
+    assert r["text"] == data[0][1] and r["evidence"] == ["СОР", "COP"] and r["evidence"][0] in r["text"]
+    assert rows(p.found(table(spark, data))) == []
+
+
+def test_unicode_confusables_beyond_the_fixed_list(spark):
+    pairs = dict(p.confusables(spark))
+    assert p.CYRILLIC.items() <= pairs.items() and len(pairs) > 150
+    spell = p.speller(p.confusables(spark))
+    assert spell.form("ᎪᏴ") == "AB"[: 1] + spell.form("Ᏼ") and spell.form("Ꭺxle") == "Axle"
+    # small Greek letters are symbols
+    assert spell.form("α=30°，ρg，ν") == "α=30°,ρg,ν"
+    for s in ("Ꭺxle", "сор", "Ελλάδα", "Т型材"):
+        assert spell.form(spell.form(s)) == spell.form(s)
+
+
+def test_a_hundred_thousand_copies_and_one_variant(spark):
+    n = 100_000
+    lines = spark.range(n + 1).selectExpr("id as line_id", f"case when id = {n // 2} then '量⽤' else '量用' end as text", "cast(null as array<struct<evidence:string>>) as triples")
+    got = p.found(lines)
+    assert got.count() == n and got.where("line_a = 50000 or line_b = 50000").count() == n
+    by = {tuple(r)[1:] for r in p.classes(lines).where("line_id in (0, 1, 50000)").collect()}
+    assert by == {(0, 0, 1), (0, 50000, n)}
