@@ -1,9 +1,11 @@
 """Mapping freely written values to the entries of a list, by trie and Levenshtein automaton (problem 6).
 
-The reference entries (code, local name, and alias paths derived from them) are spelled into a trie. A value is searched
-by walking the trie with the rows of a Levenshtein automaton (transposition included): branches whose row exceeds the
-distance allowed for the value's length are dropped, so the walk returns all entries within that distance. Values are
-matched where they stand, each distinct value once a worker; nothing is shuffled.
+The reference entries are spelled into tries, with their alias paths: the code without separators, its word stems in every
+order, the local name, and the parts of the local name around an ellipsis. A value is searched by walking the trie with the
+rows of a Levenshtein automaton (transposition included): branches whose row exceeds the distance allowed for the value's
+length are dropped, so the walk returns all entries within that distance. Words (or ideographs) that stand beside an entry
+are passed over, at most as many as the entry itself has, and counted. There are no word lists: what is filler in one list
+may be an entry of another. Values are matched where they stand, each distinct value once a worker; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -12,29 +14,22 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import permutations
+from itertools import combinations, permutations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UNMATCHED = "UNMATCHED"
 #: Distinct values remembered by a worker; older ones are matched anew.
 REMEMBERED = 200_000
-#: Stems of a value that are tried in every order; more are tried in the sorted order alone.
+#: The stems of an entry of up to so many are spelled in every order; of longer ones, as of values then, in sorted order.
 ORDERED = 4
-#: The entry list is broadcast with the matching function; longer lists are refused.
+#: The entry list is sent to the tasks; longer lists are refused.
 MAX_ENTRIES = 100_000
-
-# --- fixed values: words of no meaning for the entry meant ---------------------------------------------------------
-EN_EMPTY = frozenset("a an the is are was be been it its this that which by in order of and to's".split())
-EN_KINDS = frozenset("type kind class item step name value category hull ship relation relationship entity".split())
-ZH_BEFORE = ("所在", "其中", "所", "被", "其", "是", "之", "在", "隶", "从")
-ZH_AFTER = ("关系", "类型", "类别", "种类", "类", "项", "值", "名", "了", "有", "着", "于", "的", "过")
-ZH_LINKS = re.compile("[的之与和及或、/／…·.。—\\-\\s]")
-#: Spellings of the same word (traditional, simplified or synonymous).
-ZH_SAME = {"於": "于", "像": "象", "隶属": "属", "从属": "属"}
-# ------------------------------------------------------------------------------------------------------------------
+#: Spellings of the same ideograph where no list is given (fixed value); the operators take ICU's traditional forms.
+SAME = {"於": "于"}
+_IDEOGRAPH = "[㐀-鿿]"
 
 
 def allowed(length: int) -> int:
@@ -56,34 +51,32 @@ def _stem(w: str) -> str:
 
 
 def _bag(s: str) -> tuple[str, ...]:
-    return tuple(sorted({_stem(w) for w in _words(s) if w not in EN_EMPTY}))
+    """The different word stems, sorted."""
+    return tuple(sorted({_stem(w) for w in _words(s)}))
 
 
 def _compact(s: str) -> str:
     return re.sub(r"[\W_]+", "", s).lower()
 
 
-def _zh(s: str) -> str:
-    s = "".join(re.findall("[㐀-鿿]", ZH_LINKS.sub("", s)))
-    for a, b in ZH_SAME.items():
-        s = s.replace(a, b)
-    return s
-
-
 class Trie:
     """Entries by spelling; node: {character: node}, the codes that end at it under the empty string."""
 
     def __init__(self) -> None:
         self.root: dict = {}
+        self.longest = 0
 
     def add(self, spelling: str, code: str) -> None:
         node = self.root
         for c in spelling:
             node = node.setdefault(c, {})
         node.setdefault("", set()).add(code)
+        self.longest = max(self.longest, len(spelling))
 
     def within(self, word: str, most: int) -> dict[str, int]:
         """All codes with a spelling at most `most` edits from word (a swap of neighbours is one edit): {code: edits}."""
+        if len(word) > self.longest + most:
+            return {}
         out: dict[str, int] = {}
         first = list(range(len(word) + 1))
         stack = [(self.root, first, None, "")]
@@ -107,91 +100,74 @@ class Trie:
 
 
 class Matcher:
-    """Entries: (code, local name). Alias paths: the code without separators, its word stems in any order, the local name
-    without links, and the local name's parts around an ellipsis. Stem paths are spelled into a trie of their own, and a
-    value is met there within the distance for its stems if nothing else meets it. Whole matches of stems and local names
-    are looked up by hash first. Entries with the same stems or equally near are no match."""
+    """Entries: (code, local name). all(value) gives every entry within the distance; one(value) the one of least cost,
+    or UNMATCHED where there is none or several cost the same."""
 
-    def __init__(self, entries: list[tuple[str, str]]) -> None:
+    def __init__(self, entries: list[tuple[str, str]], same: dict[str, str] | None = None) -> None:
         self.codes = {c for c, _ in entries}
-        self.trie, self.zh = Trie(), {}
-        self.bags: dict[tuple[str, ...], set[str]] = {}
-        self.paths = Trie()
+        self.same = str.maketrans(SAME if same is None else same)
+        self.trie, self.stems, self.local = Trie(), Trie(), Trie()
+        self.most_stems = 0
         for code, name in entries:
-            self.trie.add(_compact(code), code)
+            if word := _compact(code):
+                self.trie.add(word, code)
             if bag := _bag(code):
-                self.bags.setdefault(bag, set()).add(code)
-                self.paths.add(" ".join(bag), code)
-            for part in {_zh(name), *(_zh(p) for p in re.split("…+|\\.\\.\\.", name or "") if len(_zh(p)) > 1)}:
+                self.most_stems = max(self.most_stems, len(bag))
+                for order in permutations(bag) if len(bag) <= ORDERED else (bag,):
+                    self.stems.add(" ".join(order), code)
+            for part in {self._ideographs(name), *(p for x in re.split("…+|\\.\\.\\.", name or "") if len(p := self._ideographs(x)) > 1)}:
                 if part:
-                    self.zh.setdefault(part, code)
-                    self.trie.add(part, code)
+                    self.local.add(part, code)
         self.one = lru_cache(maxsize=REMEMBERED)(self._one)
 
-    def _nearest(self, word: str) -> tuple[int, str] | None:
-        near = self.trie.within(word, allowed(len(word)))
-        if not near:
-            return None
-        best = min(near.values())
-        codes = sorted(c for c, d in near.items() if d == best)
-        return (best, codes[0]) if len(codes) == 1 else None
-
-    def _stems(self, bag: tuple[str, ...]) -> tuple[int, str] | None:
-        """The one entry whose stems are nearest to the bag in some order, as a typo may change the sorted order."""
-        near: dict[str, int] = {}
-        most = allowed(sum(map(len, bag)))
-        if most:
-            for order in permutations(bag) if len(bag) <= ORDERED else (bag,):
-                for code, d in self.paths.within(" ".join(order), most).items():
-                    near[code] = min(d, near.get(code, d))
-        best = sorted((d, c) for c, d in near.items())
-        return best[0] if best and (len(best) == 1 or best[0][0] < best[1][0]) else None
-
-    def _latin(self, s: str) -> tuple[int, str] | None:
-        word = _compact("".join(re.findall(r"[A-Za-z_\W]", s)))
-        if not word:
-            return None
-        near = self._nearest(word)
-        if near and near[0] == 0:
-            return near
-        bag = _bag(s)
-        if len(codes := self.bags.get(bag, ())) == 1:
-            return 0, *codes
-        inner = tuple(sorted({_stem(w) for w in _words(s) if w not in EN_EMPTY | EN_KINDS}))
-        if len(codes := self.bags.get(inner, ())) == 1:
-            return 0, *codes
-        if near:
-            return near
-        plain = self._nearest("".join(w for w in _words(s) if w not in EN_EMPTY | EN_KINDS))
-        if plain:
-            return plain[0] + 1, plain[1]
-        stems = self._stems(bag) or self._stems(inner)
-        return stems and (stems[0] + 1, stems[1])
-
-    def _chinese(self, s: str) -> tuple[int, str] | None:
-        word = _zh(s)
-        if not word:
-            return None
-        if word in self.zh:
-            return 0, self.zh[word]
-        forms = {word}
-        for _ in range(2):
-            forms |= {f[len(p):] for f in forms for p in ZH_BEFORE if f.startswith(p) and len(f) - len(p) > 1}
-            forms |= {f[: -len(p)] for f in forms for p in ZH_AFTER if f.endswith(p) and len(f) - len(p) > 1}
-        exact = sorted((len(word) - len(f), self.zh[f]) for f in forms if f in self.zh)
-        if exact:
-            return 0, exact[0][1]
-        near = sorted(n for f in forms if (n := self._nearest(f)))
-        return near[0] if near else None
+    def _ideographs(self, s: str | None) -> str:
+        return "".join(re.findall(_IDEOGRAPH, s or "")).translate(self.same)
+
+    def _parts(self, s: str) -> Iterator[tuple[Trie, str, int]]:
+        """The forms under which a value is searched: (trie, form, what was passed over beside it)."""
+        if word := _compact(re.sub(_IDEOGRAPH, "", s)):
+            yield self.trie, word, 0
+        bag = _bag(re.sub(_IDEOGRAPH, " ", s))
+        if 0 < len(bag) <= 2 * self.most_stems:  # a longer one cannot be half of an entry
+            for n in range(-(-len(bag) // 2), len(bag) + 1):
+                for own in combinations(bag, n):
+                    yield self.stems, " ".join(own), len(bag) - n
+        zh = self._ideographs(s)
+        if 0 < len(zh) <= 2 * self.local.longest + 2:
+            for n in range(-(-len(zh) // 2), len(zh) + 1):
+                for at in range(len(zh) - n + 1):
+                    yield self.local, zh[at : at + n], len(zh) - n
+
+    def all(self, value: str) -> dict[str, tuple[int, int]]:
+        """{code: (edits, words or ideographs passed over)} of every entry met within the distance, each at its least cost.
+
+        What is passed over is at most as much as the entry's own form has: no more than half of the value."""
+        out: dict[str, tuple[int, int]] = {}
+        for trie, form, beside in self._parts(unicodedata.normalize("NFKC", value)):
+            for code, d in trie.within(form, allowed(len(form.replace(" ", "")))).items():
+                if code not in out or (d + beside, beside) < (sum(out[code]), out[code][1]):
+                    out[code] = (d, beside)
+        return out
 
     def _one(self, value: str) -> str:
-        s = unicodedata.normalize("NFKC", value)
-        if re.search("[㐀-鿿]", s) and re.search("[A-Za-z]{2}", s):
-            a, b = self._latin(re.sub("[㐀-鿿]+", " ", s)), self._chinese(s)
-            found = min((x for x in (a, b) if x), default=None)
-        else:
-            found = self._chinese(s) if re.search("[㐀-鿿]", s) else self._latin(s)
-        return found[1] if found else UNMATCHED
+        cost = sorted((d + beside, beside, code) for code, (d, beside) in self.all(value).items())
+        if not cost or len(cost) > 1 and cost[0][:2] == cost[1][:2]:
+            return UNMATCHED
+        return cost[0][2]
+
+
+_same: dict[str, dict[str, str]] = {}
+
+
+def simplified(spark: SparkSession) -> dict[str, str]:
+    """Traditional ideographs and their simplified forms, from the ICU library that Spark ships; some thousand, read once
+    a session."""
+    key = spark.sparkContext.applicationId
+    if key not in _same:
+        chars = [chr(c) for c in range(0x4E00, 0xA000)]
+        to = spark.sparkContext._jvm.com.ibm.icu.text.Transliterator.getInstance("Traditional-Simplified").transliterate("\n".join(chars)).split("\n")
+        _same[key] = {a: b for a, b in zip(chars, to, strict=True) if a != b and len(b) == 1} | SAME
+    return _same[key]
 
 
 def entries_of(labels: DataFrame, label_set: str) -> list[tuple[str, str]]:
@@ -203,14 +179,29 @@ def entries_of(labels: DataFrame, label_set: str) -> list[tuple[str, str]]:
     return sorted((r[0], r[1] or "") for r in rows)
 
 
+SETS = {"entity_type": "entity_type", "relation": "relation", "head_type": "entity_type"}
+
+
+def _matchers(labels: DataFrame, sets: dict[str, str]):
+    """A function that makes, on a worker, the matcher of each item."""
+    entries = {s: entries_of(labels, s) for s in sorted(set(sets.values()))}
+    same = simplified(labels.sparkSession)
+
+    def make() -> dict[str, Matcher]:
+        made = {s: Matcher(e, same) for s, e in entries.items()}
+        return {item: made[s] for item, s in sets.items()}
+
+    return make
+
+
 def map_values(values: DataFrame, labels: DataFrame, sets: dict[str, str]) -> DataFrame:
     """values: (line_id, item, elem_pos, value); sets: item -> label set. Adds canon_code: the entry meant or UNMATCHED.
-    Nulls stay null; empty and blank values are UNMATCHED; the code itself maps to itself."""
-    entries = {s: entries_of(labels, s) for s in sorted(set(sets.values()))}
+    Nulls stay null; empty and blank values are UNMATCHED, as are those for which several entries cost the same; the code
+    itself maps to itself."""
+    make = _matchers(labels, sets)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = {s: Matcher(e) for s, e in entries.items()}
-        made = {item: made[s] for item, s in sets.items()}
+        made = make()
         for b in batches:
             items, vals = b.column(1).to_pylist(), b.column(3).to_pylist()
             codes = [None if v is None else v if v in made[i].codes else made[i].one(v) for i, v in zip(items, vals)]
@@ -219,12 +210,8 @@ def map_values(values: DataFrame, labels: DataFrame, sets: dict[str, str]) -> Da
     return values.select("line_id", "item", "elem_pos", "value").mapInArrow(match, "line_id bigint, item string, elem_pos int, canon_code string")
 
 
-SETS = {"entity_type": "entity_type", "relation": "relation", "head_type": "entity_type"}
-
-
-def written_values(lines: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """(line_id, item, elem_pos, value): the non-null types of entities, relations and head types of triples. With
-    labels: only those that are not exactly a code of their set (the set is a settings table; MAX_ENTRIES at most)."""
+def written_values(lines: DataFrame) -> DataFrame:
+    """(line_id, item, elem_pos, value): the non-null types of entities, relations and head types of triples."""
 
     def of(array: str, field: str, item: str):
         return f"transform({array}, (x, i) -> named_struct('item', '{item}', 'elem_pos', i, 'value', x.{field}))"
@@ -232,14 +219,38 @@ def written_values(lines: DataFrame, labels: DataFrame | None = None) -> DataFra
     empty = "cast(array() as array<struct<item:string,elem_pos:int,value:string>>)"
     parts = [of("entities", "type", "entity_type"), of("triples", "relation", "relation"), of("triples", "head_type", "head_type")]
     both = "concat(" + ", ".join(f"coalesce({p}, {empty})" for p in parts) + ")"
-    keep = "x -> x.value is not null"
-    if labels is not None:
-        codes = {s: [c for c, _ in entries_of(labels, s)] for s in set(SETS.values())}
-        quoted = {s: ", ".join("'" + c.replace("\\", "\\\\").replace("'", "\\'") + "'" for c in v) or "null" for s, v in codes.items()}
-        keep += f" and not coalesce(case when x.item = 'relation' then x.value in ({quoted['relation']}) else x.value in ({quoted['entity_type']}) end, false)"
-    return lines.select("line_id", F.expr(f"filter({both}, {keep})").alias("v")).select("line_id", F.inline("v"))
+    return lines.select("line_id", F.inline(F.expr(both))).where("value is not null")
+
+
+def free_values(lines: DataFrame, labels: DataFrame, sets: dict[str, str] = SETS) -> DataFrame:
+    """The written values that are not exactly a code of their set; the codes (MAX_ENTRIES a set at most) are broadcast."""
+    codes = [(item, c) for item, s in sorted(sets.items()) for c, _ in entries_of(labels, s)]
+    exact = F.broadcast(labels.sparkSession.createDataFrame(sorted(set(codes)), "item string, value string"))
+    return written_values(lines).join(exact, ["item", "value"], "left_anti")
 
 
 def found(lines: DataFrame, labels: DataFrame) -> DataFrame:
     """(line_id, item, elem_pos, canon_code) of every non-null value that is not exactly a code of its set."""
-    return map_values(written_values(lines, labels), labels, SETS)
+    return map_values(free_values(lines, labels), labels, SETS)
+
+
+def matches(lines: DataFrame, labels: DataFrame) -> DataFrame:
+    """(item, value, n, canon_code, edits, beside, rank): for each different value that is not exactly a code, every entry
+    within the distance: its edits and the words or ideographs passed over beside it. Entries of rank 1 cost the least;
+    several of rank 1 are a tie, for which found reports UNMATCHED. A value that meets none has one row with null code."""
+    make = _matchers(labels, SETS)
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = make()
+        for b in batches:
+            rows = []
+            for item, value, n in zip(*(c.to_pylist() for c in b.columns)):
+                met = sorted((d + beside, beside, d, code) for code, (d, beside) in made[item].all(value).items())
+                costs = [m[:2] for m in met]
+                rows += [(item, value, n, code, d, beside, costs.index((total, beside)) + 1) for total, beside, d, code in met] or [(item, value, n, None, None, None, None)]
+            cols = list(zip(*rows)) or [()] * 7
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["item", "value", "n", "canon_code", "edits", "beside", "rank"])
+
+    different = free_values(lines, labels).groupBy("item", "value").agg(F.count(F.lit(1)).alias("n"))
+    return different.mapInArrow(match, "item string, value string, n bigint, canon_code string, edits int, beside int, rank int")

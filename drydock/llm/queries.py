@@ -50,6 +50,10 @@ def p6_found(spark, d):
     return canon.found(_lines(spark, d, "entities", "triples"), table(spark, d, "canonical_labels"))
 
 
+def p6_matches(spark, d):
+    return canon.matches(_lines(spark, d, "entities", "triples"), table(spark, d, "canonical_labels"))
+
+
 def _documents(spark, d, *columns):
     return spread(table(spark, d, "documents", "doc_id", *columns), "doc_id")
 
@@ -82,7 +86,7 @@ def p10_profile(spark, d):
     return level.profile(_documents(spark, d, "text"), table(spark, d, "level_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p1_classes, p3_found, p3_repaired, p4_found, p4_pieces, p5_found, p5_collapsed, p6_found, p8_assigned, p8_unused, p9_chosen, p9_reached, p10_found, p10_levels, p10_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p1_classes, p3_found, p3_repaired, p4_found, p4_pieces, p5_found, p5_collapsed, p6_found, p6_matches, p8_assigned, p8_unused, p9_chosen, p9_reached, p10_found, p10_levels, p10_profile)}
 _BARE = "list_sort(list_transform(list_filter({0}, lambda x: x IS NOT NULL), lambda x: regexp_replace(lower(x), '[^\\p{{L}}\\p{{M}}\\p{{Nd}}]', '', 'g')))"
 _RECORDS = f"""r AS (SELECT line_id, coalesce({_BARE.format('list_transform(entities, lambda e: e.name)')}, []) AS n, coalesce({_BARE.format('list_transform(triples, lambda e: e.tail)')}, []) AS t FROM sample_raw_extractions),
 g AS (SELECT line_id, n, t, min(line_id) OVER (PARTITION BY n, t) AS kept_line, count(*) OVER (PARTITION BY n, t) AS copies FROM r WHERE len(n) + len(t) > 0)"""

@@ -71,3 +71,24 @@ def test_stem_paths_are_met_within_the_distance():
     assert kinds.one("reqirement of quality") == kinds.one("equirement of quality") == "QualityRequirement"
     assert rel.one("using tols") == "uses_tool" and rel.one("for providing basus") == "provides_basis_for"
     assert canon.Matcher([("uses_tool", ""), ("tool_used", "")]).one("using of tools") == canon.UNMATCHED
+
+
+def test_all_entries_within_the_distance_and_ties(spark, rows):
+    m = canon.Matcher([("alphas", ""), ("alphax", ""), ("beta", "")])
+    assert m.all("alphaz") == {"alphas": (1, 0), "alphax": (1, 0)} and m.one("alphaz") == canon.UNMATCHED
+    assert m.all("alphas") == {"alphas": (0, 0), "alphax": (1, 0)} and m.one("alphas") == "alphas"
+    df = spark.createDataFrame([(1, [("alphaz",), ("beta",)], None, "v", "i"), (2, [("alphaz",), ("gamma",)], None, "v", "i")], SCHEMA)
+    got = rows(canon.matches(df, labels(spark, [], [("alphas", ""), ("alphax", ""), ("beta", "")])), "value", "n", "canon_code", "edits", "rank")
+    assert got == [("alphaz", 2, "alphas", 1, 1), ("alphaz", 2, "alphax", 1, 1), ("gamma", 1, None, None, None)] or got == sorted([("alphaz", 2, "alphas", 1, 1), ("alphaz", 2, "alphax", 1, 1), ("gamma", 1, None, None, None)], key=repr)
+
+
+def test_words_beside_an_entry_are_passed_over():
+    rel = canon.Matcher(REL)
+    assert rel.all("used in order for")["used_for"] == (0, 2) and rel.all("其中包含")["contains"] == (0, 2)
+    assert rel.one("all that is at hand and used for") == canon.UNMATCHED  # more than half is something else
+
+
+def test_traditional_forms(spark):
+    same = canon.simplified(spark)
+    assert same["於"] == "于" and same["設"] == "设" and len(same) > 1000
+    assert canon.Matcher(KINDS, same).one("工具設備") == "ToolEquipment"
