@@ -2,6 +2,8 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from drydock.llm import copies
 
@@ -59,28 +61,52 @@ def test_many_with_a_hot_group(spark, rows):
     assert rows(copies.collapsed(table(spark, data).repartition(7))) == collapsed
 
 
-def test_saturated_filter_changes_nothing(spark, rows, monkeypatch):
-    monkeypatch.setattr(copies, "MAX_BLOCKS", 1)
-    monkeypatch.setattr(copies, "BITS_PER_RECORD", 1)
-    data = [record(i, [f"n{i // 2}"], None) for i in range(4000)]
-    assert rows(copies.found(table(spark, data))) == brute(data)[0]
+def test_turns_and_no_filter_change_nothing(spark, rows, monkeypatch):
+    data = [record(i, [f"n{i // 2}" if i % 4 else f"m{i}"], None) for i in range(4000)]
+    want = brute(data)
+    df = table(spark, data).repartition(5)
+    for at_once, turns in ((300, 50), (300, 2)):
+        monkeypatch.setattr(copies, "AT_ONCE", at_once)
+        monkeypatch.setattr(copies, "TURNS", turns)
+        assert rows(copies.found(df)) == want[0] and rows(copies.collapsed(df)) == want[1]
+
+
+def hashed(spark, n, start=0):
+    return copies._numbered(spark.range(n).selectExpr(f"id + {start} as line_id", "md5(cast(id as string)) as m"))
 
 
 def test_filter_lets_few_singletons_through(spark):
-    data = spark.range(40_000).selectExpr("id as line_id", "md5(cast(id as string)) as h")
-    flt, blocks = copies.repeat_filter(data.repartition(8), 40_000)
-    through = copies.flagged(data, flt, blocks).where("maybe").count()
-    assert through < 0.1 * 40_000
-    twice = data.unionByName(data.selectExpr("line_id + 100000 as line_id", "h").where("line_id < 101000"))
-    flt, blocks = copies.repeat_filter(twice.repartition(8), 41_000)
-    assert copies.flagged(twice, flt, blocks).where("maybe and line_id < 1000").count() == 1000
+    data = hashed(spark, 40_000)
+    flt, slots = copies.repeat_filter(data.repartition(8), 40_000)
+    through = copies.flagged(data, flt, slots).where("maybe").count()
+    assert through < 2.5 / copies.SLOTS * 40_000
+    twice = data.unionByName(hashed(spark, 1000, 100_000))
+    flt, slots = copies.repeat_filter(twice.repartition(8), 41_000)
+    assert copies.flagged(twice, flt, slots).where("maybe and (line_id < 1000 or line_id >= 100000)").count() == 2000
+
+
+@pytest.mark.parametrize("partitions", [64, 4096])
+def test_filters_are_smaller_than_the_hashes(spark, partitions):
+    n, each = 40_000_000, 40_000_000 // partitions
+    r = np.random.default_rng(partitions)
+    slots = copies.SLOTS * n
+    width = -(-slots // (n // copies.BLOCK_RECORDS))
+    places = r.integers(0, slots, each)  # one partition of 40 million records
+    size = rows_ = 0
+    for b in copies._builder(width)(iter([pa.RecordBatch.from_arrays([pa.array(places)], names=["slot"])])):
+        size += b.nbytes
+        rows_ += b.num_rows
+    assert rows_ <= 2 * n // copies.BLOCK_RECORDS and size < 4 * each < 16 * each
+
+
+def test_packed_places_come_back():
+    for seed in range(50):
+        r = random.Random(seed)
+        span = r.choice([1, 7, 1000, 1 << 40])
+        own = np.array(sorted({r.randrange(span) for _ in range(r.choice([1, 2, 500]))}), np.int64)
+        bits, low, high = copies.packed(own, span)
+        assert copies.unpacked(len(own), bits, low, high).tolist() == own.tolist()
 
 
 def test_empty(spark):
     assert copies.found(table(spark, [])).count() == 0 and copies.collapsed(table(spark, [])).count() == 0
-
-
-def test_merge():
-    a, b = np.array([1, 2], np.int64), np.array([3, 4], np.int64)
-    once, rep = copies._merge(a, a * 0, b, b * 0)
-    assert once.tolist() == [3, 6] and rep.tolist() == [1, 0]
