@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 from ..common import durable
 from .tokens import MOST_IDS, VOCABULARY, encoder, vocabulary
 
-#: At most so many rated documents are used for the calibration, those of smallest hash.
+#: About so many rated documents at most are used for the calibration, drawn by hash.
 MAX_RATED = 20_000
 SHARES = (0.5, 0.7, 0.8, 0.9, 0.95)
 LEVELS = 5
 _SENTENCE = re.compile(r"[。！？!?；;\n]|\.(?=\s|$)")
-_CLAUSE = re.compile("[，,、：:（(]")
+_CLAUSE = "，,、：:（("
 COMPLEXITY = ["sent_len", "sent_max", "clauses", "latin"]
 FEATURES = [*(f"freq_{int(s * 100)}" for s in SHARES), *(f"grade_{int(s * 100)}" for s in SHARES), "grade_mean", "grade_low", "grade_high", *COMPLEXITY]
 
@@ -46,7 +46,7 @@ def histograms(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
                 lengths = [len(s) for s in _SENTENCE.split(t) if s.strip()] or [0]
                 latin = len(t.encode("utf-8", "replace")) < 1.5 * len(t)
                 per = np.log1p(np.asarray(lengths) / (2.5 if latin else 1.0))
-                for c, v in zip(cols, (i, ids, n.astype(np.int32), float(per.mean()), float(per.max()), np.log1p(len(_CLAUSE.findall(t)) / len(lengths)), float(latin))):
+                for c, v in zip(cols, (i, ids, n.astype(np.int32), float(per.mean()), float(per.max()), np.log1p(sum(map(t.count, _CLAUSE)) / len(lengths)), float(latin))):
                     cols[c].append(v)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cols["doc_id"], pa.int64()), pa.array(cols["ids"], pa.list_(pa.int32())), pa.array(cols["counts"], pa.list_(pa.int32())), *(pa.array(cols[c], pa.float64()) for c in COMPLEXITY)],
@@ -135,14 +135,18 @@ def features(hist: DataFrame, words: list[tuple[int, float, float]]) -> DataFram
     return hist.mapInArrow(measure, "doc_id bigint, " + ", ".join(f"{c} double" for c in FEATURES))
 
 
-def _terms() -> list[str]:
-    """Terms of the calibration: the features, and the leading ones apart for texts in Latin letters."""
+def _terms(graded: bool = True) -> list[str]:
+    """Terms of the calibration: the features, and the leading ones apart for texts in Latin letters. graded: also the
+    coverage ranks in the vocabulary by grade; else only those by frequency and the complexity."""
+    if not graded:
+        plain = [f for f in FEATURES if not f.startswith("grade")]
+        return ["1D", *plain, "sent_len * latin", *(f"{f} * latin" for f in plain if f.startswith("freq")), *(f"{f} * {f}" for f in plain if f != "latin")]
     return ["1D", *FEATURES, "grade_mean * latin", "sent_len * latin", "grade_mean * grade_mean", "grade_high * grade_high", "grade_low * grade_low"]
 
 
-def calibrate(rated: DataFrame, ridge: float = 1e-3) -> np.ndarray:
+def calibrate(rated: DataFrame, ridge: float = 1e-3, graded: bool = True) -> np.ndarray:
     """The least-squares weights of the terms for the ratings; the sums of products are made in SQL."""
-    t = _terms()
+    t = _terms(graded)
     pairs = [(a, b) for a in range(len(t)) for b in range(a, len(t))]
     row = rated.agg(
         *(F.expr(f"sum(({t[a]}) * ({t[b]}))").alias(f"x{a}_{b}") for a, b in pairs), *(F.expr(f"sum(({x}) * rating)").alias(f"y{a}") for a, x in enumerate(t)), F.count(F.lit(1)).alias("n")
@@ -156,16 +160,21 @@ def calibrate(rated: DataFrame, ridge: float = 1e-3) -> np.ndarray:
     return np.linalg.solve(x / row["n"] + ridge * np.eye(len(t)), y / row["n"])
 
 
-def scored(documents: DataFrame, labels: DataFrame, path: str = VOCABULARY) -> DataFrame:
+def drawn(rated: DataFrame, most: int = MAX_RATED) -> DataFrame:
+    """All rows, or about `most` of more, by the hash of doc_id; no task gathers them."""
+    share = int(most / max(most, rated.count()) * 1_000_000)
+    return rated.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
+
+
+def scored(documents: DataFrame, labels: DataFrame, path: str = VOCABULARY, graded: bool = True) -> DataFrame:
     """(doc_id, score, reading_level): score is the calibrated level, reading_level the nearest of 1 to 5. Documents
-    without tokens have no row; without any ratings all are of level 3."""
+    without tokens have no row; without any ratings all are of level 3. graded: use the vocabulary by grade as well."""
     hist = durable(histograms(documents, path))
-    sample = ratings(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_RATED)
-    sample = F.broadcast(durable(sample))
+    sample = F.broadcast(durable(drawn(durable(ratings(labels)))))
     words = [(r[0], r[1], r[2]) for r in graded_vocabulary(hist.join(sample, "doc_id", "left")).collect()]
     feats = durable(features(hist, words))
-    weights = calibrate(feats.join(sample, "doc_id"))
-    score = F.expr(" + ".join(f"({w!r}D) * ({t})" for w, t in zip(weights.tolist(), _terms())))
+    weights = calibrate(feats.join(sample, "doc_id"), graded=graded)
+    score = F.expr(" + ".join(f"({w!r}D) * ({t})" for w, t in zip(weights.tolist(), _terms(graded))))
     level = F.least(F.lit(LEVELS), F.greatest(F.lit(1), F.floor(score + 0.5))).cast("int")
     return feats.select("doc_id", F.round(score, 4).alias("score"), level.alias("reading_level"))
 
