@@ -27,8 +27,10 @@ def vocabulary(spark: SparkSession, path: str = VOCABULARY) -> Broadcast:
         return spark.sparkContext.broadcast(f.read())
 
 
-#: Where a text may be cut without changing its tokens: the pattern never joins what stands on either side.
-_CUT = re.compile(r"(?<=[，。；：、！？])(?=[^\W_])|(?<=[.,;:!?])(?= [^\W_])|(?<=[。！？；.!?;])(?=\n)")
+#: Segments end with a run of these marks before a blank, letter or digit: there the split pattern always cuts as well, as
+#: its matches of marks hold nothing else.
+_MARKS = "，。；：、！？.,;:!?"
+_SEGMENT = re.compile(rf"(?s)(?:[^{_MARKS}]*+[{_MARKS}]++)+?(?=\s|[^\W_])|.+")
 #: So many segments are remembered with their tokens by a worker; then it begins anew.
 REMEMBERED = 100_000
 
@@ -65,12 +67,12 @@ def encoder(raw: bytes) -> Callable[[str], np.ndarray]:
             raise ValueError(f"a vocabulary of more than {MOST_IDS} tokens")
         whole = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         one = whole.encode_ordinary
-        known: dict[str, np.ndarray] = {}
+        known: dict[str, bytes] = {}
 
-        def look(s: str) -> np.ndarray:
+        def look(s: str) -> bytes:
             if len(s) > BLOCK:
-                return np.concatenate([np.array(whole._encode_single_piece(b) if single else one(b), dtype=np.int32) for b, single in _blocks(s)])
-            ids = np.array(one(s), dtype=np.int32)
+                return b"".join(np.array(whole._encode_single_piece(b) if single else one(b), dtype=np.int32).tobytes() for b, single in _blocks(s))
+            ids = np.array(one(s), dtype=np.int32).tobytes()
             if len(s) <= 400:
                 if len(known) >= REMEMBERED:
                     known.clear()
@@ -78,8 +80,7 @@ def encoder(raw: bytes) -> Callable[[str], np.ndarray]:
             return ids
 
         def encode(text: str) -> np.ndarray:
-            parts = [got if (got := known.get(s)) is not None else look(s) for s in _CUT.split(text)]
-            return parts[0] if len(parts) == 1 else np.concatenate(parts)
+            return np.frombuffer(b"".join([got if (got := known.get(s)) is not None else look(s) for s in _SEGMENT.findall(text)]), np.int32)
 
         _made[key] = encode
     return _made[key]
