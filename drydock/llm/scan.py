@@ -8,9 +8,10 @@ recur over the pages of a book. Misread characters are found by a noisy channel.
   rare b speaks for a read as b; a pair is kept when several contexts agree and none holds both commonly. Words in Latin
   letters are compared through the usual confusions of shapes, against the words of the corpus.
 
-Symbols with such candidates, and their neighbours, are decoded by Viterbi over the candidates: the sum of log trigram
-counts and of log confusion probabilities. Each different window is decoded once, with just the trigrams its lattice needs,
-which are fetched by a join; nothing of the language model is broadcast.
+A text is decoded by Viterbi over the candidates of its symbols: the sum of log trigram counts and of log confusion
+probabilities. Where two symbols in a row have no candidates the best paths before and after them do not depend on each
+other, so a text falls into windows that are decoded apart with the result of the whole. Each different window is decoded
+once, with just the trigrams its lattice needs, which are fetched by a join; nothing of the language model is broadcast.
 """
 
 from __future__ import annotations
@@ -36,8 +37,15 @@ DIGIT_LIKE = {"l": "1", "I": "1", "O": "0", "o": "0", "S": "5", "s": "5", "Z": "
 CONTEXT_COUNT, CONTEXT_SHARE = 10, 0.1
 #: Contexts that must agree on a pair, and the least share of a character that is read so.
 AGREEING, LEAST_RATE = 3, 0.0005
+#: A printed line has at most so many characters, so a longer one is no running head.
+HEAD_CHARS = 120
+#: Words of up to so many letters meet by their spelled-out readings, longer ones by their shapes.
+SPELLED = 24
 #: Dictionaries learned (titles, confusable words) of at most so many entries are broadcast at once, larger ones in slices.
 SLICE = 200_000
+#: A corpus of which more pairs of characters are learned is refused: a pair makes up a share of LEAST_RATE of a character at
+#: least and needs AGREEING contexts, so scans give some hundreds.
+MOST_PAIRS = 1_000_000
 SEP = "\x1f"
 _LATIN = "A-Za-zÀ-ɏ"
 _CUT = re.compile(rf"(?<=[{_LATIN}])[-¬][ \t\r]*\n[ \t]*(?=[{_LATIN}])")
@@ -59,14 +67,13 @@ def bare(s: str) -> str:
 
 
 def is_page_number(line: str) -> bool:
-    line = line.strip()
-    return 0 < len(line) <= 30 and _PAGE.fullmatch(line) is not None
+    return _PAGE.fullmatch(line.strip()) is not None
 
 
 def head_of(line: str) -> str | None:
     """The title in a decorated line of its own, else None. Headings and sentences are no titles."""
     line = line.strip()
-    if not 3 <= len(line) <= 120 or not any(c in line for c in ("=", "《", "——", "·", "|", "  ")) or _END.search(line):
+    if not 3 <= len(line) <= HEAD_CHARS or not any(c in line for c in ("=", "《", "——", "·", "|", "  ")) or _END.search(line):
         return None
     for p in _HEADS:
         if m := p.fullmatch(line):
@@ -302,28 +309,68 @@ def confusions(counts: DataFrame) -> DataFrame:
     return known.where((often | hardly) & (p >= LEAST_RATE)).select(char("c").alias("read"), char("a").alias("meant"), F.least(F.lit(-2.0), F.greatest(F.lit(-8.0), F.log(p))).alias("logp"))
 
 
+def _once(w: str, starts: range | None = None) -> set[str]:
+    """w with one shape in it (beginning at one of starts) as what it may have been."""
+    return {w[:i] + meant.lower() + w[i + len(read) :] for read, meant in READ_AS.items() for i in starts or range(len(w)) if w.startswith(read, i)}
+
+
 def readings(word: str) -> set[str]:
     """What a word in Latin letters may have been before up to two shapes in it were misread."""
-    def once(w: str) -> set[str]:
-        return {w[:i] + meant.lower() + w[i + len(read) :] for read, meant in READ_AS.items() for i in range(len(w)) if w.startswith(read, i)}
+    first = _once(word)
+    return (first | set().union(*map(_once, first))) - {word}
+
+
+def reads_as(read: str, meant: str) -> bool:
+    """meant in readings(read), without spelling them out: no shape begins as what is read for it does, so the first step
+    is beside the first difference and the second at the first difference left."""
+    if read == meant:
+        return False
+    first = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    at = first(read, meant)
+    for w in _once(read, range(max(0, at - 1), at + 2)):
+        if w == meant or meant in _once(w, range(i := first(w, meant), i + 1)):
+            return True
+    return False
+
+
+def _shapes() -> dict[int, str]:
+    """A letter -> what stands for its shape: the same for all words that are readings of each other."""
+    drawn = {meant: read for read, meant in READ_AS.items() if len(read) == 2}
+    same: dict[str, str] = {}
+
+    def top(c: str) -> str:
+        while c in same:
+            c = same[c]
+        return c
+
+    for read, meant in READ_AS.items():
+        if len(read) == len(meant) == 1 and (a := top(read)) != (b := top(meant.lower())):
+            same[max(a, b)] = min(a, b)
+    return {ord(c): "".join(map(top, drawn.get(c, c))) for c in "abcdefghijklmnopqrstuvwxyz0123456789"}
+
 
-    first = once(word)
-    second = set().union(*map(once, first)) if len(word) <= 24 else set()
-    return (first | second) - {word}
+_SHAPES = _shapes()
 
 
 def confusable_words(counts: DataFrame) -> DataFrame:
     """(read, meant): rare words that are a frequent word with shapes misread."""
     words = counts.where("kind = 'word'").select("w", "n")
+    often = words.select(F.col("w").alias("meant"), F.col("n").alias("m")).where("m >= 20")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(w, n, r) for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if len(w) <= 40 for r in sorted(readings(w))]
+            rows = [(w, n, r) for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for r in sorted(readings(w))]
             cols = list(zip(*rows)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], names=["read", "n", "meant"])
 
-    spelled = words.where("length(w) >= 3").mapInArrow(expand, "read string, n bigint, meant string")
-    return spelled.join(words.select(F.col("w").alias("meant"), F.col("n").alias("m")), "meant").where("m >= 20 and m >= 20 * n").select("read", "meant")
+    spelled = words.where(f"length(w) between 3 and {SPELLED}").mapInArrow(expand, "read string, n bigint, meant string")
+    short = spelled.join(often, "meant").where("m >= 20 * n").select("read", "meant")
+    # a reading differs from its word by two characters at most
+    shape = F.udf(lambda w: w.translate(_SHAPES), "string", useArrow=True)
+    long = words.where(f"length(w) > {SPELLED}").select(F.col("w").alias("read"), "n", shape("w").alias("shape"))
+    full = often.where(f"length(meant) > {SPELLED - 2}").withColumn("shape", shape("meant"))
+    fits = F.udf(reads_as, "boolean", useArrow=True)
+    return short.unionByName(long.join(full, "shape").where("m >= 20 * n and read <> meant").where(fits("read", "meant")).select("read", "meant"))
 
 
 # --- decoding -----------------------------------------------------------------------------------------------------
@@ -347,7 +394,7 @@ def windows(found: list[str], suspicious: set[str]) -> list[tuple[str, int]]:
     k = 0
     while k < len(at):
         j = k
-        while j + 1 < len(at) and at[j + 1] - at[j] <= 2 and at[j + 1] - at[k] < 12:
+        while j + 1 < len(at) and at[j + 1] - at[j] <= 2:
             j += 1
         i0, i1 = at[k], at[j] + 1
         pad = [""] * max(0, 2 - i0) + [_symbol(t) for t in found[max(0, i0 - 2) : i1 + 2]] + [""] * max(0, i1 + 2 - len(found))
@@ -490,9 +537,9 @@ def _decode(spark: SparkSession, docs: DataFrame, counts: DataFrame, chars: dict
     else:
         own = durable(own)
         own = durable(own.join(_own_words(own, words), "window", "left").withColumn("words", F.coalesce("words", F.array().cast("array<struct<read:string,meant:array<string>>>"))))
-    needed = own.select("window", "words").mapInArrow(needs, "window string, k bigint")
+    needed = durable(own.select("window", "words").mapInArrow(needs, "window string, k bigint"))
     grams = counts.where("kind = 'g'").select("k", "n")
-    fetched = needed.join(grams, "k", "left").groupBy("window").agg(F.collect_list(F.struct("k", F.coalesce("n", F.lit(0)).alias("n"))).alias("x"))
+    fetched = salted_join(needed, grams, "k", "left", "window").groupBy("window").agg(F.collect_list(F.struct("k", F.coalesce("n", F.lit(0)).alias("n"))).alias("x"))
     fixes = durable(fetched.join(own, "window").select("window", "x.k", "x.n", "own", "words").mapInArrow(solve, "window string, symbols array<string>"))
     return salted_join(held, fixes, "window", "inner", "key").select("key", "first", "symbols")
 
@@ -555,7 +602,10 @@ def _learned(texts: DataFrame, names: DataFrame) -> tuple[DataFrame, dict, DataF
     parts = src.mapInArrow(_count, "kind string, k bigint, c bigint, w string, n bigint")
     counts = durable(parts.groupBy("kind", "k", "c", "w").agg(F.sum("n").alias("n")))
     chars: dict[str, list[tuple[str, float]]] = {}
-    for r in confusions(counts).collect():
+    pairs = durable(confusions(counts))
+    if (n := pairs.count()) > MOST_PAIRS:
+        raise ValueError(f"{n} pairs of confused characters are no scan noise")
+    for r in pairs.collect():
         chars.setdefault(r["read"], []).append((r["meant"], r["logp"]))
     return counts, {k: sorted(v) for k, v in chars.items()}, durable(confusable_words(counts))
 

@@ -100,3 +100,33 @@ def test_slices_change_nothing(spark, monkeypatch):
         seen.append((sorted(map(tuple, scan.found(df).collect())), dict(map(tuple, scan.repaired(df).collect()))))
     assert seen[0] == seen[1] and {r[0] for r in seen[1][0] if r[1] == -1} == set(bad) and (4, 0, "misread") in seen[1][0]
     assert seen[1][1] == {i: clean.format(i) for i in range(120)}
+
+
+def test_long_words_meet_by_their_shapes():
+    import random
+
+    r = random.Random(5)
+    for _ in range(300):
+        w = "".join(r.choice("rncldhivw1l0o6bem5stfqg8z2") for _ in range(r.randint(3, 7)))
+        for m in scan.readings(w):
+            assert scan.reads_as(w, m) and w.translate(scan._SHAPES) == m.translate(scan._SHAPES)
+        other = "".join(r.choice("rncldhivw1l0o6b") for _ in w)
+        assert scan.reads_as(w, other) == (other in scan.readings(w))
+    long = "interchangeablecompartmentalization" * 3
+    assert scan.reads_as(long.replace("m", "rn", 1).replace("l", "1", 1), long) and not scan.reads_as(long, long)
+
+
+def test_long_words_are_candidates_too(spark, rows):
+    long = "electrohydraulicallycontrolledcompartments" * 2
+    wrong = long.replace("m", "rn", 1)
+    counts = spark.createDataFrame([("word", 50, long), ("word", 1, wrong), ("word", 50, "compartment"), ("word", 2, "cornpartment"), ("word", 9, "compartmenl")], "kind string, n bigint, w string")
+    assert rows(scan.confusable_words(counts)) == sorted([(wrong, long), ("cornpartment", "compartment")], key=repr)
+
+
+def test_page_numbers_of_any_width():
+    assert scan.is_page_number("-" * 60 + " 12 " + "-" * 60) and not scan.is_page_number("-" * 200)
+
+
+def test_a_long_run_is_one_window():
+    found = ["甲"] * 40 + ["乙", "丙"] + ["甲"]
+    assert [i for _, i in scan.windows(found, {"甲"})] == [0, 42]
