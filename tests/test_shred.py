@@ -54,11 +54,15 @@ def test_flat_tables_give_back_the_records(spark, rows):
     assert shred.flat_lines(df.withColumns({c: F.lit(None).cast("string") for c in ("source_chunk", "source_page", "chapter_hint")})).count() == len(DATA)
 
 
-def test_nodes_hang_together(spark):
-    nodes = shred.shred(table(spark, DATA).select("line_id", "entities"), "line_id")
+def test_nodes_hang_together(spark, rows):
+    nodes = shred.shred(table(spark, DATA).select("line_id", "entities", "triples"), "line_id")
     orphan = nodes.where("parent <> ''").join(nodes.select("line_id", F.col("node").alias("parent")), ["line_id", "parent"], "left_anti")
-    # lists themselves have no node of their own
-    assert orphan.where("parent not in ('entities') and parent not like '%.aliases'").count() == 0
+    assert orphan.count() == 0
+    assert nodes.groupBy("line_id", "node").count().where("count > 1").count() == 0
+    # an empty list is a node without children, a null one is none
+    roots = {(r[0], r[1]) for r in rows(nodes.where("parent = ''"), "line_id", "node")}
+    assert (4, "entities") in roots and (3, "entities") not in roots and (3, "triples") in roots
+    assert rows(nodes.where("line_id = 5 and label = 'aliases'"), "node", "parent", "scalar") == [("entities/1.aliases", "entities/1", None)]
 
 
 def test_empty(spark):
