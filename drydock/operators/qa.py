@@ -12,10 +12,10 @@ BOOK_TERMS = ["多少章", "几章", "目录", "讲什么", "主要内容", "作
 DOMAIN_TERMS = ["肋骨框架", "船台装配", "总装配", "测量工具", "结构编码", "分段装配前", "焊接变形", "底部分段"]
 #: Book intents in order of precedence, by the terms that show them.
 INTENTS = [
-    ("chapter_count", ["多少章", "几章", "多少章节", "几个章节"]),
-    ("outline", ["目录", "章节", "大纲", "有哪些章", "哪几章"]),
-    ("summary", ["讲什么", "讲的是什么", "主要内容", "内容是什么", "介绍什么", "这本书是关于什么"]),
-    ("bibliography", ["作者", "出版社", "出版", "书名", "谁写的"]),
+    ("book_chapter_count", ["多少章", "几章", "多少章节", "几个章节"]),
+    ("book_outline", ["目录", "章节", "大纲", "有哪些章", "哪几章"]),
+    ("book_summary", ["讲什么", "讲的是什么", "主要内容", "内容是什么", "介绍什么", "这本书是关于什么"]),
+    ("book_bibliography", ["作者", "出版社", "出版", "书名", "谁写的"]),
 ]
 #: Domain rules in order of precedence: all of the first terms, and any of the second.
 RULES = [
@@ -66,12 +66,48 @@ def domain_intent(question: Column) -> Column:
     return out
 
 
+#: Facts of an answer at most (fixed value).
+FACTS = 40
+NO_MATCH = "结论：根据当前知识库无法确定。\n\n依据：未匹配到可用的书籍档案或核心工艺问答规则。\n\n引用：无。"
+
+
+def intent(route_: Column, book: Column, domain: Column) -> Column:
+    """The curated intent of a question, by its route; null where it has none."""
+    return F.when(route_ == "book_profile", book).when(route_ == "domain_qa", domain)
+
+
+def mode(route_: Column, intent_: Column) -> Column:
+    """How a question is answered: by a curated answer, by none (a question about the book without an intent), or from the
+    graph and the documents (also one about the domain without an intent)."""
+    return (
+        F.when((route_ == "book_profile") & intent_.isNotNull(), "multi_agent_book_profile").when(route_ == "book_profile", "multi_agent_multi_agent_no_match")
+        .when((route_ == "domain_qa") & intent_.isNotNull(), "multi_agent_domain_qa").otherwise("multi_agent_graph_rag")
+    )
+
+
+def steps(route_: Column, mode_: Column) -> Column:
+    """The number of steps a question goes through: routing, a curated answer or the search for one, verification; and
+    linking, walking, retrieving, synthesis and answering in place of a curated answer."""
+    return F.when(mode_ != "multi_agent_graph_rag", 3).when(route_ == "domain_qa", 8).otherwise(7)
+
+
+def verified(graph_facts: Column, documents: Column) -> tuple[Column, Column]:
+    """(whether there is any evidence, how much of each kind)."""
+    return (graph_facts > 0) | (documents > 0), F.format_string("graph_evidence=%d, document_evidence=%d", graph_facts, documents)
+
+
+def path(head: Column, relation: Column, tail: Column) -> Column:
+    return F.concat(F.lit("("), head, F.lit(")-[:"), F.upper(relation), F.lit("]->("), tail, F.lit(")"))
+
+
 def fact_lines(facts: DataFrame, limit: int = 18) -> DataFrame:
-    """(query_id, graph_context): numbered lines "head --relation--> tail", the first `limit` by rank.
+    """(query_id, graph_context): numbered lines of head, local name of the relation (else its code), tail, path and pages,
+    the first `limit` by rank.
 
-    facts: (query_id, rank, head, relation, tail, source_pages)."""
-    line = F.format_string("%d. %s --%s--> %s", F.col("rank"), F.col("head"), F.col("relation"), F.col("tail"))
-    line = F.concat(line, F.lit(" ["), F.array_join(F.coalesce(F.col("source_pages"), F.array().cast("array<int>")).cast("array<string>"), ","), F.lit("]"))
+    facts: (query_id, rank, head, relation, relation_zh, tail, source_pages)."""
+    named = F.coalesce(F.nullif("relation_zh", F.lit("")), "relation")
+    pages = F.array_join(F.coalesce(F.col("source_pages"), F.array().cast("array<int>")).cast("array<string>"), ", ")
+    line = F.format_string("%d. %s --%s--> %s (路径: %s; 页码: [%s])", F.col("rank"), F.col("head"), named, F.col("tail"), path(F.col("head"), F.col("relation"), F.col("tail")), pages)
     return _joined(facts.where(F.col("rank") <= limit), line, "\n", "graph_context")
 
 
@@ -79,8 +115,8 @@ def document_lines(hits: DataFrame, limit: int = 8, most: int = 520) -> DataFram
     """(query_id, document_context): numbered chunks with page, score and source, texts cut to `most` characters.
 
     hits: (query_id, rank, chunk_id, page_start, score, source, text)."""
-    page = F.coalesce(F.col("page_start").cast("string"), F.lit(""))
-    head = F.format_string("%d. %s p%s %.4f %s", F.col("rank"), F.col("chunk_id"), page, F.col("score"), F.coalesce("source", F.lit("")))
+    page = F.coalesce(F.col("page_start").cast("string"), F.lit("None"))
+    head = F.format_string("%d. chunk=%s 页码=%s score=%.4f source=%s", F.col("rank"), F.col("chunk_id"), page, F.col("score"), F.coalesce("source", F.lit("")))
     return _joined(hits.where(F.col("rank") <= limit), F.concat(head, F.lit("\n"), F.substring(F.coalesce("text", F.lit("")), 1, most)), "\n\n", "document_context")
 
 

@@ -6,7 +6,7 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..common import SMALL, durable, small
@@ -176,17 +176,31 @@ def _page_bonus(questions: DataFrame, chunks: DataFrame) -> DataFrame:
 def page_hits(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, chunk_id, score, rank): all chunks on the first three pages named in the question, page by page."""
     hints = questions.select("query_id", F.posexplode(t.page_hints(F.col("question"))).alias("pos", "page"))
-    pages = on_pages(chunks)
-    met = pages.join(small(hints), "page").select("query_id", "chunk_id", F.struct("pos", "chunk_id").alias("o"), F.lit(1.0).alias("score"))
+    met = on_pages(chunks, hints).select("query_id", "chunk_id", F.struct("pos", "chunk_id").alias("o"), F.lit(1.0).alias("score"))
     first = met.groupBy("query_id", "chunk_id").agg(F.min("o").alias("o"), F.max("score").alias("score"))
     return ranked(first, "query_id", [F.asc("o")]).drop("o")
 
 
-def on_pages(chunks: DataFrame) -> DataFrame:
-    """(page, chunk_id): a chunk is on each page from its first to its last (1,000 at most)."""
-    last = F.coalesce("page_end", "page_start")
-    pages = F.sequence("page_start", F.least(last, F.col("page_start") + 999))
-    return chunks.where(F.col("page_start").isNotNull() & (last >= F.col("page_start"))).select(F.explode(pages).alias("page"), "chunk_id")
+def on_pages(chunks: DataFrame, pages: DataFrame) -> DataFrame:
+    """pages joined to the chunks that are on them, from their first page to their last, however many these are.
+
+    A range of pages is the union of a few blocks of 1, 2, 4, ... pages (two of a size at most), and a page lies in one
+    block of each size; so they meet by equality, and a chunk on one page is one row."""
+    last = F.coalesce(F.nullif("page_end", F.lit(0)), "page_start").cast("long")
+    lo, hi = (lambda k: F.ceil(F.col("page_start") / k).cast("long")), (lambda k: F.floor((last + 1) / k).cast("long"))
+
+    def blocks(k: Column) -> Column:
+        size = F.pow(F.lit(2.0), k)
+        left, right = F.when(lo(size) % 2 != 0, lo(size)), F.when(hi(size) % 2 != 0, hi(size) - 1)
+        own = F.when(lo(size) < hi(size), F.array_distinct(F.filter(F.array(left, right), lambda x: x.isNotNull())))
+        return F.transform(F.coalesce(own, F.array().cast("array<bigint>")), lambda x: F.struct(k.alias("level"), x.alias("block")))
+
+    tops = F.ceil(F.log2(last - F.col("page_start") + 2.0)).cast("int")
+    one = F.array(F.struct(F.lit(0).alias("level"), F.col("page_start").cast("long").alias("block")))
+    cover = F.when(last == F.col("page_start"), one).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), tops), blocks)))
+    placed = chunks.where(F.col("page_start").isNotNull() & (last >= F.col("page_start"))).select("chunk_id", F.inline(cover))
+    levels = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.struct(k.alias("level"), F.floor(F.col("page") / F.pow(F.lit(2.0), k)).cast("long").alias("block")))
+    return placed.join(small(pages.select("*", F.inline(levels))), ["level", "block"]).drop("level", "block")
 
 
 def fused(lists: dict[str, DataFrame], k: int | None = None) -> DataFrame:
@@ -204,25 +218,25 @@ def fused(lists: dict[str, DataFrame], k: int | None = None) -> DataFrame:
 def expanded(hits: DataFrame, chunks: DataFrame, limit: int, strict: bool = False) -> DataFrame:
     """(query_id, chunk_id, score, source, rank): each hit, then the first chunks of the page before and the page after,
     each chunk once. Taking stops when limit rows are reached after a neighbour or after a hit's neighbours; so a hit and
-    its first neighbour may exceed it by one, unless strict."""
-    first = on_pages(chunks).groupBy("page").agg(F.min("chunk_id").alias("chunk_id"))
-    spans = chunks.select("chunk_id", "page_start", F.coalesce("page_end", "page_start").alias("page_end"))
-    docs = hits.where(F.col("rank") <= limit).select("query_id", "chunk_id", "score", "rank", F.col("sources").alias("source"))
+    its first neighbour may exceed it by one, unless strict. hits may have a limit of their own, as top_k."""
+    own = F.col("top_k") if "top_k" in hits.columns else F.lit(limit)
+    docs = hits.select("query_id", "chunk_id", "score", "rank", F.col("sources").alias("source"), own.alias("lim")).where("rank <= lim")
+    docs = durable(docs)
+    spans = chunks.join(small(docs.select("chunk_id").distinct()), "chunk_id", "left_semi").select("chunk_id", "page_start", F.coalesce(F.nullif("page_end", F.lit(0)), "page_start").alias("page_end"))
     placed = docs.join(spans, "chunk_id", "left")
-    beside = placed.select("query_id", "score", "rank", F.inline(F.filter(F.array(
+    beside = durable(placed.select("query_id", "score", "rank", "lim", F.inline(F.filter(F.array(
         F.struct(F.lit(1).alias("slot"), F.when(F.col("page_start") > 1, F.col("page_start") - 1).alias("page")),
         F.struct(F.lit(2).alias("slot"), (F.col("page_end") + 1).alias("page")),
-    ), lambda x: x["page"].isNotNull()))).join(first, "page").select("query_id", "chunk_id", F.greatest(F.col("score") * 0.92, F.lit(0.0001)).alias("score"), F.lit("page_neighbor").alias("source"), "rank", "slot")
-    both = docs.withColumn("slot", F.lit(0)).unionByName(beside)
-    once = both.groupBy("query_id", "chunk_id").agg(F.min_by(F.struct("score", "source", "rank", "slot"), F.struct("rank", "slot")).alias("r")).select("query_id", "chunk_id", "r.score", "r.source", F.col("r.rank").alias("doc"), F.col("r.slot").alias("slot"))
-    out = ranked(once, "query_id", [F.asc("doc"), F.asc("slot")])
-    # the budget is not looked at between a hit and its first neighbour
-    most = F.lit(limit) if strict else F.lit(limit) + F.when((F.col("rank") == limit + 1) & (F.col("slot") > 0) & (F.col("before_slot") == 0) & (F.col("before_doc") == F.col("doc")), 1).otherwise(0)
-    from pyspark.sql import Window
-
+    ), lambda x: x["page"].isNotNull()))))
+    first = on_pages(chunks, beside.select("page").distinct()).groupBy("page").agg(F.min("chunk_id").alias("chunk_id"))
+    near = beside.join(first, "page").select("query_id", "chunk_id", F.greatest(F.col("score") * 0.92, F.lit(0.0001)).alias("score"), F.lit("page_neighbor").alias("source"), "rank", "slot", "lim")
+    both = docs.withColumn("slot", F.lit(0)).unionByName(near)
+    once = both.groupBy("query_id", "chunk_id").agg(F.min_by(F.struct("score", "source", "rank", "slot"), F.struct("rank", "slot")).alias("r"), F.max("lim").alias("lim")).select("query_id", "chunk_id", "r.score", "r.source", F.col("r.rank").alias("doc"), F.col("r.slot").alias("slot"), "lim")
     w = Window.partitionBy("query_id").orderBy("rank")
-    out = out.withColumn("before_slot", F.lag("slot").over(w)).withColumn("before_doc", F.lag("doc").over(w))
-    return out.where(F.col("rank") <= most).drop("before_slot", "before_doc", "doc", "slot")
+    out = ranked(once, "query_id", [F.asc("doc"), F.asc("slot")]).withColumn("before_slot", F.lag("slot").over(w)).withColumn("before_doc", F.lag("doc").over(w))
+    # the budget is not looked at between a hit and its first neighbour
+    more = (F.col("rank") == F.col("lim") + 1) & (F.col("slot") > 0) & (F.col("before_slot") == 0) & (F.col("before_doc") == F.col("doc"))
+    return out.where((F.col("rank") <= F.col("lim")) | (F.lit(not strict) & more)).drop("before_slot", "before_doc", "doc", "slot", "lim")
 
 
 def take_unique(lists: list[DataFrame], limit: Column | int) -> DataFrame:
@@ -237,11 +251,20 @@ def take_unique(lists: list[DataFrame], limit: Column | int) -> DataFrame:
 
 def hybrid(questions: DataFrame, chunks: DataFrame, vector_hits: DataFrame, top_k: int = 4) -> DataFrame:
     """(query_id, chunk_id, score, source, rank): page hints, vectors and keywords fused; with hints the first three at
-    most, else the best with their neighbour pages."""
-    k = max(50, 8 * top_k)
-    hints, words = durable(page_hits(questions, chunks)), keyword_hits(questions, chunks, k)
-    every = durable(fused({"page_hint": hints, "vector": vector_hits, "keyword": words}))
+    most, else the best with their neighbour pages. questions may have a number of chunks of their own, as top_k."""
+    own = questions.select("query_id", (F.col("top_k") if "top_k" in questions.columns else F.lit(top_k)).alias("top_k"))
+    wide = depth(questions, top_k)
+    hints, words = durable(page_hits(questions, chunks)), keyword_hits(questions, chunks, wide)
+    within = lambda df: df.join(own, "query_id").where(F.col("rank") <= F.greatest(F.lit(50), F.col("top_k") * 8)).drop("top_k")
+    every = durable(fused({"page_hint": hints, "vector": within(vector_hits), "keyword": within(words)}).join(own, "query_id"))
     hinted = hints.select("query_id").distinct()
-    by_hint = take_unique([hints, every.join(hinted, "query_id", "left_semi")], min(top_k, 3)).withColumn("source", F.lit("page_hint"))
+    of_hint = take_unique([hints, every.join(hinted, "query_id", "left_semi")], 1 << 30).join(own, "query_id")
+    by_hint = of_hint.where(F.col("rank") <= F.least("top_k", F.lit(3))).withColumn("source", F.lit("page_hint"))
     free = every.join(hinted, "query_id", "left_anti")
     return expanded(free, chunks, top_k).unionByName(by_hint.select("query_id", "chunk_id", "score", "source", "rank"))
+
+
+def depth(questions: DataFrame, top_k: int = 4) -> int:
+    """How many hits each list must give for the question that asks for most."""
+    most = questions.agg(F.max("top_k")).first()[0] if "top_k" in questions.columns else None
+    return max(50, 8 * (most or top_k))

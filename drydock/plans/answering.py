@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..common import durable, spread, table
+from ..common import durable, small, spread, table
 from ..functions import text as t
 from ..functions import vectors
 from ..operators import graph, qa, retrieval
-from .graph_build import _edges
 from .pages import _WS
 
 TOP_K = 4
@@ -99,17 +99,12 @@ def route_documents(spark, d):
     return docs.select("doc_id", qa.route(F.col("text")).alias("route"), qa.book_intent(F.col("text")).alias("book_intent"), qa.domain_intent(F.col("text")).alias("domain_intent"))
 
 
-def _facts(spark, d, links):
-    """(query_id, rank, head, relation, tail, source_pages) of the linked entities' neighbourhood."""
-    seeds = links.select("query_id", "id")
-    edges = durable(_edges(spark, d).join(_pages(spark, d), ["head_id", "relation", "tail_id"]))
-    met = graph.neighborhood(seeds, edges, 2, 80).join(edges, "edge_id")
-    return vectors.ranked(met, "query_id", [F.asc("hops"), F.asc("edge_id")])
-
-
-def _pages(spark, d):
-    r = table(spark, d, "relations", "head_id", "tail_id", "relation", "head", "tail", "source_pages").where("head_id is not null and tail_id is not null")
-    return r.groupBy("head_id", "relation", "tail_id").agg(F.min("head").alias("head"), F.min("tail").alias("tail"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce("source_pages", F.array().cast("array<int>")))))).alias("source_pages"))
+def _known(spark, d):
+    """The stored edges with what is told of a fact, one row for (head_id, relation, tail_id)."""
+    r = table(spark, d, "relations", "head_id", "tail_id", "relation", "relation_zh", "head", "tail", "evidence", "source_pages", "confidence").where("head_id is not null and tail_id is not null")
+    pages = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce("source_pages", F.array().cast("array<int>"))))))
+    one = r.groupBy("head_id", "relation", "tail_id").agg(*(F.min(c).alias(c) for c in ("head", "tail", "relation_zh")), F.max("evidence").alias("evidence"), pages.alias("source_pages"), F.max("confidence").alias("confidence"))
+    return durable(one.withColumn("edge_id", F.md5(F.concat_ws("|", "head_id", "relation", "tail_id"))).withColumn("score", F.coalesce(F.nullif("confidence", F.lit(0.0)), F.lit(0.75))))
 
 
 def graph_search(spark, d):
@@ -117,10 +112,11 @@ def graph_search(spark, d):
     ten entities that hold it, else ten fuzzy ones, and the first 50 paths of up to two hops from them."""
     k = table(spark, d, "eval_cases", "id", "expected_keywords").select(F.col("id").alias("case_id"), F.explode(F.array_distinct("expected_keywords")).alias("term")).where("term is not null")
     seeds = retrieval.search_seeds(k.select(F.col("term").alias("query_id"), F.col("term").alias("question")).distinct(), _entities(spark, d))
-    edges = durable(_edges(spark, d).join(_pages(spark, d), ["head_id", "relation", "tail_id"]))
+    edges = _known(spark, d)
     met = graph.neighborhood(durable(seeds.select("query_id", "id")), edges, 2, 50).withColumnRenamed("query_id", "term")
     facts = k.join(met, "term").groupBy(F.col("case_id").alias("query_id"), "edge_id").agg(F.min("hops").alias("hops"))
-    return facts.join(edges, "edge_id").select("query_id", "edge_id", "hops", "head", "relation", "tail")
+    path = qa.path(F.col("head"), F.col("relation"), F.col("tail")).alias("path")
+    return facts.join(edges, "edge_id").select("query_id", "edge_id", "hops", "head", "relation", "relation_zh", "tail", "evidence", F.array_join(F.col("source_pages").cast("array<string>"), ",").alias("pages"), path, "score")
 
 
 def graph_search_mentions(spark, d):
@@ -138,22 +134,83 @@ def context_build(spark, d):
     return qa.document_lines(hits)
 
 
-def ask(spark, d):
-    """The whole pipeline for all questions: route, link, walk, retrieve, answer from evidence."""
-    q = _questions(spark, d).withColumn("route", qa.route(F.col("question"))).withColumn("intent", F.coalesce(qa.book_intent(F.col("question")), qa.domain_intent(F.col("question"))))
-    links = durable(entity_link(spark, d))
-    facts = durable(_facts(spark, d, links))
-    wide = durable(qa.expanded_question(q, links, facts))
+def _requests(spark, d):
+    """(case_id, query_id, question, top_k, hops): the cases and what they ask for; equal requests are one query."""
+    c = table(spark, d, "eval_cases", "id", "question", "top_k", "graph_hops").where("id is not null and question is not null")
+    own = c.select(F.col("id").alias("case_id"), t.strip(F.col("question")).alias("question"), F.coalesce("top_k", F.lit(TOP_K)).alias("top_k"), F.greatest(F.lit(1), F.least(F.lit(2), F.coalesce("graph_hops", F.lit(1)))).alias("hops"))
+    return own.withColumn("query_id", F.md5(F.concat_ws("|", "top_k", "hops", "question")))
+
+
+def _routed(spark, d):
+    """(query_id, question, top_k, hops, route, intent, mode, agent_steps) of the different requests."""
+    q = _requests(spark, d).select("query_id", "question", "top_k", "hops").distinct()
+    q = q.withColumn("route", qa.route(F.col("question")))
+    q = q.withColumn("intent", qa.intent(F.col("route"), qa.book_intent(F.col("question")), qa.domain_intent(F.col("question"))))
+    q = q.withColumn("mode", qa.mode(F.col("route"), F.col("intent")))
+    return q.withColumn("agent_steps", qa.steps(F.col("route"), F.col("mode")))
+
+
+def _curated(spark, d):
+    """(intent, answer, documents): a stand-in for a table of curated answers, which is injected: for each intent the first
+    three chunks that hold one of its terms."""
+    terms = [(name, x) for name, xs in qa.INTENTS for x in xs] + [(name, x) for every, some, name in qa.RULES for x in every or some]
+    c = _chunks(spark, d).select("chunk_id", "page_start", "page_end", "text").where("page_start is not null")
+    each = F.array(*(F.when(F.contains("text", F.lit(x)), F.lit(name)) for name, x in terms))
+    met = c.select("chunk_id", "page_start", "page_end", F.explode(F.array_distinct(F.filter(each, lambda x: x.isNotNull()))).alias("intent"))
+    first = vectors.ranked(met, "intent", [F.asc("chunk_id")], 3).groupBy("intent").agg(F.array_sort(F.collect_list(F.struct("rank", "page_start", "page_end"))).alias("documents"))
+    names = spark.createDataFrame(sorted({(n,) for n, _ in terms}), "intent string")
+    pages = F.array_join(F.transform(F.coalesce("documents", F.array().cast("array<struct<rank:int,page_start:int,page_end:int>>")), lambda x: F.concat(F.lit("第"), x["page_start"].cast("string"), F.lit("页"))), "、")
+    return names.join(first, "intent", "left").withColumn("answer", F.concat(F.lit("结论：\n"), "intent", F.lit("\n\n依据：\n教材相关内容。\n\n引用：\n"), pages))
+
+
+def _answered(spark, d):
+    """A row for each different request: its answer and evidence. Questions that a rule answers go no further; the others
+    are linked, walked from, retrieved for and answered from evidence."""
+    q = durable(_routed(spark, d))
+    by_rule = q.where("mode <> 'multi_agent_graph_rag'").join(F.broadcast(_curated(spark, d)), "intent", "left")
+    none = F.array().cast("array<struct<rank:int,page_start:int,page_end:int>>")
+    by_rule = by_rule.withColumns({"answer": F.coalesce("answer", F.lit(qa.NO_MATCH)), "documents": F.coalesce("documents", none), "graph_facts": F.lit(0).cast("bigint"), "n_entities": F.lit(0).cast("bigint")})
+    free = q.where("mode = 'multi_agent_graph_rag'").select("query_id", "question", "top_k", "hops")
+    links = durable(retrieval.linked(free, _entities(spark, d)))
+    edges = _known(spark, d)
+    seeds = links.join(free.select("query_id", "hops"), "query_id")
+    walks = [graph.neighborhood(seeds.where(F.col("hops") == h).select("query_id", "id"), edges, h, 80) for h in (1, 2)]
+    facts = durable(vectors.ranked(walks[0].unionByName(walks[1]).join(edges, "edge_id"), "query_id", [F.asc("hops"), F.asc("edge_id")], qa.FACTS))
+    wide = durable(qa.expanded_question(free, links, facts).join(free.select("query_id", "top_k"), "query_id"))
     c = _chunks(spark, d)
-    near = vectors.nearest(vectors.embedded(c, "chunk_id", "text"), "chunk_id", vectors.embedded(wide, "query_id", "question"), "query_id", max(50, 8 * TOP_K))
-    hits = retrieval.hybrid(wide, c, near, TOP_K).join(c.select("chunk_id", "page_start", "text"), "chunk_id")
-    out = q.join(qa.fact_lines(facts), "query_id", "left").join(qa.document_lines(hits), "query_id", "left")
-    met = F.col("graph_context").isNotNull() | F.col("document_context").isNotNull()
-    mode = F.when(F.col("route") == "book_profile", F.lit("book_profile")).when((F.col("route") == "domain_qa") & F.col("intent").isNotNull(), F.lit("domain_qa")).otherwise(F.when(met, F.lit("multi_agent_graph_rag")).otherwise(F.lit("multi_agent_multi_agent_no_match")))
-    return out.select("query_id", "question", mode.alias("mode"), "intent", met.alias("supported"), qa.answer(F.col("graph_context"), F.col("document_context")).alias("answer"))
+    near = vectors.nearest(vectors.embedded(c, "chunk_id", "text"), "chunk_id", vectors.embedded(wide, "query_id", "question"), "query_id", retrieval.depth(wide))
+    hits = durable(retrieval.hybrid(wide, c, near))
+    hits = durable(c.select("chunk_id", "page_start", "page_end", F.substring("text", 1, 520).alias("text")).join(small(hits), "chunk_id"))
+    docs = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "page_start", "page_end"))).alias("documents"))
+    out = q.where("mode = 'multi_agent_graph_rag'").join(qa.fact_lines(facts), "query_id", "left").join(qa.document_lines(hits), "query_id", "left").join(docs, "query_id", "left")
+    count = lambda df, name: df.groupBy("query_id").agg(F.count(F.lit(1)).alias(name))
+    out = out.join(count(facts, "graph_facts"), "query_id", "left").join(count(links, "n_entities"), "query_id", "left").na.fill(0, ["graph_facts", "n_entities"])
+    out = out.withColumns({"documents": F.coalesce("documents", none), "answer": qa.answer(F.col("graph_context"), F.col("document_context"))}).drop("graph_context", "document_context")
+    both = by_rule.unionByName(out).withColumn("answer", t.clean_answer(F.col("answer")))
+    met, detail = qa.verified(F.col("graph_facts"), F.size("documents"))
+    return both.withColumns({"supported": met, "verify_detail": detail})
+
+
+def _asked(spark, d):
+    """The answer to each case, under the case's id as query_id. A request met before, in the order of the ids, is a hit of
+    the cache: it is worked out once."""
+    first = Window.partitionBy("query_id").orderBy("case_id")
+    cases = _requests(spark, d).select("case_id", "query_id", (F.row_number().over(first) > 1).alias("cache_hit"))
+    return cases.join(_answered(spark, d), "query_id").drop("query_id").withColumnRenamed("case_id", "query_id")
+
+
+def ask(spark, d):
+    """The whole pipeline for all questions: route; curated answers by rule; else link, walk, retrieve, answer from
+    evidence; verify."""
+    return _asked(spark, d).select("query_id", "question", "route", "mode", "intent", "supported", "verify_detail", "n_entities", "graph_facts", F.size("documents").alias("n_documents"), "agent_steps", "cache_hit", "answer")
+
+
+def ask_routes(spark, d):
+    """How each case is answered and whether there is evidence for it."""
+    return _asked(spark, d).select("query_id", "route", "mode", "intent", "supported", "agent_steps", "cache_hit")
 
 
-QUERIES = {f.__name__: f for f in (entity_link_contains, entity_link_keyword, entity_link_fuzzy, entity_link, keyword_search_topk, page_hint_search, vector_topk, chunk_vector_topk, rrf_fusion, page_neighbor_expand, take_unique, hybrid_retrieval, route_questions, route_documents, graph_search, graph_search_mentions, context_build, ask)}
+QUERIES = {f.__name__: f for f in (entity_link_contains, entity_link_keyword, entity_link_fuzzy, entity_link, keyword_search_topk, page_hint_search, vector_topk, chunk_vector_topk, rrf_fusion, page_neighbor_expand, take_unique, hybrid_retrieval, route_questions, route_documents, graph_search, graph_search_mentions, context_build, ask, ask_routes)}
 
 _ENT = "ent AS (SELECT id, min(name) AS name, min(type) AS type FROM (SELECT head_id AS id, head AS name, head_type AS type FROM relations UNION ALL SELECT tail_id, tail, tail_type FROM relations) WHERE id IS NOT NULL AND name IS NOT NULL GROUP BY id)"
 _Q = "q AS (SELECT id AS query_id, question FROM eval_cases WHERE question IS NOT NULL)"
@@ -204,6 +261,8 @@ def _sql_route(key: str, source: str) -> str:
 
 _EDGE = "ed AS (SELECT head_id, relation, tail_id, min(head) AS head, min(tail) AS tail, md5(concat_ws('|', head_id, relation, tail_id)) AS edge_id FROM relations WHERE head_id IS NOT NULL AND tail_id IS NOT NULL GROUP BY head_id, relation, tail_id)"
 _CONTAINING = f"{_ENT}, kt AS (SELECT id AS query_id, CAST(k - 1 AS INTEGER) AS pos, expected_keywords[k] AS term FROM (SELECT id, expected_keywords, unnest(range(1, len(expected_keywords) + 1)) AS k FROM eval_cases)), kh AS (SELECT *, row_number() OVER (PARTITION BY query_id, pos ORDER BY length(name), name, id) AS rank FROM (SELECT query_id, pos, term, id, name FROM kt JOIN ent ON length(term) >= 2 AND length(name) >= 2 AND contains(name, term)))"
+_KNOWN = """kn AS (SELECT head_id, relation, tail_id, min(head) AS head, min(tail) AS tail, min(relation_zh) AS relation_zh, max(evidence) AS evidence, array_to_string(list_sort(list_distinct(flatten(list(coalesce(source_pages, []))))), ',') AS pages,
+  coalesce(nullif(max(confidence), 0), 0.75) AS score, md5(concat_ws('|', head_id, relation, tail_id)) AS edge_id FROM relations WHERE head_id IS NOT NULL AND tail_id IS NOT NULL GROUP BY head_id, relation, tail_id)"""
 ORACLE = {
     "entity_link_contains": f"WITH {_ENT}, {_Q}, r AS (SELECT query_id, id, name, row_number() OVER (PARTITION BY query_id ORDER BY length(name) DESC, name, id) AS rank FROM q JOIN ent ON length(name) >= 2 AND contains(question, name)) SELECT query_id, id, name, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 8",
     "entity_link_keyword": f"WITH {_CONTAINING} SELECT query_id, pos, term, id, name, CAST(rank AS INTEGER) AS rank FROM kh WHERE rank <= 3",
@@ -249,11 +308,26 @@ g AS (SELECT query_id, chunk_id, arg_min(score, (at0, r)) AS score, min((at0, r)
 SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY o) AS rank FROM g) WHERE rank <= 3""",
     "route_questions": _sql_route("query_id", "(SELECT id AS query_id, regexp_replace(question, '\\s+', '', 'g') AS s FROM eval_cases WHERE question IS NOT NULL)"),
     "route_documents": _sql_route("doc_id", "(SELECT doc_id, regexp_replace(text, '[\\s\\x{3000}]+', '', 'g') AS s FROM documents)"),
-    "graph_search": f"""WITH {_CONTAINING}, {_EDGE}, sd AS (SELECT DISTINCT query_id, id FROM kh WHERE rank <= 3),
-both_ AS (SELECT edge_id, head_id AS a FROM ed UNION ALL SELECT edge_id, tail_id FROM ed WHERE head_id <> tail_id),
-p AS (SELECT query_id, edge_id, row_number() OVER (PARTITION BY query_id ORDER BY id, edge_id) AS k FROM sd JOIN both_ ON id = a)
-SELECT DISTINCT query_id, edge_id, 1 AS hops, head, relation, tail FROM p JOIN ed USING (edge_id) WHERE k <= 50""",
+    # where no name holds a keyword the search is fuzzy, which SQL cannot say; there a keyword finds nothing
+    "graph_search": f"""WITH {_ENT}, {_KNOWN},
+k AS (SELECT DISTINCT case_id, term FROM (SELECT id AS case_id, unnest(expected_keywords) AS term FROM eval_cases) WHERE term IS NOT NULL),
+sd AS (SELECT term, id FROM (SELECT term, id, row_number() OVER (PARTITION BY term ORDER BY length(name), name, id) AS r FROM (SELECT DISTINCT term FROM k WHERE term <> '') JOIN ent ON contains(name, term)) WHERE r <= 10),
+both_ AS (SELECT edge_id, head_id AS a, tail_id AS b FROM kn UNION ALL SELECT edge_id, tail_id, head_id FROM kn WHERE head_id <> tail_id),
+one AS (SELECT term, id, edge_id AS e1, b AS far FROM sd JOIN both_ ON id = a),
+pa AS (SELECT term, 1 AS len, id, e1, NULL AS e2 FROM one UNION ALL SELECT term, 2, id, e1, edge_id FROM one JOIN both_ ON far = a WHERE edge_id <> e1),
+rk AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY len, id, e1, e2 NULLS FIRST) AS r FROM pa),
+mt AS (SELECT term, e1 AS edge_id, len FROM rk WHERE r <= 50 UNION ALL SELECT term, e2, len FROM rk WHERE r <= 50 AND e2 IS NOT NULL),
+fa AS (SELECT case_id AS query_id, edge_id, CAST(min(len) AS INTEGER) AS hops FROM k JOIN mt USING (term) GROUP BY ALL)
+SELECT query_id, edge_id, hops, head, relation, relation_zh, tail, evidence, pages, concat('(', head, ')-[:', upper(relation), ']->(', tail, ')') AS path, score FROM fa JOIN kn USING (edge_id)""",
+    "ask_routes": f"""WITH rq AS (SELECT id AS query_id, trim(question) AS question, coalesce(top_k, 4) AS top_k, greatest(1, least(2, coalesce(graph_hops, 1))) AS hops, regexp_replace(question, '\\s+', '', 'g') AS s FROM eval_cases WHERE id IS NOT NULL AND question IS NOT NULL),
+rt AS ({_sql_route("query_id", "rq")}),
+it AS (SELECT rq.*, route, CASE route WHEN 'book_profile' THEN book_intent WHEN 'domain_qa' THEN domain_intent END AS intent FROM rq JOIN rt USING (query_id)),
+tm AS ({" UNION ALL ".join(f"SELECT '{n}' AS intent, '{x}' AS term" for n, x in [*((n, x) for n, xs in qa.INTENTS for x in xs), *((n, x) for every, some, n in qa.RULES for x in every or some)])}),
+ev AS (SELECT DISTINCT intent FROM tm JOIN chunks ON page_start IS NOT NULL AND contains(text, term)),
+md AS (SELECT *, CASE WHEN route = 'book_profile' AND intent IS NOT NULL THEN 'multi_agent_book_profile' WHEN route = 'book_profile' THEN 'multi_agent_multi_agent_no_match' WHEN route = 'domain_qa' AND intent IS NOT NULL THEN 'multi_agent_domain_qa' ELSE 'multi_agent_graph_rag' END AS mode FROM it)
+SELECT query_id, route, mode, intent, CASE WHEN mode = 'multi_agent_graph_rag' THEN (SELECT count(*) > 0 FROM chunks) ELSE coalesce(intent IN (SELECT intent FROM ev), false) END AS supported,
+  CASE WHEN mode <> 'multi_agent_graph_rag' THEN 3 WHEN route = 'domain_qa' THEN 8 ELSE 7 END AS agent_steps, row_number() OVER (PARTITION BY question, top_k, hops ORDER BY query_id) > 1 AS cache_hit FROM md""",
     "context_build": f"""WITH {_Q}, {_HINT}
-SELECT query_id, string_agg(concat(rank, '. ', chunk_id, ' p', coalesce(CAST(page_start AS VARCHAR), ''), ' ', printf('%.4f', score), ' page_hint', chr(10), substring(coalesce(text, ''), 1, 520)), chr(10) || chr(10) ORDER BY rank) AS document_context
+SELECT query_id, string_agg(concat(rank, '. chunk=', chunk_id, ' 页码=', coalesce(CAST(page_start AS VARCHAR), 'None'), ' score=', printf('%.4f', score), ' source=page_hint', chr(10), substring(coalesce(text, ''), 1, 520)), chr(10) || chr(10) ORDER BY rank) AS document_context
 FROM hint JOIN chunks ON id = chunk_id WHERE rank <= 8 GROUP BY query_id""",
 }
