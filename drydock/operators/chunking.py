@@ -12,19 +12,18 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 
 STOPS = "。\n"
-END_OF_PARAGRAPH = "[。！？!;:：]$"
+END_OF_PARAGRAPH = "[。！？;:：]$"
 
 
 def clean_lines(text: Column, unicode_fold: bool = True) -> Column:
-    """The lines of a text without blank ones, page numbers and single marks; null for a null text."""
-    tidy = (lambda s: t.tidy(s)) if not unicode_fold else t.tidy
-    lines = F.transform(F.split(text, "\n"), tidy)
+    """The lines of a text in NFKC form, without blank ones, page numbers and single marks; null for a null text.
+    unicode_fold: False for a text that is in that form already."""
+    lines = F.transform(F.split(t.nfkc(text) if unicode_fold else text, "\n"), t.tidy)
     return F.filter(lines, lambda x: (x != "") & ~x.rlike(t.PAGE_NUMBER) & ~x.isin("·", ".", "-", "_"))
 
 
 def paragraphs(lines: Column) -> Column:
     """Lines joined without a blank until a sentence end; headings stand alone."""
-    before = lambda i: F.element_at(lines, i)  # noqa: E731 - i counts from 0, so this is the line before
     starts = lambda x, i: (i > 0) & (t.is_heading(x) | t.is_heading(F.get(lines, i - 1)) | F.get(lines, i - 1).rlike(END_OF_PARAGRAPH))
     return F.array_join(F.transform(lines, lambda x, i: F.concat(F.when(starts(x, i), F.lit("\n")).otherwise(F.lit("")), x)), "")
 

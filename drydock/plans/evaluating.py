@@ -243,20 +243,25 @@ _ROBUST = "SELECT coalesce(round(avg((ok AND modes = 1)::INTEGER), 4), 1.0) AS r
 _SUBSET = "CASE WHEN coalesce(is_preset, false) THEN 'preset_or_rule_based' ELSE 'strict_non_preset' END AS subset"
 _CAND = f"""cand AS (SELECT DISTINCT page, confidence, head, tail, relation_zh FROM (SELECT source_pages[1] AS page, coalesce(confidence, 0.0) AS confidence, {_TERM.format("coalesce(head, '')")} AS head, {_TERM.format("coalesce(tail, '')")} AS tail, {_TERM.format("coalesce(relation_zh, relation, '')")} AS relation_zh, coalesce(evidence, '') AS evidence FROM relations)
   WHERE {_good('head')} AND {_good('tail')} AND length(evidence) >= 12 AND page >= 8)"""
-ORACLE = {
-    "relation_cases": f"""WITH RECURSIVE {_CAND},
-rw AS (SELECT *, head || '|' || tail AS pair, row_number() OVER (ORDER BY page, confidence DESC, head, tail, relation_zh) AS i FROM cand),
+_GREEDY = """rw AS (SELECT *, head || '|' || tail AS pair, row_number() OVER (ORDER BY page, confidence DESC, head, tail, relation_zh) AS i FROM cand),
 st AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS pairs, []::INTEGER[] AS pages, []::BIGINT[] AS took
   UNION ALL SELECT rw.i, CASE WHEN ok THEN list_append(pairs, pair) ELSE pairs END, CASE WHEN ok THEN list_append(pages, page) ELSE pages END, CASE WHEN ok THEN list_append(took, rw.i) ELSE took END
-  FROM (SELECT rw.*, st.pairs, st.pages, st.took, NOT list_contains(st.pairs, rw.pair) AND len(list_filter(st.pages, lambda x: x = rw.page)) < 2 AND len(st.took) < 100 AS ok FROM st JOIN rw ON rw.i = st.i + 1) rw),
-fin AS (SELECT took FROM st ORDER BY i DESC LIMIT 1)
+  FROM (SELECT rw.*, st.pairs, st.pages, st.took, NOT list_contains(st.pairs, rw.pair) AND len(list_filter(st.pages, lambda x: x = rw.page)) < 2 AND len(st.took) < {} AS ok FROM st JOIN rw ON rw.i = st.i + 1) rw),
+fin AS (SELECT took FROM st ORDER BY i DESC LIMIT 1)"""
+ORACLE = {
+    "relation_cases": f"""WITH RECURSIVE {_CAND}, {_GREEDY.format(100)}
 SELECT CAST(k AS INTEGER) AS case_no, page, head, tail, relation_zh FROM (SELECT unnest(range(1, len(took) + 1)) AS k, took FROM fin) JOIN rw ON rw.i = took[k]""",
     "term_mining": f"WITH {_MINED} SELECT chunk_id, term, weight, CAST(rank AS INTEGER) AS rank FROM tr",
     "systematic_sample": f"WITH {_SAMPLE} SELECT chunk_id, page_start FROM sm",
     "chunk_cases": f"WITH {_CC} SELECT * FROM cc",
     "relation_candidates": f"""WITH n AS (SELECT source_pages[1] AS page, coalesce(confidence, 0.0) AS confidence, {_TERM.format("coalesce(head, '')")} AS head, {_TERM.format("coalesce(tail, '')")} AS tail, {_TERM.format("coalesce(relation_zh, relation, '')")} AS relation_zh, coalesce(evidence, '') AS evidence FROM relations)
 SELECT DISTINCT page, confidence, head, tail, relation_zh FROM n WHERE {_good('head')} AND {_good('tail')} AND length(evidence) >= 12 AND page >= 8""",
-    "all_cases": f"WITH {_CC} SELECT id, question, coalesce(source, 'manual') AS source FROM eval_cases WHERE NOT starts_with(coalesce(source, ''), 'auto_') UNION ALL SELECT id, question, 'auto_textbook_chunk' FROM cc",
+    "all_cases": f"""WITH RECURSIVE cur AS (SELECT id, question, coalesce(source, 'manual') AS source FROM eval_cases WHERE NOT starts_with(coalesce(source, ''), 'auto_')),
+nd AS (SELECT {TARGET} - count(*) AS needed FROM cur), {_CAND}, {_GREEDY.format("(SELECT needed FROM nd)")},
+rl AS (SELECT k, 'auto_relation_' || lpad(CAST(k AS VARCHAR), 3, '0') AS id, concat('教材第', page, '页中，“', head, '”和“', tail, '”之间是什么关系？') AS question FROM (SELECT unnest(range(1, len(took) + 1)) AS k, took FROM fin) JOIN rw ON rw.i = took[k]),
+rk AS (SELECT * FROM rl WHERE k < coalesce((SELECT min(k) FROM rl WHERE id IN (SELECT id FROM cur)), 1000000)),
+ms AS (SELECT greatest(needed - (SELECT count(*) FROM rk), 0) AS missing FROM nd), {_SAMPLE.replace("/ 50.0::DOUBLE", "/ greatest((SELECT missing FROM ms), 1)::DOUBLE").replace("< 50)", "< (SELECT missing FROM ms))")}
+SELECT * FROM cur UNION ALL SELECT id, question, 'auto_pangu_relation' FROM rk UNION ALL SELECT 'auto_chunk_' || chunk_id, concat('教材第', page_start, '页中关于“', terms[1], '”的内容主要说明了什么？'), 'auto_textbook_chunk' FROM sm WHERE 'auto_chunk_' || chunk_id NOT IN (SELECT id FROM cur UNION ALL SELECT id FROM rk)""",
     "eval_case_scan": "SELECT id, question, category, coalesce(expected_mode_prefix, 'multi_agent_graph_rag') AS expected_mode_prefix, coalesce(top_k, 4) AS top_k, coalesce(graph_hops, 1) AS graph_hops, coalesce(require_graph, false) AS require_graph, coalesce(allow_uncertain, false) AS allow_uncertain, coalesce(is_negative, false) AS is_negative, coalesce(is_preset, false) AS is_preset FROM eval_cases",
     "retrieval_metrics": f"WITH {_RM} SELECT * FROM mt",
     "vector_metrics": """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, q.label = e.label AS same, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS s9 FROM embeddings q JOIN embeddings e ON q.vec_id % 20 = 0 AND q.vec_id <> e.vec_id),

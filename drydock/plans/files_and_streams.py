@@ -11,7 +11,7 @@ from ..common import durable, spread, table
 from ..operators import extraction, graph
 from ..sources import files
 from ..streaming import log
-from . import extraction_log, graph_build
+from . import graph_build
 
 
 def jsonl_roundtrip(spark, d):
@@ -144,5 +144,8 @@ ORACLE = {
     "stream_upsert_latest": _STATE,
     "stream_state_latest": _STATE,
     "stream_first_of_chunk": "SELECT count(DISTINCT source_chunk) AS rows, count(DISTINCT source_chunk) AS chunks FROM sample_raw_extractions",
-    "pipeline_run": f"SELECT 'compacted' AS step, count(*) AS n FROM ({extraction_log.ORACLE['compact_latest_success']}) UNION ALL SELECT 'entities', count(*) FROM ({_G['graph_entities']}) UNION ALL SELECT 'relations', count(*) FROM ({_G['graph_relations']}) UNION ALL SELECT 'merged', count(*) FROM ({_G['edge_import']})",
+    "pipeline_run": f"""WITH kept AS (SELECT * EXCLUDE r FROM (SELECT *, row_number() OVER (PARTITION BY source_chunk ORDER BY (coalesce(error, '') = '') DESC, line_id DESC) AS r FROM sample_raw_extractions) WHERE r = 1),
+en AS (SELECT * FROM ({_G['graph_entities'].replace('sample_raw_extractions', 'kept')})), re AS (SELECT * FROM ({_G['graph_relations'].replace('sample_raw_extractions', 'kept')}))
+SELECT 'compacted' AS step, count(*) AS n FROM kept UNION ALL SELECT 'entities', count(*) FROM en UNION ALL SELECT 'relations', count(*) FROM re UNION ALL SELECT 'merged_nodes', count(DISTINCT id) FROM en
+UNION ALL SELECT 'merged', count(DISTINCT (head_id, upper(relation), tail_id)) FROM re WHERE head_id IN (SELECT id FROM en) AND tail_id IN (SELECT id FROM en)""",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from ..common import spread, table
@@ -102,7 +104,24 @@ def _tidy(x: str) -> str:
     return f"regexp_replace({s}, '^{_WS}+|{_WS}+$', '', 'g')"
 
 
-_LINES = "SELECT id, list_filter(list_transform(string_split(text, chr(10)), lambda x: " + _tidy("x") + "), lambda x: x <> '' AND NOT regexp_matches(x, '" + t.PAGE_NUMBER + "') AND x NOT IN ('·', '.', '-', '_')) AS l FROM chunks"
+def _nfkc(x: str) -> str:
+    """NFKC in SQL: replacements made by rule for the characters of the basic plane, then composition. Those that unfold to
+    several are replaced one by one, in the blocks of forms, marks, letterlike signs, units and ligatures."""
+    alone, many = [], []
+    for cp in (*range(0xA0, 0x3400), *range(0xF900, 0xFFF0)):
+        to = unicodedata.normalize("NFKC", chr(cp))
+        if to == chr(cp) or 0x300 <= cp < 0x370 or "'" in to:
+            continue
+        if len(to) == 1:
+            alone.append((chr(cp), to))
+        elif cp in (*range(0x2000, 0x2200), *range(0x3380, 0x33E0), *range(0xFB00, 0xFB07)):
+            many.append((chr(cp), to))
+    for a, b in many:
+        x = f"replace({x}, '{a}', '{b}')"
+    return f"nfc_normalize(translate({x}, '{''.join(a for a, _ in alone)}', '{''.join(b for _, b in alone)}'))"
+
+
+_LINES = "SELECT id, list_filter(list_transform(string_split(" + _nfkc("text") + ", chr(10)), lambda x: " + _tidy("x") + "), lambda x: x <> '' AND NOT regexp_matches(x, '" + t.PAGE_NUMBER + "') AND x NOT IN ('·', '.', '-', '_')) AS l FROM chunks"
 _HEAD = f"(regexp_matches({{0}}, '{t.CHAPTER}') OR regexp_matches({{0}}, '{t.SECTION}') OR {{0}} IN ('目录', '前言'))"
 _STRIP = f"'^{_WS}+|{_WS}+$'"
 _CHUNKED = f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_replace(text, {_STRIP}, '', 'g') AS t FROM documents),
@@ -139,6 +158,7 @@ def sql_bad(n: str) -> str:
 
 
 ORACLE = {
+    "normalized_text": f"SELECT id, {_tidy(_nfkc('text'))} AS text FROM chunks",
     "line_clean": f"SELECT id, CAST(len(l) AS INTEGER) AS n_lines, array_to_string(l, chr(10)) AS text FROM ({_LINES})",
     "paragraph_join": f"""SELECT id, array_to_string(list_transform(range(1, len(l) + 1), lambda i: concat(CASE WHEN i > 1 AND ({_HEAD.format('l[i]')} OR {_HEAD.format('l[i - 1]')} OR regexp_matches(l[i - 1], '{chunking.END_OF_PARAGRAPH}')) THEN chr(10) ELSE '' END, l[i])), '') AS text FROM ({_LINES})""",
     "fill_forward_heading": f"""WITH h AS (SELECT id, source, page_start, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, {_STRIP}, '', 'g')), lambda x: regexp_matches(x, '{t.CHAPTER}'))[1] AS heading FROM chunks WHERE page_start IS NOT NULL)
