@@ -6,6 +6,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import text as t
+from .fuzzy import fuzzy_score
 
 
 class ChunkText:
@@ -24,6 +25,6 @@ def register(spark: SparkSession) -> None:
     from ..common import ship
 
     ship(spark)
-    spark.udf.register("fuzzy_score", F.udf(t.fuzzy_score, "double", useArrow=True))
+    spark.udf.register("fuzzy_score", F.udf(fuzzy_score, "double", useArrow=True))
     spark.udf.register("nfkc", F.udf(t.fold, "string", useArrow=True))
     spark.udtf.register("chunk_text", F.udtf(ChunkText, returnType="chunk_no int, start int, `end` int, chunk string"))

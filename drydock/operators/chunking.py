@@ -24,8 +24,9 @@ def clean_lines(text: Column, unicode_fold: bool = True) -> Column:
 
 def paragraphs(lines: Column) -> Column:
     """Lines joined without a blank until a sentence end; headings stand alone."""
-    starts = lambda x, i: (i > 0) & (t.is_heading(x) | t.is_heading(F.get(lines, i - 1)) | F.get(lines, i - 1).rlike(END_OF_PARAGRAPH))
-    return F.array_join(F.transform(lines, lambda x, i: F.concat(F.when(starts(x, i), F.lit("\n")).otherwise(F.lit("")), x)), "")
+    before = F.slice(F.concat(F.array(F.lit(None).cast("string")), lines), 1, F.size(lines))
+    starts = lambda x, p: p.isNotNull() & (t.is_heading(x) | t.is_heading(p) | p.rlike(END_OF_PARAGRAPH))
+    return F.array_join(F.zip_with(lines, before, lambda x, p: F.concat(F.when(starts(x, p), F.lit("\n")).otherwise(F.lit("")), x)), "")
 
 
 def first_heading(text: Column) -> Column:

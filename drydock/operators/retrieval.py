@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..common import SMALL, durable, small
 from ..functions import text as t
+from ..functions.fuzzy import CONTAINED, LETTERS, fuzzy_scores
 from ..functions.vectors import ranked
 
 RRF_K = 60
@@ -53,17 +54,22 @@ def containing(terms: DataFrame, entities: DataFrame, limit: int = 3) -> DataFra
 
 
 def fuzzy(questions: DataFrame, entities: DataFrame, limit: int = 8, least: float = 0.58) -> DataFrame:
-    """(query_id, id, name, match_score, rank): entities by fuzzy score, from `least` on.
-
-    A score of that height needs a common character, so candidates are joined on characters; a name is scored only if its
-    characters met can still reach the threshold (the matcher's ratio on a stretch is at most 2m / (|name| + m))."""
-    q = questions.select("query_id", "question", F.explode(F.array_distinct(F.split("question", ""))).alias("c")).where("trim(c) <> ''")
-    e = entities.where("length(name) >= 2").select("id", "name", F.explode(F.array_distinct(F.split("name", ""))).alias("c")).where("trim(c) <> ''")
-    met = e.join(small(q), "c").groupBy("query_id", "id").agg(F.first("question").alias("question"), F.first("name").alias("name"), F.count(F.lit(1)).alias("m"))
-    # a name of n characters with m different ones met: ratio <= 2n' / (n + n'), n' <= the characters of the name that are met
-    reach = met.where(F.expr("2.0 * m / (size(array_distinct(split(name, ''))) + m) + 0.2 >= 0.38 or 0.85 * m / size(array_distinct(split(name, ''))) + 0.2 >= 0.58"))
-    score = F.udf(t.fuzzy_score, "double", useArrow=True)
-    scored = reach.withColumn("s", score("question", "name")).where(F.col("s") >= least).select("query_id", "id", "name", F.round("s", 4).alias("match_score"))
+    """(query_id, id, name, match_score, rank): entities (names of 2 characters or more) by fuzzy score, from `least` on.
+
+    Such a score needs a common character, so candidates are joined on characters. A name is scored only if those met can
+    still reach the threshold: the matcher's ratio is at most 2k / (n + k) where k of the n characters of the name, each
+    as often as it stands there, are in the text."""
+    chars = lambda c: F.filter(F.split(c, ""), lambda x: F.trim(x) != "")
+    q = questions.select("query_id", "question", F.explode(F.array_distinct(chars(F.col("question")))).alias("c"))
+    own = entities.where("length(name) >= 2").withColumn("cs", chars(F.col("name"))).withColumn("blanks", F.length("name") - F.size("cs"))
+    e = own.select("id", "name", "blanks", "cs", F.explode(F.array_distinct("cs")).alias("c")).withColumn("times", F.size(F.filter("cs", lambda x: x == F.col("c")))).drop("cs")
+    met = e.join(small(q), "c").groupBy("query_id", "id").agg(
+        F.first("question").alias("question"), F.first("name").alias("name"), F.count(F.lit(1)).alias("m"), (F.sum("times") + F.first("blanks")).alias("k"), F.first("blanks").alias("blanks")
+    )
+    different = F.size(F.array_distinct(F.split("name", "")))
+    ratio, share = 2.0 * F.col("k") / (F.length("name") + F.col("k")), LETTERS * (F.col("m") + F.least("blanks", F.lit(1))) / different
+    bound = F.greatest(ratio, share) + F.when(F.contains("question", "name") | F.contains("name", "question"), CONTAINED).otherwise(0.0)
+    scored = met.where(bound >= least - 1e-9).withColumn("s", fuzzy_scores(F.col("question"), F.col("name"))).where(F.col("s") >= least).select("query_id", "id", "name", F.round("s", 4).alias("match_score"))
     return ranked(scored, "query_id", [F.desc("match_score"), F.asc("id")], limit)
 
 

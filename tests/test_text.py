@@ -5,6 +5,7 @@ import uuid
 import numpy as np
 from pyspark.sql import functions as F
 
+from drydock.functions import fuzzy
 from drydock.functions import text as t
 from drydock.functions import vectors
 from drydock.operators import chunking, evaluation, retrieval
@@ -50,8 +51,8 @@ def test_tidy_and_answers(spark):
 
 
 def test_fuzzy():
-    assert math.isclose(t.fuzzy_score("第一章船体", "船体"), 1.2)
-    assert t.fuzzy_score(None, "a") is None and t.fuzzy_score("", "ab") >= 0
+    assert math.isclose(fuzzy.fuzzy_score("第一章船体", "船体"), 1.2)
+    assert fuzzy.fuzzy_score(None, "a") is None and fuzzy.fuzzy_score("", "ab") >= 0
 
 
 def test_paragraphs_and_lines(spark):
