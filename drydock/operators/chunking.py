@@ -8,8 +8,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..common import durable
 from ..functions import text as t
+from .ordered import fill_forward, numbered
 
 STOPS = "。\n"
 END_OF_PARAGRAPH = "[。！？;:：]$"
@@ -53,22 +56,43 @@ def chunk_spans(text: str, limit: int, overlap: int, stops: str = STOPS) -> list
     return out
 
 
-def chunks(documents: DataFrame, key: str, limit: int = 900, overlap: int = 120, stops: str = STOPS) -> DataFrame:
-    """(key, chunk_no, chunk_id, text, char_count): overlapping chunks of the trimmed text; blank texts have none."""
+def chunks(documents: DataFrame, key: str, limit: int = 900, overlap: int = 120, stops: str = STOPS, keep: list[str] | None = None) -> DataFrame:
+    """(key, keep..., chunk_no, chunk_id if the key is a number, text, char_count): overlapping chunks of the trimmed text;
+    blank texts have none."""
+    also = list(keep or [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                parts = [p for x, y in chunk_spans(s, limit, overlap, stops) if (p := s[x:y].strip())]
-                rows += [(k, i + 1, p) for i, p in enumerate(parts)]
-            cols = list(zip(*rows)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.column(0).type), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string())], names=[key, "chunk_no", "text"])
-
-    trimmed = documents.select(key, t.strip(F.col("text")).alias("text")).where("text <> ''")
-    kind = documents.schema[key].dataType.simpleString()
-    out = trimmed.mapInArrow(run, f"`{key}` {kind}, chunk_no int, text string")
-    return out.select(key, "chunk_no", F.format_string("doc%06d_%05d", F.col(key), F.col("chunk_no")).alias("chunk_id"), "text", F.length("text").alias("char_count"))
+            at, numbers, parts = [], [], []
+            for i, s in enumerate(b.column(b.num_columns - 1).to_pylist()):
+                own = [p for x, y in chunk_spans(s, limit, overlap, stops) if (p := s[x:y].strip())]
+                at += [i] * len(own)
+                numbers += range(1, len(own) + 1)
+                parts += own
+            same = [c.take(pa.array(at, pa.int64())) for c in b.columns[:-1]]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(numbers, pa.int32()), pa.array(parts, pa.string())], names=[key, *also, "chunk_no", "text"])
+
+    trimmed = documents.select(key, *also, t.strip(F.col("text")).alias("text")).where("text <> ''")
+    kinds = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in (key, *also))
+    out = trimmed.mapInArrow(run, f"{kinds}, chunk_no int, text string")
+    name = [F.format_string("doc%06d_%05d", F.col(key), F.col("chunk_no")).alias("chunk_id")] if isinstance(documents.schema[key].dataType, T.IntegralType) else []
+    return out.select(key, *also, "chunk_no", *name, "text", F.length("text").alias("char_count"))
+
+
+def page_chunks(pages: DataFrame, limit: int = 900, overlap: int = 120) -> DataFrame:
+    """(source, page_start, page_end, chapter_hint, chunk_no, id, text, char_count): the chunks of the pages of books.
+
+    pages: (source, page, text, lines). Blank pages have no chunks and name no chapter; a page is of the chapter that its
+    own first heading names, else of the last one named in its book. chunk_no counts on over all pages in their order."""
+    own = pages.where(t.strip(F.coalesce("text", F.lit(""))) != "").withColumn("heading", F.get(F.filter("lines", lambda x: x.rlike(t.CHAPTER)), 0))
+    own = own.select("source", "page", t.strip(F.col("text")).alias("text"), "heading", F.floor(F.col("page") / 64).alias("block"), F.struct("source", "page").alias("at"))
+    filled = fill_forward(own, "source", ["page"], "heading", "block", "chapter_hint")
+    cut = chunks(durable(filled.select("at", "text", F.coalesce("chapter_hint", F.lit("")).alias("chapter_hint"))), "at", limit, overlap, keep=["chapter_hint"])
+    numbered_ = numbered(durable(cut.withColumn("source", F.col("at.source")).withColumn("page", F.col("at.page")).withColumn("block", F.struct("source", "page"))), None, ["source", "page", "chunk_no"], "block", "no")
+    return numbered_.select(
+        "source", F.col("page").alias("page_start"), F.col("page").alias("page_end"), "chapter_hint", F.col("no").cast("int").alias("chunk_no"),
+        F.concat("source", F.format_string("_p%03d_%05d", F.col("page"), F.col("no"))).alias("id"), "text", "char_count",
+    )
 
 
 def is_front_matter(page: Column, text: Column) -> Column:

@@ -85,8 +85,12 @@ def _good_nodes(nodes: DataFrame) -> DataFrame:
 
 def entity_chunks(nodes: DataFrame) -> DataFrame:
     """(id, chunk): the chunks that name each entity, once each."""
-    met = _good_nodes(nodes).where("chunk <> ''").select(t.entity_id(F.col("name"), F.col("type")).alias("id"), "chunk")
-    return met.distinct()
+    return named_chunks(nodes).select(t.entity_id(F.col("name"), F.col("type")).alias("id"), "chunk").distinct()
+
+
+def named_chunks(nodes: DataFrame) -> DataFrame:
+    """(name, type, chunk): the same by name and type, as names that differ in marks only share an id."""
+    return _good_nodes(nodes).where("chunk <> ''").select("name", "type", "chunk").distinct()
 
 
 def entities(nodes: DataFrame) -> DataFrame:
@@ -110,13 +114,35 @@ def entities(nodes: DataFrame) -> DataFrame:
     ).select(t.entity_id(F.col("name"), F.col("type")).alias("id"), "name", "type", F.coalesce("definition", F.lit("")).alias("definition"), "source_pages", "n_chunks", "confidence")
 
 
+EDGE = ["head", "head_type", "relation", "tail", "tail_type"]
+
+
+def _good_edges(edges: DataFrame) -> DataFrame:
+    named = edges.withColumn("relation", t.norm_relation(F.col("relation"))).where(F.col("relation").isin(list(t.RELATION_ZH)) & (F.col("head") != F.col("tail")))
+    return named.where(~t.bad_entity(F.col("head")) & ~t.bad_entity(F.col("tail")))
+
+
+def relation_chunks(edges: DataFrame) -> DataFrame:
+    """(head_id, head, head_type, relation, tail_id, tail, tail_type, chunk, page): the chunks and pages that state each
+    edge, once each. A table of its own, as an edge of a chapter may be stated by a third of all chunks."""
+    met = _good_edges(edges).where("chunk <> ''").select(*EDGE, "chunk", F.when(F.col("page") != 0, F.col("page")).alias("page")).distinct()
+    ids = t.entity_id(F.col("head"), F.col("head_type")).alias("head_id"), t.entity_id(F.col("tail"), F.col("tail_type")).alias("tail_id")
+    return met.select(*ids, "*")
+
+
+def with_chunks(rows: DataFrame, key: list[str], chunks: DataFrame) -> DataFrame:
+    """rows with source_chunks, the sorted list of their chunks, for an export that wants them in the row. chunks: (key...,
+    chunk), each once; the list of a row grows with its chunks."""
+    lists = chunks.groupBy(*key).agg(F.array_sort(F.collect_set("chunk")).alias("source_chunks"))
+    return rows.join(lists, key, "left").withColumn("source_chunks", F.coalesce("source_chunks", F.array().cast("array<string>")))
+
+
 def relations(edges: DataFrame) -> DataFrame:
     """Edges by (head, head_type, relation, tail, tail_type): longest evidence, the earliest of equals. Relations outside
     the ontology, loops and names that are none are dropped."""
-    named = edges.withColumn("relation", t.norm_relation(F.col("relation"))).where(F.col("relation").isin(list(t.RELATION_ZH)) & (F.col("head") != F.col("tail")))
-    good = named.where(~t.bad_entity(F.col("head")) & ~t.bad_entity(F.col("tail")))
+    good = _good_edges(edges)
     said = F.coalesce("evidence", F.lit(""))
-    keys = ["head", "head_type", "relation", "tail", "tail_type"]
+    keys = EDGE
     return good.groupBy(*keys).agg(
         F.min_by(said, F.struct(-F.length(said), F.col("at"))).alias("evidence"),
         F.array_sort(F.collect_set(F.when(F.col("page") != 0, F.col("page")))).alias("source_pages"),
@@ -137,17 +163,25 @@ def isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(degrees(edges).select("id"), "id", "left_anti")
 
 
-def merged_nodes(ends: DataFrame, order: list[str]) -> DataFrame:
-    """(id, name, type, mentions): nodes by id, the properties of the last mention along the order."""
-    return ends.groupBy("id").agg(F.max_by(F.struct("name", "type"), F.struct(*order, "name", "type")).alias("r"), F.count(F.lit(1)).alias("mentions")).select("id", "r.*", "mentions")
+def merged_nodes(ends: DataFrame, order: list[str], properties: list[str] | None = None) -> DataFrame:
+    """(id, properties..., mentions): nodes by id, all properties of the last mention along the order (name and type unless
+    others are given)."""
+    own = properties or ["name", "type"]
+    plain = [c for c in own if not ends.schema[c].dataType.simpleString().startswith("map")]
+    return ends.groupBy("id").agg(F.max_by(F.struct(*own), F.struct(*order, *plain)).alias("r"), F.count(F.lit(1)).alias("mentions")).select("id", "r.*", "mentions")
+
+
+PROPERTIES = ["head", "tail", "relation", "relation_zh", "evidence", "source_pages", "source_chunks", "confidence"]
 
 
 def merged_edges(nodes: DataFrame, edges: DataFrame, order: list[str]) -> DataFrame:
-    """Edges by (head_id, relation type, tail_id), the last along the order winning; edges with an unknown end are dropped."""
+    """Edges by (head_id, relation type, tail_id) with all properties (those of PROPERTIES there are) of the last along the
+    order; edges with an unknown end or relation are dropped."""
     ids = nodes.select("id").distinct()
     known = edges.join(ids.withColumnRenamed("id", "head_id"), "head_id", "left_semi").join(ids.withColumnRenamed("id", "tail_id"), "tail_id", "left_semi")
     rel = known.withColumn("relation_type", F.upper("relation")).where(F.col("relation").isin(list(t.RELATION_ZH)))
-    return rel.groupBy("head_id", "relation_type", "tail_id").agg(F.max_by(F.struct("head", "tail", "relation_zh", "evidence", "confidence"), F.struct(*order)).alias("r")).select("head_id", "relation_type", "tail_id", "r.*")
+    own = [c for c in PROPERTIES if c in edges.columns]
+    return rel.groupBy("head_id", "relation_type", "tail_id").agg(F.max_by(F.struct(*own), F.struct(*order)).alias("r")).select("head_id", "relation_type", "tail_id", "r.*")
 
 
 def neighborhood(seeds: DataFrame, edges: DataFrame, hops: int, limit: int | None = 80) -> DataFrame:

@@ -117,9 +117,9 @@ def pipeline_run(spark, d):
     log_rows = table(spark, d, "sample_raw_extractions", "line_id", "source_chunk", "source_page", "chapter_hint", "error", "entities", "triples")
     rows = durable(extraction.compacted(log_rows, ["line_id", "source_page", "chapter_hint", "entities", "triples"]))
     nodes, edges = graph.candidates(rows)
-    e = durable(graph.entities(nodes).select("id", "name", "type"))
+    e = durable(graph.entities(nodes))
     r = durable(graph.relations(edges))
-    n = durable(graph.merged_nodes(e, []))
+    n = durable(graph.merged_nodes(e, [], ["name", "type", "definition", "source_pages", "confidence"]))
     m = graph.merged_edges(n, r, ["head_type", "tail_type", "evidence", "confidence"])
     steps = [(rows, "compacted"), (e, "entities"), (r, "relations"), (n, "merged_nodes"), (m, "merged")]
     return reduce(DataFrame.unionByName, (x.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("step"), "n") for x, name in steps))

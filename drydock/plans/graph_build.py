@@ -29,6 +29,24 @@ def graph_relations(spark, d):
     return r.select("head_id", "tail_id", "head", "head_type", "relation", "relation_zh", "tail", "tail_type", "evidence", F.array_join(F.col("source_pages").cast("array<string>"), ",").alias("pages"), "n_chunks", "confidence")
 
 
+def relation_chunks(spark, d):
+    return graph.relation_chunks(_candidates(spark, d)[1])
+
+
+def entity_export(spark, d):
+    """The entities as the graph files have them: with aliases (none are ever gathered there) and the list of chunks."""
+    nodes = _candidates(spark, d)[0]
+    e = graph.with_chunks(graph.entities(nodes), ["name", "type"], graph.named_chunks(nodes))
+    return e.select("id", "name", "type", F.lit("").alias("aliases"), "definition", F.array_join(F.col("source_pages").cast("array<string>"), ",").alias("pages"), F.array_join("source_chunks", ",").alias("chunks"), "confidence")
+
+
+def relation_export(spark, d):
+    """The relations as the graph files have them: with the list of chunks."""
+    edges = _candidates(spark, d)[1]
+    r = graph.with_chunks(graph.relations(edges), graph.EDGE, graph.relation_chunks(edges))
+    return r.select("head_id", "tail_id", *graph.EDGE, "relation_zh", "evidence", F.array_join(F.col("source_pages").cast("array<string>"), ",").alias("pages"), F.array_join("source_chunks", ",").alias("chunks"), "confidence")
+
+
 def graph_totals(spark, d):
     nodes, edges = _candidates(spark, d)
     e, r = graph.entities(nodes).select("id"), graph.relations(edges).select("head_id", "tail_id")
@@ -58,8 +76,8 @@ def edge_import(spark, d):
     """Edges of the stored graph merged by ends and type, the latest winning; ends must be entities of the log."""
     nodes = graph.entities(_candidates(spark, d)[0]).select("id")
     r = table(spark, d, "relations")
-    good = r.withColumn("key", F.md5(F.to_json(F.struct(F.coalesce("evidence", F.lit("")).alias("e"), F.coalesce("confidence", F.lit(-1.0)).alias("c"), "head", "tail"))))
-    return graph.merged_edges(nodes, good, ["updated_at", "key"]).select("head_id", "relation_type", "tail_id", "head", "tail", "relation_zh")
+    good = r.withColumns({"said": F.coalesce("evidence", F.lit("")), "sure": F.coalesce("confidence", F.lit(-1.0)), "pages": F.array_join(F.col("source_pages").cast("array<string>"), ","), "chunks": F.array_join("source_chunks", ",")})
+    return graph.merged_edges(nodes, good, ["updated_at", "said", "sure", "pages", "chunks"]).withColumns({"source_pages": F.array_join(F.col("source_pages").cast("array<string>"), ","), "source_chunks": F.array_join("source_chunks", ",")})
 
 
 def node_merge(spark, d):
@@ -100,7 +118,7 @@ def neighborhood_facts(spark, d):
     return met.join(edges, "edge_id").select("query_id", "edge_id", "hops", "head_id", "relation", "tail_id", F.coalesce(F.nullif("confidence", F.lit(0.0)), F.lit(0.75)).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (graph_entities, entity_chunks, graph_relations, graph_totals, entity_type_counts, relation_type_counts, graph_degree_top20, isolated_entities, edge_import, node_merge, neighborhood_1hop, neighborhood_2hop, neighborhood_facts)}
+QUERIES = {f.__name__: f for f in (graph_entities, entity_chunks, graph_relations, relation_chunks, entity_export, relation_export, graph_totals, entity_type_counts, relation_type_counts, graph_degree_top20, isolated_entities, edge_import, node_merge, neighborhood_1hop, neighborhood_2hop, neighborhood_facts)}
 
 _CONF = "CASE WHEN {0} IS NULL THEN 0.75 ELSE greatest(0.0, least(1.0, CASE WHEN {0} > 1 THEN {0} / 100 ELSE {0} END)) END"
 _KIND = "coalesce(nullif({}, ''), 'ProcessObject')"
@@ -153,8 +171,14 @@ ORACLE = {
     "relation_type_counts": f"WITH {_BASE}, {_EDGES} SELECT relation, count(*) AS n FROM rels GROUP BY relation",
     "graph_degree_top20": f"WITH {_BASE}, {_EDGES}, {_DEG} SELECT id, degree FROM deg ORDER BY degree DESC, id LIMIT 20",
     "isolated_entities": f"WITH {_BASE}, {_NODES}, {_EDGES}, {_DEG} SELECT id, name, type FROM ents WHERE id NOT IN (SELECT id FROM deg)",
-    "edge_import": f"""WITH {_BASE}, {_NODES} SELECT head_id, upper(relation) AS relation_type, tail_id, arg_max(head, updated_at) AS head, arg_max(tail, updated_at) AS tail, arg_max(relation_zh, updated_at) AS relation_zh
-FROM relations WHERE head_id IN (SELECT id FROM ents) AND tail_id IN (SELECT id FROM ents) AND relation IN ({t.quoted(list(t.RELATION_ZH))}) GROUP BY ALL""",
+    "relation_chunks": f"WITH {_BASE}, {_EDGES} SELECT DISTINCT {sql_id('head', 'head_type')} AS head_id, {sql_id('tail', 'tail_type')} AS tail_id, head, head_type, relation, tail, tail_type, chunk, nullif(page, 0) AS page FROM good WHERE chunk <> ''",
+    "entity_export": f"WITH {_BASE}, {_NODES}, ch AS (SELECT name, type, array_to_string(list_sort(list(DISTINCT chunk)), ',') AS chunks FROM named WHERE chunk <> '' GROUP BY name, type) SELECT id, name, type, '' AS aliases, definition, pages, coalesce(chunks, '') AS chunks, confidence FROM ents LEFT JOIN ch USING (name, type)",
+    "relation_export": f"""WITH {_BASE}, {_EDGES}, ch AS (SELECT head, head_type, relation, tail, tail_type, array_to_string(list_sort(list(DISTINCT chunk)), ',') AS chunks FROM good WHERE chunk <> '' GROUP BY ALL)
+SELECT head_id, tail_id, r.head, r.head_type, r.relation, r.tail, r.tail_type, relation_zh, evidence, pages, coalesce(chunks, '') AS chunks, confidence FROM rels r LEFT JOIN ch ON r.head = ch.head AND r.head_type = ch.head_type AND r.relation = ch.relation AND r.tail = ch.tail AND r.tail_type = ch.tail_type""",
+    "edge_import": f"""WITH {_BASE}, {_NODES} SELECT head_id, relation_type, tail_id, head, tail, relation, relation_zh, evidence, pages AS source_pages, chunks AS source_chunks, confidence FROM (
+  SELECT *, upper(relation) AS relation_type, array_to_string(source_pages, ',') AS pages, array_to_string(source_chunks, ',') AS chunks,
+    row_number() OVER (PARTITION BY head_id, relation, tail_id ORDER BY updated_at DESC NULLS LAST, coalesce(evidence, '') DESC, coalesce(confidence, -1) DESC, array_to_string(source_pages, ',') DESC NULLS LAST, array_to_string(source_chunks, ',') DESC NULLS LAST) AS k
+  FROM relations WHERE head_id IN (SELECT id FROM ents) AND tail_id IN (SELECT id FROM ents) AND relation IN ({t.quoted(list(t.RELATION_ZH))})) WHERE k = 1""",
     "node_merge": """SELECT id, name, type, n AS mentions FROM (SELECT *, count(*) OVER (PARTITION BY id) AS n, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST, name DESC NULLS LAST, type DESC NULLS LAST) AS k
   FROM (SELECT head_id AS id, head AS name, head_type AS type, updated_at FROM relations UNION ALL SELECT tail_id, tail, tail_type, updated_at FROM relations) WHERE id IS NOT NULL AND name IS NOT NULL) WHERE k = 1""",
     "neighborhood_1hop": f"{_WALK} SELECT DISTINCT query_id, e1 AS edge_id, 1 AS hops FROM one",

@@ -45,6 +45,15 @@ def chunk_documents(spark, d):
     return chunking.chunks(docs, "doc_id").select("doc_id", "chunk_no", "chunk_id", "char_count", F.md5("text").alias("text_md5"))
 
 
+def page_chunks(spark, d):
+    """The stored chunks taken as pages (of equal pages of a book the first by id), cleaned, joined and cut anew."""
+    c = _chunks(spark, d, "source", "page_start", "text").where("source is not null and page_start is not null")
+    first = c.groupBy("source", F.col("page_start").alias("page")).agg(F.min_by("text", "id").alias("text"))
+    lines = first.select("source", "page", chunking.clean_lines(F.col("text")).alias("lines"))
+    pages = lines.select("source", "page", "lines", chunking.paragraphs(F.col("lines")).alias("text"))
+    return chunking.page_chunks(pages, 200, 30).select("source", "page_start", "page_end", "chapter_hint", "chunk_no", "id", "char_count", F.md5("text").alias("text_md5"))
+
+
 def chunk_stats(spark, d):
     docs = spread(table(spark, d, "documents", "doc_id", "text"), "doc_id")
     return chunking.chunks(docs, "doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum("char_count").alias("chars"), F.max("char_count").alias("longest"), F.count_distinct("doc_id").alias("docs"))
@@ -90,7 +99,7 @@ def entity_names(spark, d):
     return r.select("head", "head_type", n.alias("name"), t.entity_id(n, F.col("head_type")).alias("id"), t.bad_entity(n).alias("bad"), t.good_name(n).alias("good"))
 
 
-QUERIES = {f.__name__: f for f in (normalized_text, line_clean, paragraph_join, fill_forward_heading, front_matter_filter, chunk_documents, chunk_stats, doc_stats, page_latest, query_terms, page_hints, uuid5_ids, hash_embedding, entity_names)}
+QUERIES = {f.__name__: f for f in (normalized_text, line_clean, paragraph_join, fill_forward_heading, front_matter_filter, chunk_documents, page_chunks, chunk_stats, doc_stats, page_latest, query_terms, page_hints, uuid5_ids, hash_embedding, entity_names)}
 
 _WS = "[\\s\\x{a0}\\x{3000}\\x{2002}\\x{2009}\\x{202f}]"
 
@@ -123,21 +132,22 @@ def _nfkc(x: str) -> str:
 
 _LINES = "SELECT id, list_filter(list_transform(string_split(" + _nfkc("text") + ", chr(10)), lambda x: " + _tidy("x") + "), lambda x: x <> '' AND NOT regexp_matches(x, '" + t.PAGE_NUMBER + "') AND x NOT IN ('·', '.', '-', '_')) AS l FROM chunks"
 _HEAD = f"(regexp_matches({{0}}, '{t.CHAPTER}') OR regexp_matches({{0}}, '{t.SECTION}') OR {{0}} IN ('目录', '前言'))"
+_PARAGRAPHS = f"""array_to_string(list_transform(range(1, len(l) + 1), lambda i: concat(CASE WHEN i > 1 AND ({_HEAD.format('l[i]')} OR {_HEAD.format('l[i - 1]')} OR regexp_matches(l[i - 1], '{chunking.END_OF_PARAGRAPH}')) THEN chr(10) ELSE '' END, l[i])), '')"""
 _STRIP = f"'^{_WS}+|{_WS}+$'"
-_CHUNKED = f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_replace(text, {_STRIP}, '', 'g') AS t FROM documents),
-n AS (SELECT doc_id, t, length(t) AS n FROM d WHERE t <> ''),
+_CUT = """n AS (SELECT doc_id, t, length(t) AS n FROM d WHERE t <> ''),
 s AS (
   SELECT doc_id, t, n, 0 AS a, CAST(0 AS BIGINT) AS e, true AS first FROM n
   UNION ALL
-  SELECT doc_id, t, n, a2, CASE WHEN top < n AND b > a2 + 0.55 * 900 THEN b + 1 ELSE top END, false
+  SELECT doc_id, t, n, a2, CASE WHEN top < n AND b > a2 + 0.55 * {limit} THEN b + 1 ELSE top END, false
   FROM (
     SELECT doc_id, t, n, a2, top,
       a2 + length(w) - least(CASE WHEN instr(reverse(w), '。') > 0 THEN instr(reverse(w), '。') ELSE 100000 END, CASE WHEN instr(reverse(w), chr(10)) > 0 THEN instr(reverse(w), chr(10)) ELSE 100000 END) AS b
     FROM (
-      SELECT doc_id, t, n, a2, least(n, a2 + 900) AS top, substring(t, CAST(a2 + 1 AS BIGINT), CAST(least(n, a2 + 900) - a2 AS BIGINT)) AS w
-      FROM (SELECT doc_id, t, n, CASE WHEN first THEN 0 ELSE greatest(e - 120, a + 1) END AS a2 FROM s WHERE first OR e < n))))
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a) AS chunk_no, p FROM (
-  SELECT doc_id, a, regexp_replace(substring(t, CAST(a + 1 AS BIGINT), CAST(e - a AS BIGINT)), {_STRIP}, '', 'g') AS p FROM s WHERE NOT first) WHERE p <> ''"""
+      SELECT doc_id, t, n, a2, least(n, a2 + {limit}) AS top, substring(t, CAST(a2 + 1 AS BIGINT), CAST(least(n, a2 + {limit}) - a2 AS BIGINT)) AS w
+      FROM (SELECT doc_id, t, n, CASE WHEN first THEN 0 ELSE greatest(e - {overlap}, a + 1) END AS a2 FROM s WHERE first OR e < n)))),
+cut AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a) AS chunk_no, p FROM (
+  SELECT doc_id, a, regexp_replace(substring(t, CAST(a + 1 AS BIGINT), CAST(e - a AS BIGINT)), {strip}, '', 'g') AS p FROM s WHERE NOT first) WHERE p <> '')"""
+_CHUNKED = f"WITH RECURSIVE d AS (SELECT doc_id, regexp_replace(text, {_STRIP}, '', 'g') AS t FROM documents), {_CUT.format(limit=900, overlap=120, strip=_STRIP)} SELECT * FROM cut"
 _TERMS = f"""SELECT id, list_filter(list_transform(list_concat(regexp_extract_all(question, '[“"\\x27]([^”"\\x27]{{2,20}})[”"\\x27]', 1), regexp_extract_all(question, '[\\x{{4e00}}-\\x{{9fff}}A-Za-z0-9]{{2,12}}', 0)),
   lambda x: trim(x)), lambda x: length(x) >= 2 AND x NOT IN ({t.quoted(t.QUERY_STOP)})) AS l FROM eval_cases WHERE question IS NOT NULL"""
 
@@ -160,11 +170,18 @@ def sql_bad(n: str) -> str:
 ORACLE = {
     "normalized_text": f"SELECT id, {_tidy(_nfkc('text'))} AS text FROM chunks",
     "line_clean": f"SELECT id, CAST(len(l) AS INTEGER) AS n_lines, array_to_string(l, chr(10)) AS text FROM ({_LINES})",
-    "paragraph_join": f"""SELECT id, array_to_string(list_transform(range(1, len(l) + 1), lambda i: concat(CASE WHEN i > 1 AND ({_HEAD.format('l[i]')} OR {_HEAD.format('l[i - 1]')} OR regexp_matches(l[i - 1], '{chunking.END_OF_PARAGRAPH}')) THEN chr(10) ELSE '' END, l[i])), '') AS text FROM ({_LINES})""",
+    "paragraph_join": f"SELECT id, {_PARAGRAPHS} AS text FROM ({_LINES})",
     "fill_forward_heading": f"""WITH h AS (SELECT id, source, page_start, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, {_STRIP}, '', 'g')), lambda x: regexp_matches(x, '{t.CHAPTER}'))[1] AS heading FROM chunks WHERE page_start IS NOT NULL)
 SELECT id, source, page_start, heading, last_value(heading IGNORE NULLS) OVER (PARTITION BY source ORDER BY page_start, id ROWS UNBOUNDED PRECEDING) AS chapter FROM h""",
     "front_matter_filter": """SELECT id, page_start FROM chunks WHERE NOT (coalesce(page_start, 0) <= 4 OR coalesce(page_start, 0) IN (6, 7) OR (coalesce(page_start, 0) <= 7 AND regexp_matches(coalesce(text, ''), 'ISBN|出版社|责任编辑|出版发行|定价|CIP')))""",
     "chunk_documents": f"SELECT doc_id, CAST(chunk_no AS INTEGER) AS chunk_no, printf('doc%06d_%05d', doc_id, chunk_no) AS chunk_id, CAST(length(p) AS INTEGER) AS char_count, md5(p) AS text_md5 FROM ({_CHUNKED})",
+    "page_chunks": f"""WITH RECURSIVE pg AS (SELECT source, page_start AS page, arg_min(text, id) AS text FROM chunks WHERE source IS NOT NULL AND page_start IS NOT NULL GROUP BY ALL),
+ln AS (SELECT source, page, {_LINES.split(" FROM chunks")[0].removeprefix("SELECT id, ")} FROM pg),
+pj AS (SELECT source, page, {_PARAGRAPHS} AS text, list_filter(l, lambda x: regexp_matches(x, '{t.CHAPTER}'))[1] AS heading FROM ln),
+hd AS (SELECT source, page, text, coalesce(last_value(heading IGNORE NULLS) OVER (PARTITION BY source ORDER BY page ROWS UNBOUNDED PRECEDING), '') AS chapter_hint FROM pj WHERE regexp_replace(text, {_STRIP}, '', 'g') <> ''),
+d AS (SELECT {{'s': source, 'p': page}} AS doc_id, regexp_replace(text, {_STRIP}, '', 'g') AS t FROM hd), {_CUT.format(limit=200, overlap=30, strip=_STRIP)},
+nm AS (SELECT source, page, chapter_hint, p, row_number() OVER (ORDER BY source, page, chunk_no) AS no FROM cut JOIN hd ON doc_id = {{'s': source, 'p': page}})
+SELECT source, page AS page_start, page AS page_end, chapter_hint, CAST(no AS INTEGER) AS chunk_no, concat(source, printf('_p%03d_%05d', page, no)) AS id, CAST(length(p) AS INTEGER) AS char_count, md5(p) AS text_md5 FROM nm""",
     "chunk_stats": f"SELECT count(*) AS chunks, CAST(sum(length(p)) AS BIGINT) AS chars, CAST(max(length(p)) AS INTEGER) AS longest, count(DISTINCT doc_id) AS docs FROM ({_CHUNKED})",
     "doc_stats": "SELECT source, count(*) AS docs, count(*) FILTER (WHERE trim(text) <> '') AS with_text, CAST(sum(length(text)) AS BIGINT) AS chars, round(avg(length(text)), 4) AS mean_chars, count(DISTINCT book_id) AS books FROM documents GROUP BY source",
     "page_latest": "SELECT book_id, page_start, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY book_id, page_start ORDER BY added_at DESC, doc_id DESC) AS r FROM documents WHERE added_at IS NOT NULL) WHERE r = 1",
