@@ -38,9 +38,17 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+#: An input of up to so many bytes may be shuffled to give every core a share.
+SPREAD_BYTES = 1 << 30
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give every core a share when the input has fewer splits than cores (one small file); a no-op on large inputs."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    """Give every core a share of a small input that has fewer splits than cores (one small file). A larger input is read
+    in its own splits and never shuffled; with many cores, lower spark.sql.files.maxPartitionBytes instead."""
+    spark = df.sparkSession
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > SPREAD_BYTES:
+        return df
+    cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores, key) if df.rdd.getNumPartitions() * 2 < cores else df
 
 

@@ -54,49 +54,51 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-#: Query vectors are sent to the data in blocks of so many, and meet so many items at a time.
+#: Query vectors meet the items in blocks of so many, and so many items at a time.
 BLOCK, ITEMS = 512, 2048
+#: Bytes of query vectors that are sent to the data at once; more take another pass over the items.
+AT_ONCE = 256 << 20
 
 
 def nearest(items: DataFrame, item: str, queries: DataFrame, query: str, k: int, without_self: bool = False) -> DataFrame:
     """(query, item, score, rank): the k items of greatest cosine for each query, ties by item.
 
-    queries, a stated set, is read in blocks of BLOCK vectors; each block meets all items once, as a matrix product, and
-    a partition passes on only its own k best for each query."""
+    queries is a stated set: its vectors are sent to the data, all in one pass unless they exceed AT_ONCE bytes. A block of
+    queries meets a block of items as a matrix product, and a partition passes on only its own k best for each query."""
     spark = items.sparkSession
-    out = None
-    total = queries.count()
-    blocks = max(1, -(-total // BLOCK))
+    queries = queries.where("embedding is not null")
+    first = queries.select(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    passes = max(1, -(-first[0] * (first[1] or 0) * 8 // AT_ONCE))
     kinds = {c: df.schema[c].dataType.simpleString() for c, df in ((query, queries), (item, items))}
-    for b in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == b) if blocks > 1 else queries
-        rows = own.where("embedding is not null").select(query, "embedding").collect()
-        if not rows:
-            continue
-        ids, m = [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64)
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        shared = spark.sparkContext.broadcast((ids, m))
-        keep = k + 1 if without_self else k
+    keep = k + 1 if without_self else k
+    out = None
+    for p in range(passes):
+        own = queries.where(F.pmod(F.xxhash64(query), F.lit(passes)) == p) if passes > 1 else queries
+        rows = own.select(query, "embedding").collect()
+        blocks = []
+        for at in range(0, len(rows), BLOCK):
+            m = np.array([r[1] for r in rows[at : at + BLOCK]], dtype=np.float64)
+            blocks.append(([r[0] for r in rows[at : at + BLOCK]], m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)))
+        shared = spark.sparkContext.broadcast(blocks)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, m = shared.value
-            top_s, top_i = np.empty((len(ids), 0)), np.empty((len(ids), 0), dtype=object)
+            blocks = shared.value
+            tops = [(np.empty((len(ids), 0)), np.empty((len(ids), 0), dtype=object)) for ids, _ in blocks]
             for batch in batches:
                 batch = batch.filter(batch.column(1).is_valid())
                 for at in range(0, batch.num_rows, ITEMS):
                     some = batch.slice(at, ITEMS)
                     v = np.array(some.column(1).to_pylist(), dtype=np.float64)
                     v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                    top_s, top_i = best_of(top_s, top_i, np.round(m @ v.T, 9), np.array(some.column(0).to_pylist(), dtype=object), keep)
-            n = top_s.shape[1]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x for x in ids for _ in range(n)], batch_type(kinds[query])), pa.array(top_i.ravel().tolist(), batch_type(kinds[item])), pa.array(top_s.ravel(), pa.float64())], names=[query, item, "score"]
-            )
+                    keys = np.array(some.column(0).to_pylist(), dtype=object)
+                    tops = [best_of(*top, np.round(m @ v.T, 9), keys, keep) for top, (_, m) in zip(tops, blocks)]
+            for (ids, _), (s, i) in zip(blocks, tops):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x for x in ids for _ in range(s.shape[1])], batch_type(kinds[query])), pa.array(i.ravel().tolist(), batch_type(kinds[item])), pa.array(s.ravel(), pa.float64())], names=[query, item, "score"]
+                )
 
         part = items.select(item, "embedding").mapInArrow(run, f"`{query}` {kinds[query]}, `{item}` {kinds[item]}, score double")
         out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = queries.select(query).crossJoin(items.select(item).limit(0)).withColumn("score", F.lit(0.0))
     if without_self:
         out = out.where(F.col(query) != F.col(item))
     return ranked(out, query, [F.desc("score"), F.asc(item)], k)

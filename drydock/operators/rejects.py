@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..common import durable, salted_join
+from ..common import durable, salted_join, small
 
 #: A dictionary of at most so many invalid values is broadcast; a larger one is joined by shuffle with salted hot values.
 BROADCAST_VALUES = 100_000
@@ -174,4 +174,5 @@ def usable(rows: DataFrame, shape: Shape = EXTRACTION) -> DataFrame:
     """(line_id, object): the usable rows with their object as compact JSON."""
     checked = durable(structure(rows.select("line_id", "raw_response"), shape))
     sound = checked.where("reason_code is null").select("line_id", "object")
-    return sound.join(_bad_values(checked, shape).select("line_id"), "line_id", "left_anti")
+    # few rows hold an invalid value as a rule, so the objects stay where they are
+    return sound.join(small(durable(_bad_values(checked, shape).select("line_id"))), "line_id", "left_anti")

@@ -63,8 +63,14 @@ def _echo():
 def extraction_run(spark, d):
     """Prompt, call, read: the loop with a deterministic client in place of the model."""
     c = spread(table(spark, d, "chunks", "id", "page_start", "chapter_hint", "text"), "id")
-    called = extraction.call(extraction.prompts(c, TEMPLATE), _echo)
-    return called.select("id", extraction.read_answer(F.col("raw_response")).isNotNull().alias("ok"), extraction.failed(F.col("error")).alias("failed"))
+    return extraction.run(c, TEMPLATE, _echo, first_wait=0.0).select("id", F.col("a").isNotNull().alias("ok"), extraction.failed(F.col("error")).alias("failed"))
+
+
+def extraction_minimal(spark, d):
+    """The chunks with a failed row in the log once more, with less text: what came of it."""
+    log = _log(spark, d)
+    again = extraction.to_retry(table(spark, d, "chunks", "id", "page_start", "chapter_hint", "text"), log)
+    return extraction.run(again, TEMPLATE, _echo, "minimal", 0.0).select("id", F.col("a").isNotNull().alias("ok"), extraction.failed(F.col("error")).alias("failed"))
 
 
 def json_repair(spark, d):
@@ -73,7 +79,7 @@ def json_repair(spark, d):
     return log.select("line_id", a.alias("a")).select("line_id", F.col("a").isNotNull().alias("readable"), F.coalesce(F.size("a.entities"), F.lit(0)).alias("n_entities"), F.coalesce(F.size("a.triples"), F.lit(0)).alias("n_triples"))
 
 
-QUERIES = {f.__name__: f for f in (compact_latest_success, compaction_stats, resume_pending, resume_pending_any, retry_failed, extraction_prompts, extraction_run, json_repair)}
+QUERIES = {f.__name__: f for f in (compact_latest_success, compaction_stats, resume_pending, resume_pending_any, retry_failed, extraction_prompts, extraction_run, extraction_minimal, json_repair)}
 
 _LAST = """SELECT source_chunk, line_id, source_page, error, CAST(coalesce(len(entities), 0) AS INTEGER) AS n_entities, CAST(coalesce(len(triples), 0) AS INTEGER) AS n_triples
 FROM (SELECT *, row_number() OVER (PARTITION BY source_chunk ORDER BY (coalesce(error, '') = '') DESC, line_id DESC) AS r FROM sample_raw_extractions) WHERE r = 1"""
@@ -87,4 +93,6 @@ ORACLE = {
     "extraction_prompts": f"""SELECT id, CAST(length(p) AS INTEGER) AS chars, md5(p) AS prompt_md5 FROM (SELECT id, concat('{TEMPLATE}', chr(10), 'source_chunk: ', id, chr(10), 'source_page: ', coalesce(CAST(page_start AS VARCHAR), ''), chr(10), 'chapter_hint: ', coalesce(chapter_hint, ''), chr(10), 'text:', chr(10),
   CASE WHEN length(text) > 500 THEN concat(substring(text, 1, 500), chr(10), '[text cut]') ELSE coalesce(text, '') END) AS p FROM chunks)""",
     "extraction_run": "SELECT id, NOT contains(coalesce(substring(text, 1, 500), ''), '注意') AND NOT contains(coalesce(chapter_hint, ''), '注意') AS ok, contains(coalesce(substring(text, 1, 500), ''), '注意') OR contains(coalesce(chapter_hint, ''), '注意') AS failed FROM chunks",
+    "extraction_minimal": """SELECT id, NOT bad AS ok, bad AS failed FROM (SELECT id, contains(coalesce(substring(text, 1, 220), ''), '注意') OR contains(coalesce(chapter_hint, ''), '注意') AS bad FROM chunks c
+  WHERE EXISTS (SELECT 1 FROM sample_raw_extractions r WHERE r.source_chunk = c.id AND coalesce(r.error, '') <> ''))""",
 }
