@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import json
 import time
 from collections.abc import Callable
@@ -46,6 +47,25 @@ def run(steps: list[tuple[str, Callable]]) -> tuple[dict, list[Step]]:
     return results, trace
 
 
+class Cache:
+    """Answers to the last `size` different requests of an interactive session; the one that came first goes first. A
+    batch needs none: equal requests are one query there."""
+
+    def __init__(self, size: int = 128) -> None:
+        self.size = size
+        self.kept: dict = {}
+
+    def answer(self, request, work: Callable) -> tuple[object, bool]:
+        """(the answer to the request, whether it was kept)."""
+        if request in self.kept:
+            return copy.deepcopy(self.kept[request]), True
+        got = work(request)
+        if len(self.kept) >= self.size:
+            self.kept.pop(next(iter(self.kept)))
+        self.kept[request] = copy.deepcopy(got)
+        return got, False
+
+
 def first_rows(df: DataFrame, n: int, *order: Column) -> DataFrame:
     """The first n rows along the order: each task passes on its own first n only."""
     return df.orderBy(*order).limit(n)

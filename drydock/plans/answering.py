@@ -44,6 +44,11 @@ def entity_link(spark, d):
     return retrieval.linked(_questions(spark, d), _entities(spark, d))
 
 
+def entity_link_exact(spark, d):
+    """The links that need no fuzzy matching: names in the question, else names that hold a part of it."""
+    return retrieval.linked(_questions(spark, d), _entities(spark, d)).where("tier < 3").select("query_id", "id", "tier", "rank")
+
+
 def keyword_search_topk(spark, d):
     return retrieval.keyword_hits(_questions(spark, d), _chunks(spark, d), 50)
 
@@ -210,7 +215,7 @@ def ask_routes(spark, d):
     return _asked(spark, d).select("query_id", "route", "mode", "intent", "supported", "agent_steps", "cache_hit")
 
 
-QUERIES = {f.__name__: f for f in (entity_link_contains, entity_link_keyword, entity_link_fuzzy, entity_link, keyword_search_topk, page_hint_search, vector_topk, chunk_vector_topk, rrf_fusion, page_neighbor_expand, take_unique, hybrid_retrieval, route_questions, route_documents, graph_search, graph_search_mentions, context_build, ask, ask_routes)}
+QUERIES = {f.__name__: f for f in (entity_link_contains, entity_link_keyword, entity_link_fuzzy, entity_link, entity_link_exact, keyword_search_topk, page_hint_search, vector_topk, chunk_vector_topk, rrf_fusion, page_neighbor_expand, take_unique, hybrid_retrieval, route_questions, route_documents, graph_search, graph_search_mentions, context_build, ask, ask_routes)}
 
 _ENT = "ent AS (SELECT id, min(name) AS name, min(type) AS type FROM (SELECT head_id AS id, head AS name, head_type AS type FROM relations UNION ALL SELECT tail_id, tail, tail_type FROM relations) WHERE id IS NOT NULL AND name IS NOT NULL GROUP BY id)"
 _Q = "q AS (SELECT id AS query_id, question FROM eval_cases WHERE question IS NOT NULL)"
@@ -265,6 +270,12 @@ _KNOWN = """kn AS (SELECT head_id, relation, tail_id, min(head) AS head, min(tai
   coalesce(nullif(max(confidence), 0), 0.75) AS score, md5(concat_ws('|', head_id, relation, tail_id)) AS edge_id FROM relations WHERE head_id IS NOT NULL AND tail_id IS NOT NULL GROUP BY head_id, relation, tail_id)"""
 ORACLE = {
     "entity_link_contains": f"WITH {_ENT}, {_Q}, r AS (SELECT query_id, id, name, row_number() OVER (PARTITION BY query_id ORDER BY length(name) DESC, name, id) AS rank FROM q JOIN ent ON length(name) >= 2 AND contains(question, name)) SELECT query_id, id, name, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 8",
+    "entity_link_exact": f"""WITH {_ENT}, {_Q}, a AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY length(name) DESC, name, id) AS rank FROM q JOIN ent ON length(name) >= 2 AND contains(question, name)),
+w AS (SELECT query_id, list_filter(regexp_split_to_array(translate(question, '？，', '  '), '\\s+'), lambda x: length(x) >= 2)[1:5] AS ws FROM q WHERE query_id NOT IN (SELECT query_id FROM a)),
+p AS (SELECT query_id, k, ws[k] AS term FROM (SELECT query_id, ws, unnest(range(1, len(ws) + 1)) AS k FROM w)),
+h AS (SELECT query_id, k, id, row_number() OVER (PARTITION BY query_id, k ORDER BY length(name), name, id) AS r FROM p JOIN ent ON contains(name, term)),
+b AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY min((k, r)), id) AS rank FROM h WHERE r <= 3 GROUP BY query_id, id)
+SELECT query_id, id, 1 AS tier, CAST(rank AS INTEGER) AS rank FROM a WHERE rank <= 8 UNION ALL SELECT query_id, id, 2, CAST(rank AS INTEGER) FROM b WHERE rank <= 8""",
     "entity_link_keyword": f"WITH {_CONTAINING} SELECT query_id, pos, term, id, name, CAST(rank AS INTEGER) AS rank FROM kh WHERE rank <= 3",
     "keyword_search_topk": f"WITH {_KEY} SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM kw",
     "page_hint_search": f"WITH {_Q}, {_HINT} SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM hint",

@@ -65,12 +65,12 @@ def metadata_summary(spark, d):
 
 
 def vector_upsert(spark, d):
-    """Points of all chunks, then of late chunks again with another text: the later one stays."""
+    """Points of all chunks, then of some chunks (drawn by hash) again with another text: the later one stays."""
     c = table(spark, d, "chunks", "id", "text")
     from ..functions.text import uuid5_url
 
     old = c.select(uuid5_url(F.col("id")).alias("point_id"), "id", F.length("text").alias("n"), F.lit(0).alias("turn"))
-    new = old.where("startswith(id, 'hullrd02')").withColumn("n", F.col("n") + 1).withColumn("turn", F.lit(1))
+    new = old.where("startswith(md5(id), '0')").withColumn("n", F.col("n") + 1).withColumn("turn", F.lit(1))
     return files.upserted(old, new, "point_id", F.col("turn")).select("point_id", "id", "n", "turn")
 
 
@@ -138,7 +138,7 @@ ORACLE = {
     "rewrite_compacted": f"SELECT source_chunk, line_id FROM ({_STATE})",
     "markdown_pages": "SELECT source, CAST(sum(4 + len(string_split(coalesce(text, ''), chr(10))) - 1) AS BIGINT) AS lines, count(*) AS pages FROM chunks WHERE page_start IS NOT NULL GROUP BY source",
     "metadata_summary": "SELECT count(*) AS chunks, count(DISTINCT source) AS books, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) FILTER (WHERE char_count IS NULL) AS without_count, max(page_start) AS last_page FROM chunks",
-    "vector_upsert": f"SELECT {_U} AS point_id, id, CAST(length(text) + starts_with(id, 'hullrd02')::INTEGER AS INTEGER) AS n, starts_with(id, 'hullrd02')::INTEGER AS turn FROM (SELECT *, {_H} FROM chunks)",
+    "vector_upsert": f"SELECT {_U} AS point_id, id, CAST(length(text) + starts_with(md5(id), '0')::INTEGER AS INTEGER) AS n, starts_with(md5(id), '0')::INTEGER AS turn FROM (SELECT *, {_H} FROM chunks)",
     "vector_points": f"SELECT {_U} AS point_id, id AS chunk_id, page_start, CAST(coalesce(char_count, length(text)) AS INTEGER) AS char_count, 384 AS dim FROM (SELECT *, {_H} FROM chunks)",
     "unique_check": "SELECT 'chunks' AS what, id AS key, count(*) AS n FROM chunks GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'log', source_chunk, count(*) FROM sample_raw_extractions GROUP BY source_chunk HAVING count(*) > 1",
     "stream_upsert_latest": _STATE,
