@@ -26,8 +26,8 @@ def test_graph_search_walks_two_hops_and_falls_back(spark, tmp_path):
     ids = {x: f"n{i}" for i, x in enumerate(names)}
     chain = [("船体分段", "甲板"), ("甲板", "舱壁"), ("舱壁", "舷墙"), ("肋骨框架结构", "合拢")] + [(f"船体分段{k:02d}", f"件{k}号") for k in range(5)]
     i = lambda x: ids.get(x, x)
-    schema = "head_id string, tail_id string, head string, head_type string, relation string, tail string, tail_type string, source_pages array<int>, confidence double"
-    spark.createDataFrame([(i(a), i(b), a, "T", "contains", b, "T", [1], 0.9) for a, b in chain], schema).write.parquet(f"{tmp_path}/relations.parquet")
+    schema = "head_id string, tail_id string, head string, head_type string, relation string, tail string, tail_type string, source_pages array<int>, confidence double, relation_zh string, evidence string"
+    spark.createDataFrame([(i(a), i(b), a, "T", "contains", b, "T", [1], 0.9, "包含", None) for a, b in chain], schema).write.parquet(f"{tmp_path}/relations.parquet")
     spark.createDataFrame([("q1", ["船体分段", None]), ("q2", ["肋骨框架结溝"]), ("q3", None)], "id string, expected_keywords array<string>").write.parquet(f"{tmp_path}/eval_cases.parquet")
     got = {(r["query_id"], r["head"], r["tail"]): r["hops"] for r in answering.graph_search(spark, str(tmp_path)).collect()}
     want = {("q1", "船体分段", "甲板"): 1, ("q1", "甲板", "舱壁"): 2, ("q2", "肋骨框架结构", "合拢"): 1}
