@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import chain
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -11,29 +14,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DIM = 384
-_seen: dict[str, tuple[int, float]] = {}
 
 
-def _slot(token: str, dim: int) -> tuple[int, float]:
-    """The first four digest bytes, lowest first, choose the place; the fifth the sign."""
-    got = _seen.get(token)
-    if got is None:
+class _Slots(dict):
+    """token -> twice its place, and 1 more if its sign is negative: the first four digest bytes, lowest first, choose the
+    place; the fifth the sign."""
+
+    def __init__(self, dim: int) -> None:
+        super().__init__()
+        self.dim, self.numbers = dim, list(range(2 * dim))
+
+    def __missing__(self, token: str) -> int:
         d = hashlib.md5(token.encode("utf-8", "surrogatepass")).digest()
-        got = (int.from_bytes(d[:4], "little"), 1.0 if d[4] % 2 == 0 else -1.0)
-        if len(_seen) > 500_000:
-            _seen.clear()
-        _seen[token] = got
-    return got[0] % dim, got[1]
+        if len(self) > 300_000:
+            self.clear()
+        # the number is one of a list, so that a token seen costs no number of its own
+        got = self[token] = self.numbers[2 * (int.from_bytes(d[:4], "little") % self.dim) + d[4] % 2]
+        return got
+
+
+_slots: dict[int, _Slots] = {}
 
 
 def embed(text: str | None, dim: int = DIM) -> np.ndarray:
     """Signed counts of the characters and pairs of characters of a text without blanks, of length 1 (0 for no text)."""
     chars = "".join((text or "").split())
-    v = np.zeros(dim)
-    slots = [_slot(t, dim) for t in [*chars, *(chars[i : i + 2] for i in range(len(chars) - 1))]]
-    if slots:
-        at, sign = zip(*slots)
-        np.add.at(v, list(at), sign)
+    slot = _slots[dim] if dim in _slots else _slots.setdefault(dim, _Slots(dim))
+    n = len(chars)
+    at = np.fromiter(map(slot.__getitem__, chain(chars, map(add, chars, chars[1:]))), np.int64, max(0, 2 * n - 1))
+    times = np.bincount(at, minlength=2 * dim)
+    v = (times[0::2] - times[1::2]).astype(np.float64)
     n = np.sqrt(v @ v)
     return v / n if n else v
 
@@ -54,17 +64,18 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-#: Query vectors meet the items in blocks of so many, and so many items at a time.
-BLOCK, ITEMS = 512, 2048
+#: Query vectors meet the items in blocks of so many, and so many items at a time; fewer at first, while all are kept.
+BLOCK, ITEMS, FIRST = 512, 2048, 128
 #: Bytes of query vectors that are sent to the data at once; more take another pass over the items.
-AT_ONCE = 256 << 20
+AT_ONCE = 64 << 20
 
 
-def nearest(items: DataFrame, item: str, queries: DataFrame, query: str, k: int, without_self: bool = False) -> DataFrame:
+def nearest(items: DataFrame, item: str, queries: DataFrame, query: str, k: int, without_self: bool = False, text: str | None = None) -> DataFrame:
     """(query, item, score, rank): the k items of greatest cosine for each query, ties by item.
 
     queries is a stated set: its vectors are sent to the data, all in one pass unless they exceed AT_ONCE bytes. A block of
-    queries meets a block of items as a matrix product, and a partition passes on only its own k best for each query."""
+    queries meets a block of items as a matrix product, and a partition passes on only its own k best for each query.
+    text: a column of the items that is embedded where it is met, in place of their vectors."""
     spark = items.sparkSession
     queries = queries.where("embedding is not null")
     first = queries.select(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
@@ -78,26 +89,32 @@ def nearest(items: DataFrame, item: str, queries: DataFrame, query: str, k: int,
         blocks = []
         for at in range(0, len(rows), BLOCK):
             m = np.array([r[1] for r in rows[at : at + BLOCK]], dtype=np.float64)
-            blocks.append(([r[0] for r in rows[at : at + BLOCK]], m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)))
-        shared = spark.sparkContext.broadcast(blocks)
+            blocks.append(m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300))
+        shared = spark.sparkContext.broadcast(([r[0] for r in rows], blocks))
+        del rows, blocks
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            blocks = shared.value
-            tops = [(np.empty((len(ids), 0)), np.empty((len(ids), 0), dtype=object)) for ids, _ in blocks]
+            ids, blocks = shared.value
+            best, step = Best(len(ids), keep), FIRST
             for batch in batches:
-                batch = batch.filter(batch.column(1).is_valid())
-                for at in range(0, batch.num_rows, ITEMS):
-                    some = batch.slice(at, ITEMS)
-                    v = np.array(some.column(1).to_pylist(), dtype=np.float64)
+                batch, at = batch if text else batch.filter(batch.column(1).is_valid()), 0
+                while at < batch.num_rows:
+                    some = batch.slice(at, step)
+                    at, step = at + step, min(ITEMS, 2 * step)
+                    v = np.array([embed(x) for x in some.column(1).to_pylist()] if text else some.column(1).to_pylist(), dtype=np.float64)
                     v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                    keys = np.array(some.column(0).to_pylist(), dtype=object)
-                    tops = [best_of(*top, np.round(m @ v.T, 9), keys, keep) for top, (_, m) in zip(tops, blocks)]
-            for (ids, _), (s, i) in zip(blocks, tops):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x for x in ids for _ in range(s.shape[1])], batch_type(kinds[query])), pa.array(i.ravel().tolist(), batch_type(kinds[item])), pa.array(s.ravel(), pa.float64())], names=[query, item, "score"]
-                )
-
-        part = items.select(item, "embedding").mapInArrow(run, f"`{query}` {kinds[query]}, `{item}` {kinds[item]}, score double")
+                    where = best.named(some.column(0).to_pylist())
+                    off = 0
+                    for m in blocks:
+                        s = m @ v.T
+                        r, c = np.nonzero(s >= best.floor[off : off + len(m), None] - 1e-9)
+                        best.add(r + off, np.round(s[r, c], 9), c, where)
+                        off += len(m)
+                    best.settle()
+            for r, names, s in best.taken():
+                yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in r.tolist()], batch_type(kinds[query])), pa.array(names, batch_type(kinds[item])), pa.array(s)], names=[query, item, "score"])
+
+        part = items.select(item, text or "embedding").mapInArrow(run, f"`{query}` {kinds[query]}, `{item}` {kinds[item]}, score double")
         out = part if out is None else out.unionByName(part)
     if without_self:
         out = out.where(F.col(query) != F.col(item))
@@ -108,22 +125,81 @@ def batch_type(kind: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
 
 
-def best_of(top_s: np.ndarray, top_i: np.ndarray, s: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of each row of (scores, keys) so far and of new scores, whose columns have these keys; of equal scores
-    at the edge the smaller keys."""
-    old = top_s.shape[1]
-    s = np.concatenate([top_s, s], axis=1)
-    if s.shape[1] <= k:
-        return s, np.concatenate([top_i, np.broadcast_to(keys, (len(s), len(keys)))], axis=1)
-    pick = np.argpartition(-s, k - 1, axis=1)[:, :k]
-    cut = np.take_along_axis(s, pick, 1).min(axis=1)
-    name = lambda r, j: top_i[r, j] if j < old else keys[j - old]
-    for r in np.flatnonzero((s >= cut[:, None]).sum(axis=1) > k):
-        pick[r] = sorted(np.flatnonzero(s[r] >= cut[r]).tolist(), key=lambda j: (-s[r, j], name(r, j)))[:k]
-    chosen = keys[np.maximum(pick - old, 0)]
-    if old:
-        chosen = np.where(pick < old, np.take_along_axis(top_i, np.minimum(pick, old - 1), 1), chosen)
-    return np.take_along_axis(s, pick, 1), chosen
+class Best:
+    """The k best names of each of n rows, by score, ties by name: fed in pieces, kept in pieces until there are some
+    2 * n * k, then cut to k a row. floor has the k-th score of each row, so that pieces can be cut before they are fed."""
+
+    #: Entries that are gathered before a cut, at least; entries handed out at once.
+    LEAST, OUT = 1 << 19, 1 << 16
+
+    def __init__(self, n: int, k: int | None) -> None:
+        self.k, self.most = k, max(self.LEAST, 2 * n * (k or 0))
+        #: of the k-th entry of each row: its score, and the place of its name among the names
+        self.floor, self.last = np.full(n, -np.inf), np.zeros(n, np.int64)
+        self.names: list = []
+        self.sorted, self.held = 0, 0
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    @staticmethod
+    def _order(name: object) -> tuple:
+        return name is not None, name
+
+    def named(self, names: list) -> tuple[np.ndarray, np.ndarray]:
+        """Makes the names known until the next cut; their numbers, and their places among those of the last cut."""
+        at = np.arange(len(self.names), len(self.names) + len(names))
+        self.names += names
+        return at, np.array([bisect_left(self.names, self._order(x), 0, self.sorted, key=self._order) for x in names], np.int64)
+
+    def add(self, rows: np.ndarray, scores: np.ndarray, which: np.ndarray | int, where: tuple[np.ndarray, np.ndarray]) -> None:
+        """which: of the names given to named(), whose answer is where."""
+        if not len(rows):
+            return
+        at, place = where[0][which], where[1][which]
+        floor = self.floor[rows]
+        ok = (scores > floor) | ((scores == floor) & (place <= self.last[rows]))
+        rows = rows[ok]
+        self.parts.append((rows.astype(np.int32), (at[ok] if np.ndim(at) else np.full(len(rows), at)).astype(np.int32), scores[ok]))
+        self.held += len(rows)
+
+    def settle(self) -> None:
+        """To be called when no names given are waiting to be added."""
+        if self.k is not None and (self.held > self.most or len(self.names) > self.sorted + self.LEAST):
+            self.cut()
+
+    def cut(self) -> None:
+        rows, at, s = self._all()
+        used, at = np.unique(at, return_inverse=True)
+        names = [self.names[i] for i in used.tolist()]
+        order = sorted(range(len(names)), key=lambda j: self._order(names[j]))
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order))
+        self.names, at = [names[j] for j in order], place[at]
+        self.sorted = len(order)
+        o = np.lexsort((at, -s, rows))
+        rows, at, s = rows[o], at[o], s[o]
+        if self.k is not None and len(rows):
+            start = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+            nth = np.arange(len(rows)) - np.repeat(start, np.diff(np.append(start, len(rows))))
+            full = nth == self.k - 1
+            self.floor[rows[full]] = s[full]
+            keep = nth < self.k
+            rows, at, s = rows[keep], at[keep], s[keep]
+            self.last[:] = 0
+            full = nth[keep] == self.k - 1
+            self.last[rows[full]] = at[full]
+        self.parts, self.held = [(rows, at, s)], len(rows)
+
+    def _all(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        none = np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0)
+        return tuple(np.concatenate([x[j] for x in (none, *self.parts)]) for j in range(3))
+
+    def taken(self) -> Iterator[tuple[np.ndarray, list, np.ndarray]]:
+        """(rows, names, scores), all there are, in pieces; nothing is left."""
+        self.cut()
+        (rows, at, s), names = self.parts[0], self.names
+        self.parts, self.names, self.sorted, self.held = [], [], 0, 0
+        for i in range(0, len(rows), self.OUT):
+            yield rows[i : i + self.OUT], [names[j] for j in at[i : i + self.OUT].tolist()], s[i : i + self.OUT]
 
 
 def ranked(df: DataFrame, key: str, order: list[Column], k: int | None = None) -> DataFrame:

@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from operator import add
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..common import SMALL, durable, small
+from ..common import durable, small
 from ..functions import text as t
 from ..functions.fuzzy import CONTAINED, LETTERS, fuzzy_scores
-from ..functions.vectors import ranked
+from ..functions.vectors import Best, embedded, nearest, ranked
 
 RRF_K = 60
+#: Chunks of the pages named in a question that answer it (fixed value).
+HINTS = 3
 #: Weight of each list in the fusion, in the order of precedence (fixed values).
 WEIGHTS = {"page_hint": 2.5, "vector": 1.0, "keyword": 1.35}
 
@@ -105,8 +109,8 @@ def search_seeds(mentions: DataFrame, entities: DataFrame, limit: int = 10) -> D
     return one.unionByName(fuzzy(rest, entities, limit).select("query_id", "id", "name", F.lit(2).alias("tier")))
 
 
-def terms_of(questions: DataFrame) -> DataFrame:
-    return questions.select("query_id", F.explode(t.query_terms(F.col("question"))).alias("term"))
+#: Different questions that are sent to the chunks at once; more take another pass.
+ASKED = 1 << 15
 
 
 def keyword_hits(questions: DataFrame, chunks: DataFrame, k: int | None = 50) -> DataFrame:
@@ -114,77 +118,158 @@ def keyword_hits(questions: DataFrame, chunks: DataFrame, k: int | None = 50) ->
     time; one of 4 characters or more that does not, its length times the share of its pairs met, from a half on; 5 more
     if the chunk's page number stands in the question.
 
-    The different terms go to the chunks in slices of SMALL as an index from pairs of characters to terms; a chunk looks
-    up its own pairs, and only terms that share enough of them are counted. Texts are never shuffled."""
-    terms = terms_of(questions)
-    by_term = None
-    for part in _term_slices(terms):
-        one = _term_scores(chunks, part)
-        by_term = one if by_term is None else by_term.unionByName(one)
-    scores = by_term.join(small(terms), "term").select("query_id", "chunk_id", "v")
-    out = scores.unionByName(_page_bonus(questions.join(terms.select("query_id").distinct(), "query_id", "left_semi"), chunks)).groupBy("query_id", "chunk_id").agg(F.round(F.sum("v"), 4).alias("score"))
-    return ranked(out, "query_id", [F.desc("score"), F.asc("chunk_id")], k)
-
-
-def _term_slices(terms: DataFrame) -> list[list[str]]:
-    different = terms.select("term").distinct()
-    parts = max(1, -(-different.count() // SMALL))
-    return [[r[0] for r in different.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == k).collect()] for k in range(parts)]
-
-
-def term_values(body: str, index: dict[str, list[str]], sizes: dict[str, int]) -> dict[str, float]:
-    """The score of each term for a text, without those of 0. index: pair of characters -> terms; sizes: different pairs."""
-    met: dict[str, int] = {}
-    for g in {body[i : i + 2] for i in range(len(body) - 1)} & index.keys():
-        for term in index[g]:
-            met[term] = met.get(term, 0) + 1
-    out = {}
-    for term, m in met.items():
-        times = body.count(term) if m == sizes[term] else 0
-        if times:
-            out[term] = (8.0 + math.log1p(len(term))) * times
-        elif len(term) >= 4 and 2 * m >= sizes[term]:
-            out[term] = m / sizes[term] * len(term)
-    return out
-
-
-def _term_scores(chunks: DataFrame, terms: list[str]) -> DataFrame:
-    """(chunk_id, term, v) with v > 0."""
-    index: dict[str, list[str]] = {}
-    sizes: dict[str, int] = {}
-    for term in sorted(terms):
-        grams = {term[i : i + 2] for i in range(len(term) - 1)}
-        sizes[term] = len(grams)
-        for g in grams:
-            index.setdefault(g, []).append(term)
-    shared = chunks.sparkSession.sparkContext.broadcast((index, sizes))
+    Questions of the same terms and numbers are one. They go to the chunks, ASKED at a time, as an index from pairs of
+    characters to terms and from terms to questions; a chunk looks up its own pairs, only terms that share enough of them
+    are counted, and a partition passes on only its own k best for each question. Texts are not shuffled, but for those of
+    chunks that share an id and so are one hit."""
+    runs = F.regexp_extract_all("question", F.lit("[0-9]+"), 0)
+    parts = F.flatten(F.transform(runs, lambda r: F.flatten(F.transform(F.sequence(F.lit(1), F.length(r)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.length(r) - i + 1, F.lit(9))), lambda n: F.substring(r, i, n))))))
+    own = questions.select("query_id", t.query_terms(F.col("question")).alias("terms"), F.array_distinct(parts).alias("pages"))
+    every = lambda c: F.sort_array(F.flatten(F.collect_list(c))).alias(c)
+    own = own.groupBy("query_id").agg(every("terms"), every("pages")).where(F.size("terms") > 0)
+    own = durable(own.withColumn("asked", F.md5(F.to_json(F.struct("terms", "pages")))))
+    asked = durable(own.groupBy("asked").agg(F.first("terms").alias("terms"), F.first("pages").alias("pages")))
+    body = F.concat_ws(" ", F.coalesce("chapter_hint", F.lit("")), F.coalesce("text", F.lit(""))).alias("body")
+    texts = _one_by_one(chunks.select("chunk_id", body, F.col("page_start").cast("string").alias("page")))
+    passes = max(1, -(-asked.count() // ASKED))
+    out = None
+    for p in range(passes):
+        rows = asked.where(F.pmod(F.xxhash64("asked"), F.lit(passes)) == p).collect()
+        for part in texts:
+            one = _best_chunks(part, rows, k)
+            out = one if out is None else out.unionByName(one)
+    hits = ranked(out, "asked", [F.desc("score"), F.asc("chunk_id")], k)
+    return hits.join(small(own.select("query_id", "asked")), "asked").select("query_id", "chunk_id", "score", "rank")
+
+
+def _one_by_one(texts: DataFrame) -> list[DataFrame]:
+    """The rows of texts: those whose chunk_id is of one row, and (if there are any) the others with equal ids in a row."""
+    twice = durable(texts.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("chunk_id").alias("_id")))
+    if twice.isEmpty():
+        return [texts]
+    met = small(twice)
+    same = F.col("chunk_id").eqNullSafe(F.col("_id"))
+    return [texts.join(met, same, "left_anti"), texts.join(met, same, "left_semi").repartition("chunk_id").sortWithinPartitions("chunk_id")]
+
+
+class TermIndex:
+    """Questions by the terms they have, to score texts for all of them at once."""
+
+    def __init__(self, asked: list[tuple[list[str], list[str]]]) -> None:
+        """asked: the terms and the page numbers of each question; what is repeated there counts as often."""
+        number: dict[str, int] = {}
+        owners: list[list[int]] = []
+        grams: dict[str, list[int]] = {}
+        pages: dict[str, list[int]] = {}
+        sizes: list[int] = []
+        for i, (terms, numbers) in enumerate(asked):
+            for term in terms:
+                if (at := number.setdefault(term, len(number))) == len(owners):
+                    owners.append([])
+                    pairs = {term[j : j + 2] for j in range(len(term) - 1)}
+                    sizes.append(len(pairs))
+                    for g in pairs:
+                        grams.setdefault(g, []).append(at)
+                owners[at].append(i)
+            for page in numbers:
+                pages.setdefault(page, []).append(i)
+        array = lambda x: np.array(x, np.int32)
+        self.n, self.terms, self.sizes = len(asked), list(number), array(sizes)
+        self.grams, self.pages, self.owners = {g: array(x) for g, x in grams.items()}, {g: array(x) for g, x in pages.items()}, [array(x) for x in owners]
+        self.times, self.pairs = array([len(x) for x in owners]), frozenset(grams)
+        #: The length of a term that counts by its pairs as well, else 0.
+        self.partial = array([len(x) if len(x) >= 4 else 0 for x in self.terms])
+        #: Pairs that a text must share with a term to be worth anything: all, or half of them for a term of 4 characters.
+        self.least = array([(m + 1) // 2 if len(term) >= 4 else m for term, m in zip(self.terms, sizes)])
+
+    def values(self, body: str) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the terms that are worth something for a text, and what they are worth."""
+        met = self.pairs.intersection(map(add, body, body[1:]))
+        if not met:
+            return np.empty(0, np.int64), np.empty(0)
+        m = np.bincount(np.concatenate([self.grams[g] for g in met]), minlength=len(self.terms))
+        at = np.flatnonzero(m >= self.least)
+        shared, pairs = m[at], self.sizes[at]
+        worth = shared / pairs * self.partial[at]
+        for j in np.flatnonzero(shared == pairs).tolist():
+            if times := body.count(term := self.terms[at[j]]):
+                worth[j] = (8.0 + math.log1p(len(term))) * times
+        return at, worth
+
+    def scores(self, body: str, page: str | None) -> np.ndarray:
+        """The score of a text for each question."""
+        at, worth = self.values(body)
+        who = [self.owners[i] for i in at.tolist()]
+        s = np.bincount(np.concatenate(who), np.repeat(worth, self.times[at]), self.n) if who else np.zeros(self.n)
+        if page in self.pages:
+            np.add.at(s, self.pages[page], 5.0)
+        return s
+
+
+def _best_chunks(texts: DataFrame, asked: list, k: int | None) -> DataFrame:
+    """(asked, chunk_id, score): the k best chunks of each question within a partition; with k None all of a score above 0.
+    Rows of equal ids that stand together are one chunk."""
+    kind = texts.schema["chunk_id"].dataType.simpleString()
+    shared = texts.sparkSession.sparkContext.broadcast([(r["asked"], r["terms"], r["pages"]) for r in asked])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, sizes = shared.value
-        for b in batches:
-            rows = [(c, term, v) for c, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for term, v in term_values(body, index, sizes).items()]
-            cols = list(zip(*rows)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.column(0).type), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64())], names=["chunk_id", "term", "v"])
+        rows = shared.value
+        index, best = TermIndex([r[1:] for r in rows]), Best(len(rows), k)
+        names = pa.array([r[0] for r in rows], pa.string())
+        before, total, type_ = None, None, None
 
-    body = chunks.select("chunk_id", F.concat_ws(" ", F.coalesce("chapter_hint", F.lit("")), F.coalesce("text", F.lit(""))).alias("body"))
-    return body.mapInArrow(run, f"chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, term string, v double")
+        def keep() -> None:
+            # what is cut here is below the k best by more than rounding can change
+            at = np.flatnonzero((total > 0) & (total >= best.floor - 1e-3))
+            best.add(at, np.round(total[at], 4), 0, best.named([before]))
+            best.settle()
 
+        def found() -> Iterator[pa.RecordBatch]:
+            for at, ids, s in best.taken():
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(at)), pa.array(ids, type_), pa.array(s)], names=["asked", "chunk_id", "score"])
 
-def _page_bonus(questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """5 for each chunk whose page number, as text, stands anywhere in the question."""
-    runs = F.regexp_extract_all("question", F.lit("[0-9]+"), 0)
-    parts = F.flatten(F.transform(runs, lambda r: F.flatten(F.transform(F.sequence(F.lit(1), F.length(r)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.length(r) - i + 1, F.lit(9))), lambda n: F.substring(r, i, n))))))
-    q = questions.select("query_id", F.explode(F.array_distinct(parts)).alias("page"))
-    c = chunks.where("page_start is not null").select("chunk_id", F.col("page_start").cast("string").alias("page"))
-    return c.join(small(q), "page").select("query_id", "chunk_id", F.lit(5.0).alias("v"))
-
-
-def page_hits(questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, score, rank): all chunks on the first three pages named in the question, page by page."""
+        for b in batches:
+            type_ = b.column(0).type
+            for i, body, page in zip(*(b.column(j).to_pylist() for j in range(3))):
+                s = index.scores(body, page)
+                if total is not None and i == before:
+                    total += s
+                    continue
+                if total is not None:
+                    keep()
+                before, total = i, s
+            if k is None:
+                yield from found()
+        if total is not None:
+            keep()
+            yield from found()
+
+    return texts.mapInArrow(run, f"asked string, chunk_id {kind}, score double")
+
+
+def vector_hits(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """(query_id, chunk_id, score, rank): the k nearest chunks of each question by hashed embedding. Each different question
+    is searched for once; a null one is as the empty one."""
+    own = durable(questions.select("query_id", F.coalesce("question", F.lit("")).alias("question")).withColumn("asked", F.md5("question")))
+    different = own.groupBy("asked").agg(F.first("question").alias("question"))
+    near = nearest(chunks, "chunk_id", embedded(different, "asked", "question"), "asked", k, text="text").drop("rank")
+    return ranked(near.join(small(own.select("query_id", "asked")), "asked").drop("asked"), "query_id", [F.desc("score"), F.asc("chunk_id")], k).select("query_id", "chunk_id", "score", "rank")
+
+
+def page_hits(questions: DataFrame, chunks: DataFrame, k: int | None = None) -> DataFrame:
+    """(query_id, chunk_id, score, rank): the chunks on the first three pages named in the question, page by page; all of
+    them, or the first k."""
     hints = questions.select("query_id", F.posexplode(t.page_hints(F.col("question"))).alias("pos", "page"))
-    met = on_pages(chunks, hints).select("query_id", "chunk_id", F.struct("pos", "chunk_id").alias("o"), F.lit(1.0).alias("score"))
+    if k is None:
+        placed = on_pages(chunks, hints)
+    else:
+        # of a page only its first 2 * k chunks can be among the first k, as under k of them were on a page before
+        hints = durable(hints)
+        first = ranked(on_pages(chunks, hints.select("page").distinct()).select("page", "chunk_id").distinct(), "page", [F.asc("chunk_id")], 2 * k)
+        placed = hints.join(first.drop("rank"), "page")
+    met = placed.select("query_id", "chunk_id", F.struct("pos", "chunk_id").alias("o"), F.lit(1.0).alias("score"))
     first = met.groupBy("query_id", "chunk_id").agg(F.min("o").alias("o"), F.max("score").alias("score"))
-    return ranked(first, "query_id", [F.asc("o")]).drop("o")
+    return ranked(first, "query_id", [F.asc("o")], k).drop("o")
 
 
 def on_pages(chunks: DataFrame, pages: DataFrame) -> DataFrame:
@@ -260,12 +345,13 @@ def hybrid(questions: DataFrame, chunks: DataFrame, vector_hits: DataFrame, top_
     most, else the best with their neighbour pages. questions may have a number of chunks of their own, as top_k."""
     own = questions.select("query_id", (F.col("top_k") if "top_k" in questions.columns else F.lit(top_k)).alias("top_k"))
     wide = depth(questions, top_k)
-    hints, words = durable(page_hits(questions, chunks)), keyword_hits(questions, chunks, wide)
+    # three hints are a whole answer; the other lists count only where there are fewer, which then are all there are
+    hints, words = durable(page_hits(questions, chunks, HINTS)), keyword_hits(questions, chunks, wide)
     within = lambda df: df.join(own, "query_id").where(F.col("rank") <= F.greatest(F.lit(50), F.col("top_k") * 8)).drop("top_k")
     every = durable(fused({"page_hint": hints, "vector": within(vector_hits), "keyword": within(words)}).join(own, "query_id"))
     hinted = hints.select("query_id").distinct()
     of_hint = take_unique([hints, every.join(hinted, "query_id", "left_semi")], 1 << 30).join(own, "query_id")
-    by_hint = of_hint.where(F.col("rank") <= F.least("top_k", F.lit(3))).withColumn("source", F.lit("page_hint"))
+    by_hint = of_hint.where(F.col("rank") <= F.least("top_k", F.lit(HINTS))).withColumn("source", F.lit("page_hint"))
     free = every.join(hinted, "query_id", "left_anti")
     return expanded(free, chunks, top_k).unionByName(by_hint.select("query_id", "chunk_id", "score", "source", "rank"))
 

@@ -66,9 +66,7 @@ def vector_topk(spark, d):
 
 def chunk_vector_topk(spark, d):
     """The nearest chunks of each question by hashed embedding."""
-    c = vectors.embedded(_chunks(spark, d), "chunk_id", "text")
-    q = vectors.embedded(_questions(spark, d), "query_id", "question")
-    return vectors.nearest(c, "chunk_id", q, "query_id", max(50, 8 * TOP_K)).withColumn("score", F.round("score", 6))
+    return retrieval.vector_hits(_questions(spark, d), _chunks(spark, d), max(50, 8 * TOP_K)).withColumn("score", F.round("score", 6))
 
 
 def rrf_fusion(spark, d):
@@ -183,7 +181,7 @@ def _answered(spark, d):
     facts = durable(vectors.ranked(walks[0].unionByName(walks[1]).join(edges, "edge_id"), "query_id", [F.asc("hops"), F.asc("edge_id")], qa.FACTS))
     wide = durable(qa.expanded_question(free, links, facts).join(free.select("query_id", "top_k"), "query_id"))
     c = _chunks(spark, d)
-    near = vectors.nearest(vectors.embedded(c, "chunk_id", "text"), "chunk_id", vectors.embedded(wide, "query_id", "question"), "query_id", retrieval.depth(wide))
+    near = retrieval.vector_hits(wide, c, retrieval.depth(wide))
     hits = durable(retrieval.hybrid(wide, c, near))
     hits = durable(c.select("chunk_id", "page_start", "page_end", F.substring("text", 1, 520).alias("text")).join(small(hits), "chunk_id"))
     docs = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "page_start", "page_end"))).alias("documents"))
