@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..common import small
+from ..common import durable, small
 from ..functions import text as t
 from ..functions.vectors import ranked
 
@@ -199,11 +199,16 @@ def neighborhood(seeds: DataFrame, edges: DataFrame, hops: int, limit: int | Non
     both = ranked(both, "a", [F.col("edge_id")], limit + 1).select("edge_id", "a", "b")
     seeds = small(seeds)
     one = seeds.join(both, seeds["id"] == both["a"]).select("query_id", "id", F.col("edge_id").alias("e1"), F.col("b").alias("far"))
-    paths = one.select("query_id", F.lit(1).alias("len"), "id", "e1", F.lit(None).cast(edges.schema["edge_id"].dataType).alias("e2"))
+    none = F.lit(None).cast(edges.schema["edge_id"].dataType).alias("e2")
+    one = ranked(one, "query_id", [F.col("id"), F.col("e1")], limit).drop("rank")
+    paths = one.select("query_id", F.lit(1).alias("len"), "id", "e1", none)
     if hops == 2:
-        steps = one.join(both, one["far"] == both["a"]).where("edge_id <> e1")
-        paths = paths.unionByName(steps.select("query_id", F.lit(2).alias("len"), "id", "e1", F.col("edge_id").alias("e2")))
-    paths = ranked(paths, "query_id", [F.col(c) for c in ("len", "id", "e1", "e2")], limit)
+        # shorter paths come first, so a second step counts only where all first steps together are fewer than limit
+        one = durable(one)
+        few = one.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < limit).select("query_id")
+        steps = one.join(few, "query_id", "left_semi").join(both, F.col("far") == F.col("a")).where("edge_id <> e1")
+        steps = steps.select("query_id", F.lit(2).alias("len"), "id", "e1", F.col("edge_id").alias("e2"))
+        paths = ranked(one.select("query_id", F.lit(1).alias("len"), "id", "e1", none).unionByName(steps), "query_id", [F.col(c) for c in ("len", "id", "e1", "e2")], limit)
     met = paths.select("query_id", "len", F.explode(F.filter(F.array("e1", "e2"), lambda x: x.isNotNull())).alias("edge_id"))
     return met.groupBy("query_id", "edge_id").agg(F.min("len").alias("hops"))
 

@@ -178,7 +178,10 @@ def _answered(spark, d):
     edges = _known(spark, d)
     seeds = links.join(free.select("query_id", "hops"), "query_id")
     walks = [graph.neighborhood(seeds.where(F.col("hops") == h).select("query_id", "id"), edges, h, 80) for h in (1, 2)]
-    facts = durable(vectors.ranked(walks[0].unionByName(walks[1]).join(edges, "edge_id"), "query_id", [F.asc("hops"), F.asc("edge_id")], qa.FACTS))
+    order = [F.asc("hops"), F.asc("edge_id")]
+    met = vectors.ranked(walks[0].unionByName(walks[1]), "query_id", order, qa.FACTS).drop("rank")
+    told = edges.select("edge_id", "head", "relation", "relation_zh", "tail", "source_pages")
+    facts = durable(vectors.ranked(met.join(told, "edge_id"), "query_id", order, qa.FACTS))
     wide = durable(qa.expanded_question(free, links, facts).join(free.select("query_id", "top_k"), "query_id"))
     c = _chunks(spark, d)
     near = retrieval.vector_hits(wide, c, retrieval.depth(wide))
