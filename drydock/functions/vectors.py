@@ -85,13 +85,9 @@ def nearest(items: DataFrame, item: str, queries: DataFrame, query: str, k: int,
     out = None
     for p in range(passes):
         own = queries.where(F.pmod(F.xxhash64(query), F.lit(passes)) == p) if passes > 1 else queries
-        rows = own.select(query, "embedding").collect()
-        blocks = []
-        for at in range(0, len(rows), BLOCK):
-            m = np.array([r[1] for r in rows[at : at + BLOCK]], dtype=np.float64)
-            blocks.append(m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300))
-        shared = spark.sparkContext.broadcast(([r[0] for r in rows], blocks))
-        del rows, blocks
+        ids, whole = _stated(own.select(query, "embedding"))
+        shared = spark.sparkContext.broadcast((ids, [whole[at : at + BLOCK] for at in range(0, len(ids), BLOCK)]))
+        del ids, whole
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, blocks = shared.value
@@ -121,6 +117,13 @@ def nearest(items: DataFrame, item: str, queries: DataFrame, query: str, k: int,
     return ranked(out, query, [F.desc("score"), F.asc(item)], k)
 
 
+def _stated(vectors: DataFrame) -> tuple[list, np.ndarray]:
+    """The keys and the vectors, of length 1, without a Python number for each place."""
+    t = vectors.toArrow()
+    m = np.array(t.column(1).combine_chunks().flatten(), dtype=np.float64).reshape(t.num_rows, -1) if t.num_rows else np.empty((0, 0))
+    return t.column(0).to_pylist(), m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
 def batch_type(kind: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
 
