@@ -41,3 +41,31 @@ def test_few_rows_are_shuffled(spark, tables, name):
     QUERIES[name](spark, tables).collect()
     most = max(n for i, n in _stages(spark).items() if i not in before)
     assert 0 < most <= max(chunks, 4 * cases * KEPT[name])
+
+
+#: Chunks that a partition finds for a question at most, in the search by keywords.
+FOUND = {"eval_summary": 8}
+
+
+def _found(spark):
+    """The rows that Python gave back, at most in one step, of each execution so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store, out = spark._jsparkSession.sharedState().statusStore(), {}
+    runs = store.executionsList()
+    each = lambda seq: (seq.apply(i) for i in range(seq.size()))
+    for run in each(runs):
+        values = store.executionMetrics(run.executionId())
+        for node in each(store.planGraph(run.executionId()).allNodes()):
+            for m in each(node.metrics()) if node.name() == "MapInArrow" else ():
+                if m.name() == "number of output rows" and (v := values.get(m.accumulatorId())).isDefined():
+                    out[run.executionId()] = max(out.get(run.executionId(), 0), int(v.get().replace(",", "")))
+    return out
+
+
+@pytest.mark.parametrize("name", sorted(FOUND))
+def test_few_chunks_are_found(spark, tables, name):
+    cases = spark.read.parquet(f"{tables}/eval_cases.parquet").count()
+    before = _found(spark)
+    QUERIES[name](spark, tables).collect()
+    most = max(n for i, n in _found(spark).items() if i not in before)
+    assert 0 < most <= 4 * cases * FOUND[name]
