@@ -44,7 +44,7 @@ def test_few_rows_are_shuffled(spark, tables, name):
 
 
 #: Chunks that a partition finds for a question at most, in the search by keywords.
-FOUND = {"eval_summary": 8}
+FOUND = {"eval_summary": 8, "generation_metrics": 8}
 
 
 def _found(spark):
