@@ -11,7 +11,7 @@ pytestmark = pytest.mark.skipif(not os.path.exists(DATA), reason="no test tables
 
 COPIES = 60
 #: Hits of a question that a partition of chunks passes on at most.
-KEPT = {"ask_case_pass": 64, "ask_routes": 64}
+KEPT = {"ask_case_pass": 64, "ask_eval_summary": 64, "ask_routes": 64}
 
 
 @pytest.fixture(scope="module")
