@@ -44,7 +44,7 @@ def test_few_rows_are_shuffled(spark, tables, name):
 
 
 #: Chunks that a partition finds for a question at most, in the search by keywords.
-FOUND = {"context_utilization": 8, "eval_summary": 8, "generation_metrics": 8, "noise_robustness": 8}
+FOUND = {"context_utilization": 8, "eval_by_category": 8, "eval_summary": 8, "generation_metrics": 8, "noise_robustness": 8}
 
 
 def _found(spark):
